@@ -66,12 +66,9 @@ def read_turns(output: str) -> Iterator[tuple[str, str, bool]]:
 
 
 def message_events(conversations: DataFrame) -> DataFrame:
-    """Rows of finished turns as an event log: each opens a message and streams its text."""
+    """Rows of finished turns as an event log: each is a message of its own."""
     row = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text")]
-    base = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), *row)
-    events = F.array(F.struct(F.lit(0).alias("part"), F.lit("message").alias("kind"), F.lit("").alias("piece")), F.struct(F.lit(1).alias("part"), F.lit("delta").alias("kind"), F.col("text").alias("piece")))
-    # seq tells repeated turns apart: the parts of one message stay together.
-    return base.withColumn("seq", F.xxhash64("role", "text")).select("conv_id", "turn", "seq", "role", F.explode(events).alias("e")).select("conv_id", "turn", "seq", "e.part", "e.kind", "role", F.col("e.piece").alias("text"))
+    return conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.lit(0).alias("seq"), F.lit("message").alias("kind"), *row)
 
 
 def fold(rows: Iterator[tuple]) -> Iterator[tuple[int | None, str, str]]:
@@ -92,13 +89,11 @@ def fold(rows: Iterator[tuple]) -> Iterator[tuple[int | None, str, str]]:
         yield conv, role, "".join(text)
 
 
-ORDER = ["conv_id", "turn", "seq", "part", "role", "text"]
+ORDER = ["conv_id", "turn", "seq", "role", "text"]
 
 
 def _sorted_events(events: DataFrame) -> DataFrame:
-    if "part" not in events.columns:
-        events = events.withColumn("part", F.lit(0))
-    kept = events.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "seq", "part", F.coalesce("kind", F.lit("")).alias("kind"), "role", "text")
+    kept = events.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "seq", F.coalesce("kind", F.lit("")).alias("kind"), "role", "text")
     return kept.repartition(widest(events.sparkSession), "conv_id").sortWithinPartitions(*ORDER)
 
 

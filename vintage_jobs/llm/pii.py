@@ -11,7 +11,6 @@ row; very long texts are read whole, in one pass.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -182,5 +181,9 @@ def pii_digest(docs: DataFrame) -> DataFrame:
     text = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
     base = F.filter(spans, lambda s: s["kind"].isin(*BASE_KINDS))
     base_text = F.array_join(F.transform(base, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+
+    def count(kind: str):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in KINDS]
     return pii_spans(docs).select("doc_id", *counts[:4], F.sha2(base_text.cast("binary"), 256).alias("base_sha256"), F.array_join(text, ",").alias("spans"), *counts[4:])
