@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vintage_jobs.llm import chat, pii
+from vintage_jobs.llm import chat, pii, simhash
 from vintage_jobs.llm.common import table
 
 
@@ -14,11 +14,19 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.chat_digest(chat.message_events(rows.unionByName(chat.control_conversation(spark))))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_pii": op6_pii, "op8_chat": op8_chat}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_simhash": op4_simhash,
+    "op6_pii": op6_pii,
+    "op8_chat": op8_chat,
+}
 
 ORACLES: dict[str, str] = {}
