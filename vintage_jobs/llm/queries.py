@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vintage_jobs.llm import chat, packing, pii, simhash
+from vintage_jobs.llm import chat, ctph, packing, pii, simhash
 from vintage_jobs.llm.common import table
 
 
@@ -27,11 +27,16 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.message_events(rows.unionByName(chat.control_conversation(spark))))
 
 
+def op10_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctph.with_neighbours(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op4_simhash": op4_simhash,
     "op6_pii": op6_pii,
     "op8_chat": op8_chat,
+    "op10_ctph": op10_ctph,
 }
 
 ORACLES: dict[str, str] = {}
