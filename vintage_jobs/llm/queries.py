@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vintage_jobs.llm import chat, ctph, decontam, packing, pii, simhash
+from vintage_jobs.llm import chat, ctph, decontam, packing, pii, simhash, substring
 from vintage_jobs.llm.common import table
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_digest(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
     "op4_simhash": op4_simhash,
+    "op5_substring": op5_substring,
     "op6_pii": op6_pii,
     "op8_chat": op8_chat,
     "op10_ctph": op10_ctph,
