@@ -38,7 +38,7 @@ SECRET = re.compile(r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_+/.~-]{8,}=*)")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://")
 IBAN_CUES = ("IBAN", "iban", "Iban")
 SSN_CUES = ("SSN", "ssn", "Social Security", "social security")
-SECRET_CUES = ("api_key", "apikey", "api-key", "API_KEY", "password", "PASSWORD", "Password", "passwd", "secret_key", "SECRET_KEY", "access_token", "ACCESS_TOKEN", "auth_token")
+SECRET_CUES = ("api_key", "apikey", "api-key", "API_KEY", "password", "PASSWORD", "Password", "passwd", "secret_key", "SECRET_KEY", "access_token", "ACCESS_TOKEN", "auth_token", "token", "Token", "TOKEN")
 
 
 @lru_cache(1)

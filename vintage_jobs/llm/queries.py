@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vintage_jobs.llm import chat, ctph, decontam, packing, pii, simhash, substring
+from vintage_jobs.llm import chat, ctph, decontam, langid, packing, pii, quality, simhash, substring
 from vintage_jobs.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_digest(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,10 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.message_events(rows.unionByName(chat.control_conversation(spark))))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.with_neighbours(table(spark, sf_dir, "documents"))
 
@@ -42,10 +50,12 @@ def op10_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
+    "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
     "op5_substring": op5_substring,
     "op6_pii": op6_pii,
     "op8_chat": op8_chat,
+    "op9_langid": op9_langid,
     "op10_ctph": op10_ctph,
 }
 
