@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vintage_jobs.llm import chat, ctph, decontam, langid, packing, pii, quality, simhash, substring
+from vintage_jobs.llm import chat, ctph, decontam, html_text, langid, packing, pii, quality, simhash, substring
 from vintage_jobs.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.chat_digest(chat.message_events(rows.unionByName(chat.control_conversation(spark))))
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_substring": op5_substring,
     "op6_pii": op6_pii,
+    "op7_html": op7_html,
     "op8_chat": op8_chat,
     "op9_langid": op9_langid,
     "op10_ctph": op10_ctph,
