@@ -220,10 +220,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_lines: int
     return Model().fit([(unpack(r.x).reshape(-1, 3 * N_LINE), unpack(r.lengths), r.quality) for r in rows])
 
 
-def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` with a column ``quality_score``."""
+def scores(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFrame:
+    """The rows of ``docs`` with their score in a column ``name``."""
     rate = F.pandas_udf(lambda s: s.map(model.score).astype("float64"), "double")
-    return docs.withColumn("quality_score", rate(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return docs.withColumn(name, rate(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -233,4 +233,4 @@ def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts."""
-    return scores(docs, fit(docs, labels)).where("quality_score >= 0.5").select(docs.columns)
+    return scores(docs, fit(docs, labels), "__score").where("__score >= 0.5").select(docs.columns)
