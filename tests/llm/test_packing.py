@@ -12,8 +12,10 @@ def test_words_encode_as_whole_texts():
 
     plain = Tokenizer.from_file(P.tokenizer_path())
     texts = ["", "one", "It's a test, isn't it? 3.5% of 10", "first line.\nSecond line\nthird", "two  blanks", "tab\tand\xa0nbsp", " lead", "trail ", "a\n\nb", "é ß 中文 😀 a", "x<|endoftext|>y <|endoftext|> z", "a \nb", "\n", "　x y", "don't'll 're"]
-    own = P.Encoder(P.tokenizer_path(), most=5)
-    for _ in range(2):
+    texts += ["日本語 テキスト", "naïve’s café—“quoted” 12ab34 x²", "a b  c", "tail\x1c end", "ﬁ ǅ ʰ ١٢٣ Ⅷ ½"]
+    for ranks in (None, P.tokenizer_path("byte_bpe_50k.tiktoken")):
+        own = P.Encoder(P.tokenizer_path(), ranks, most=5)
+        got = own.encode(texts)
         got = own.encode(texts)
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
