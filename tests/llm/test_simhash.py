@@ -77,7 +77,7 @@ def test_chain_has_one_component(spark):
 
 def test_edge_rows(spark):
     rows = [(5, "a b c d e"), (5, "a b c d e"), (None, "a b c d e"), (None, "zz yy xx ww vv uu"), (7, None), (8, "  "), (3, "")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("clash")).withColumn("root", F.lit(1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("clash")).withColumn("root", F.lit(1)).withColumn("row_key", F.lit(1))
     got = sorted(((r.doc_id, r.component_id) for r in S.simhash_digest(docs).collect()), key=str)
     assert got == sorted([(5, 5), (5, 5), (None, 5), (None, None), (7, 3), (8, 3), (3, 3)], key=str)
     kept = S.one_of_each(docs)

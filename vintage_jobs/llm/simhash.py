@@ -166,9 +166,9 @@ def near_duplicates(docs: DataFrame, max_bits: int = 4, segments: int = 3) -> Da
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without those that another row of their component stands for."""
-    kept = near_duplicates(docs).where("row_key = first_key AND doc_id <=> component_id").select("row_key").distinct()
+    kept = near_duplicates(docs).where("row_key = first_key AND doc_id <=> component_id").select(F.col("row_key").alias("__kept")).distinct()
     keyed = docs.withColumn("__row_key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    return keyed.join(kept, F.col("__row_key") == F.col("row_key"), "left_semi").dropDuplicates(["__row_key"]).select(docs.columns)
+    return keyed.join(kept, F.col("__row_key") == F.col("__kept"), "left_semi").dropDuplicates(["__row_key"]).select(docs.columns)
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:
