@@ -1 +1,50 @@
 """Registered queries: fits fanned out over groups (checked against independent computations in tests)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vintage_jobs.jobs import fanout as J
+from vintage_jobs.jobs import fixtures as X
+from vintage_jobs.jobs.queries_backtest import quarter_targets
+from vintage_jobs.jobs.registry import CORE
+from vintage_jobs.operators import combine as C
+from vintage_jobs.operators import evaluate as E
+from vintage_jobs.operators import features as T
+from vintage_jobs.operators import vintage as V
+from vintage_jobs.sources import panels as P
+
+
+@CORE.add("x1_unit_root_tests")
+def x1(spark, sf_dir):
+    return J.unit_root_tests(P.nation_panel(spark, sf_dir))
+
+
+@CORE.add("x2_seasonally_adjusted")
+def x2(spark, sf_dir):
+    return J.seasonally_adjusted(X.panel(spark, sf_dir).where(F.col("series_id") != P.TARGET))
+
+
+@CORE.add("x3_selected_forecasts")
+def x3(spark, sf_dir):
+    return J.selected_forecasts(E.loss_differences(X.forecasts(spark, sf_dir), "ar1", "mean"))
+
+
+@CORE.add("x4_boosted_backtest")
+def x4(spark, sf_dir):
+    targets, predictors = quarter_targets(spark, sf_dir)
+    rows = T.supervised_rows(T.lagged_features(targets, predictors, X.month_lags(spark, sf_dir), rule="end", max_lag=6), targets)
+    return J.boosted_backtest(rows, min_train=12, rounds=100, leaf=3, split=6)
+
+
+@CORE.add("x5_factor_mixture")
+def x5(spark, sf_dir):
+    panel = X.panel(spark, sf_dir)
+    as_ofs = V.asof_grid(spark, "2000-01-01", "2001-08-31")
+    made = J.factor_mixture(panel, X.month_lags(spark, sf_dir), as_ofs, C.mixture_grid(spark, [2, 3], [1, 2]), P.TARGET, most=8)
+    return made.select("panel_id", "as_of", "model_id", "y_now", "y_back", "loglik", "ok", "converged", "error")
+
+
+@CORE.add("x6_factor_backtest")
+def x6(spark, sf_dir):
+    return C.best_by_criterion(J.factor_backtest(X.panel(spark, sf_dir), P.TARGET, min_months=60, k_max=3, most=8))
