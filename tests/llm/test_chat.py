@@ -1,0 +1,58 @@
+import hashlib
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from vintage_jobs.llm import chat as C
+
+PARTS = st.sampled_from(["</s>", "<s>", "[INST]", "[/INST] ", " [ANSWER] ", "[ROLE=x]", "[/ROLE]", "\\", "\\\\", "a", " ", "\n", "é", "[", "<"])
+TEXT = st.lists(PARTS, max_size=8).map("".join)
+ROLES = st.sampled_from(["user", "assistant", "system", "", "a]b", "tool: é"])
+
+
+@settings(max_examples=800, deadline=None)
+@given(st.lists(st.tuples(ROLES, TEXT), max_size=6))
+def test_round_trip(turns):
+    output = C.BEGIN + "".join(C.render_turn(r, t) for r, t in turns)
+    assert [(r, t) for r, t, _ in C.read_turns(output)] == turns
+    assert [m for _, _, m in C.read_turns(output)] == [r == "assistant" for r, _ in turns]
+
+
+def test_fold_of_deltas_edits_and_regenerations(spark):
+    events = [
+        (1, 0, 0, "message", "user", "Hel"), (1, 0, 1, "delta", None, "lo"), (1, 1, 2, "message", "assistant", "bad"), (1, 1, 3, "regenerate", None, "x"), (1, 1, 4, "delta", None, "good "), (1, 1, 5, "delta", None, "day"),
+        (2, 0, 0, "message", "user", "a"), (2, 0, 1, "edit", None, "b"), (2, 1, 0, "delta", "assistant", None),
+    ]
+    made = spark.createDataFrame(events, "conv_id long, turn long, seq long, kind string, role string, text string").orderBy(F.rand(1))
+    out = {r.conv_id: r for r in C.format_chats(made).collect()}
+    assert out[1].output == "<s>[INST] Hello [/INST][ANSWER] good day </s>"
+    assert [out[1].output[s.start : s.end] for s in out[1].loss_spans] == ["good day"]
+    assert [t for _, t, _ in C.read_turns(out[2].output)] == ["b"]
+
+
+def digest(turns):
+    whole = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+    loss = "".join(t for r, t in turns if r == "assistant")
+    return len(turns), whole, len(loss), hashlib.sha256(loss.encode()).hexdigest()
+
+
+def test_whole_table(spark, small_dir):
+    from vintage_jobs.llm.queries import op8_chat
+
+    rows = spark.read.parquet(f"{small_dir}/conversations.parquet").orderBy("conv_id", "turn").collect()
+    want = {}
+    for r in rows:
+        want.setdefault(r.conv_id, []).append((r.role, r.text or ""))
+    want[-1] = [(r, "</s>[INST] ok [/INST]") for r in ("user", "assistant")]
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in op8_chat(spark, small_dir).collect()} == {k: digest(v) for k, v in want.items()}
+
+
+def test_edge_rows(spark):
+    rows = [(None, 0, "user", "x"), (1, 0, "user", None), (1, 0, "user", None), (1, None, None, "y"), (1, 2, "assistant", "z"), (1, 2, "assistant", "z")]
+    made = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("kind", F.lit("clash")).withColumn("seq", F.lit(5))
+    got = {r.conv_id: (r.n_turns, r.loss_chars) for r in C.chat_digest(C.message_events(made)).collect()}
+    assert got == {None: (1, 0), 1: (5, 2)}
+    assert C.chat_digest(C.message_events(made.limit(0))).count() == 0
+    many = spark.range(30_000).select(F.lit(7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), F.lit("word").alias("text"))
+    assert C.chat_digest(C.message_events(many)).first().loss_chars == 120_000

@@ -1,0 +1,41 @@
+import numpy as np
+from pyspark.sql import functions as F
+
+from vintage_jobs.llm import langid as L
+
+
+def test_held_out_accuracy_and_labels_unseen(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = L.language_digest(docs)
+    rows = got.join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert np.mean([r.lang_pred == r.lang for r in rows]) > 0.95 and all(0 <= r.score <= 1 for r in rows)
+    other = docs.withColumn("lang", F.when(L.crc32_of(F.col("doc_id")) % 4 != 2, F.col("lang")).otherwise("xx")).withColumn("source", F.lit("other"))
+    assert sorted(map(tuple, L.language_digest(other).collect())) == sorted(map(tuple, got.collect()))
+
+
+def test_machines_separate_their_rows():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(200, 5))
+    y = np.where(x @ [1, -2, 0.5, 0, 0] > 0.2, 1.0, -1.0)
+    w = L.support_vectors(x, y, cost=1000, epochs=200)
+    assert np.mean(np.sign(x @ w[:-1] + w[-1]) == y) > 0.97
+
+
+def test_families_then_pairs():
+    texts = {"en": "the and of with that this which there", "de": "der und das nicht mit sich eine auch", "fr": "le les des une dans pour avec est", "es": "el los una con para por que las", "zz": "qqx xqq zzx qzx xxz"}
+    x = np.array([L.trigrams(t + " " + w) for t in texts.values() for w in t.split()])
+    model = L.Model(x, [c for c, t in texts.items() for _ in t.split()])
+    assert set(model.families) == {"germanic", "romance", "zz"} and set(model.pairs) == {("de", "en"), ("es", "fr")}
+    assert all(model.predict(t)[0] == c for c, t in texts.items())
+    assert model.predict("123 !?") == ("und", 0.0) and model.predict(None) == ("und", 0.0)
+    long = "der und das nicht " * 100_000
+    assert model.predict(long)[0] == "de" and np.allclose(L.trigrams(long), L.trigrams(long[: len(long) // 2]), atol=1e-3)
+
+
+def test_edge_rows(spark):
+    rows = [(1, None, "en"), (None, "a b c d", None), (1, None, "en"), (2, "", None), (3, "12", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash")).withColumn("key", F.lit(1))
+    assert {r.lang_pred for r in L.language_digest(docs).collect()} == {"und"} and L.language_digest(docs).count() == 5
+    one = docs.withColumn("lang", F.lit("en"))
+    assert {r.lang_pred for r in L.language_digest(one).where("doc_id IS NULL").collect()} == {"en"}
+    assert L.language_digest(docs.limit(0)).count() == 0
