@@ -4,6 +4,7 @@ The index holds a posting (document, term, position) for every training word tha
 of the empty term at the end of each document, whose position is the document's length. It is written to the shared
 folder once; everything else reads it. For each window of a test item the rarest term is looked up by its corpus
 frequency; its postings, shifted by its place in the item, are the candidate alignments (document, item, diagonal).
+A posting also holds a byte of the hash of the words beside it, so most chance alignments fall before the intersection.
 The lists of the item's other terms, shifted likewise, are intersected with them in one join on (document, position,
 term), and runs of consecutive matches as long as a window are exact phrase matches.
 
@@ -51,21 +52,33 @@ def small(df: DataFrame, small_side: int) -> DataFrame:
     return F.broadcast(df) if df.limit(small_side + 1).count() <= small_side else df
 
 
+def low_byte(term: Column) -> Column:
+    return term.bitwiseAND(F.lit(255)).cast("smallint")
+
+
 def build_index(docs: DataFrame, terms: DataFrame, small_side: int = 200_000) -> DataFrame:
-    """doc, term, position of the words among ``terms`` (word, term), and the END posting with its doc_id."""
+    """doc, term, position, before, after of the words among ``terms`` (word, term), and the END posting with its doc_id."""
     lexicon = stored(terms.select("word", "term").distinct().unionByName(docs.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(END).cast("long").alias("term"))), "lexicon")
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("doc"), F.concat(words("text"), F.array(F.lit(""))).alias("w"))
-    postings = read.select("doc_id", "doc", F.posexplode("w").alias("position", "word")).join(small(lexicon, small_side), "word")
-    return stored(postings.select("doc", "term", "position", F.when(F.col("term") == END, F.col("doc_id")).alias("doc_id")), "postings")
+    beside = [low_byte(F.xxhash64(F.get("w", F.col("position") + d))).alias(name) for d, name in ((-1, "before"), (1, "after"))]
+    each = read.select("doc_id", "doc", "w", F.posexplode("w").alias("position", "word")).select("doc_id", "doc", "position", "word", *beside)
+    postings = each.join(small(lexicon, small_side), "word")
+    return stored(postings.select("doc", "term", "position", "before", "after", F.when(F.col("term") == END, F.col("doc_id")).alias("doc_id")), "postings")
 
 
 def rarest_terms(index: DataFrame, terms: DataFrame, window: int) -> DataFrame:
-    """item, place, term: for every window of every item, its rarest term, unless one of the window never occurs."""
+    """item, place, term, before, after: for every window of every item, its rarest term, unless one never occurs.
+
+    ``before`` and ``after`` are the bytes of the words beside it, where those are in the window too.
+    """
     counts = index.where(F.col("term") != END).groupBy("term").agg(F.count("*").alias("df"))
-    own = terms.join(counts, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    ahead = Window.partitionBy("item").orderBy("place").rowsBetween(0, window - 1)
-    best = F.min(F.struct("df", "place", "term")).over(ahead)
-    return own.withColumn("best", best).where((F.col("place") <= F.greatest(F.lit(0), F.col("n") - window)) & (F.col("best.df") > 0)).select("item", "best.place", "best.term").distinct()
+    line = Window.partitionBy("item").orderBy("place")
+    own = terms.join(counts, "term", "left").withColumns({"df": F.coalesce("df", F.lit(0)), "before": low_byte(F.lag("term").over(line)), "after": low_byte(F.lead("term").over(line))})
+    best = F.min(F.struct("df", "place", "term", "before", "after")).over(line.rowsBetween(0, window - 1))
+    rows = own.withColumn("best", best).where((F.col("place") <= F.greatest(F.lit(0), F.col("n") - window)) & (F.col("best.df") > 0))
+    last = F.col("place") + F.least(F.lit(window), F.col("n")) - 1
+    before, after = F.when(F.col("best.place") > F.col("place"), F.col("best.before")), F.when(F.col("best.place") < last, F.col("best.after"))
+    return rows.select("item", "best.place", "best.term", before.alias("before"), after.alias("after")).distinct()
 
 
 def phrase_matches(index: DataFrame, terms: DataFrame, window: int = 10, small_side: int = 200_000) -> DataFrame:
@@ -74,7 +87,8 @@ def phrase_matches(index: DataFrame, terms: DataFrame, window: int = 10, small_s
     An item shorter than the window is one window.
     """
     anchors = stored(rarest_terms(index, terms, window), "anchors")
-    seeds = index.join(small(anchors, small_side), "term").select("doc", "item", (F.col("position") - F.col("place")).alias("diagonal")).distinct()
+    fits = [F.col(f"a.{c}").isNull() | (F.col(f"a.{c}") == F.col(f"i.{c}")) for c in ("before", "after")]
+    seeds = index.alias("i").join(small(anchors, small_side).alias("a"), (F.col("i.term") == F.col("a.term")) & fits[0] & fits[1]).select("doc", "item", (F.col("position") - F.col("place")).alias("diagonal")).distinct()
     seeds = stored(seeds, "alignments")
     probes = seeds.join(small(terms.select("item", "place", "term"), small_side), "item").withColumn("position", F.col("diagonal") + F.col("place")).where("position >= 0")
     hits = probes.join(index.select("doc", "position", "term"), ["doc", "position", "term"]).select("doc", "item", "diagonal", "place").distinct()
@@ -88,9 +102,10 @@ def phrase_matches(index: DataFrame, terms: DataFrame, window: int = 10, small_s
 def proximity_matches(index: DataFrame, terms: DataFrame, span: int = 40, share: float = 0.8, small_side: int = 200_000) -> DataFrame:
     """doc, item_id, position, found, wanted: places of an item's rarest term with ``share`` of its terms within ``span`` words."""
     wanted = terms.groupBy("item").agg(F.count_distinct("term").alias("wanted"), F.first("item_id").alias("item_id"))
-    anchors = stored(rarest_terms(index, terms, 1 << 20).select("item", "term"), "anchors")
+    anchors = stored(rarest_terms(index, terms, 1 << 20).select("item", "term").distinct(), "anchors")
     near = F.explode(F.array(*(F.floor(F.col("position") / span).cast("int") + d for d in (-1, 0, 1)))).alias("cell")
-    seeds = index.join(small(anchors, small_side), "term").select("doc", "item", F.col("position").alias("at"), near)
+    fits = [F.col(f"a.{c}").isNull() | (F.col(f"a.{c}") == F.col(f"i.{c}")) for c in ("before", "after")]
+    seeds = index.alias("i").join(small(anchors, small_side).alias("a"), (F.col("i.term") == F.col("a.term")) & fits[0] & fits[1]).select("doc", "item", F.col("position").alias("at"), near)
     others = index.where(F.col("term") != END).select("doc", "term", "position", F.floor(F.col("position") / span).cast("int").alias("cell"))
     close = seeds.join(others, ["doc", "cell"]).where(F.abs(F.col("position") - F.col("at")) <= span)
     found = close.join(small(terms.select("item", "term").distinct(), small_side), ["item", "term"]).groupBy("doc", "item", "at").agg(F.count_distinct("term").alias("found"))
@@ -112,8 +127,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
 
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """The rows of ``docs`` in which no window of an item occurs."""
-    bad = contamination(docs, items, window).where("contaminated").select("doc").distinct()
-    return docs.withColumn("__doc", row_key(docs)).join(bad, F.col("__doc") == F.col("doc"), "left_anti").select(docs.columns)
+    bad = contamination(docs, items, window).where("contaminated").select(F.col("doc").alias("__bad")).distinct()
+    return docs.withColumn("__doc", row_key(docs)).join(bad, F.col("__doc") == F.col("__bad"), "left_anti").select(docs.columns)
 
 
 def contamination_digest(docs: DataFrame, items: DataFrame) -> DataFrame:
