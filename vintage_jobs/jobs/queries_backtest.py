@@ -23,7 +23,7 @@ def p1(spark, sf_dir):
     return quarter_targets(spark, sf_dir)[0]
 
 
-FEAT = "ft AS (SELECT t.panel_id, t.target_period, s.series_id, l.lag, CASE WHEN l.lag >= coalesce(m.lag, 1) THEN g.value END AS x FROM tq t JOIN (SELECT DISTINCT panel_id, series_id FROM grid WHERE series_id <> 'TOTAL') s USING (panel_id) CROSS JOIN (SELECT unnest(range(0, 13)) AS lag) l LEFT JOIN mlags m USING (series_id) LEFT JOIN grid g ON g.panel_id = t.panel_id AND g.series_id = s.series_id AND g.period = (t.target_period - (l.lag + 1) * INTERVAL 1 MONTH)::DATE)"
+FEAT = "ft AS (SELECT t.panel_id, t.target_period, s.series_id, l.lag, CASE WHEN l.lag >= coalesce(m.lag, 1) THEN g.value END AS x FROM tq t JOIN (SELECT DISTINCT panel_id, series_id FROM grid WHERE series_id <> 'TOTAL') s USING (panel_id) CROSS JOIN (SELECT unnest(range(0, 13))::INTEGER AS lag) l LEFT JOIN mlags m USING (series_id) LEFT JOIN grid g ON g.panel_id = t.panel_id AND g.series_id = s.series_id AND g.period = (t.target_period - (l.lag + 1) * INTERVAL 1 MONTH)::DATE)"
 
 
 @CORE.add("j5_lagged_features", W("tq grid mlags", "SELECT * FROM ft", FEAT))

@@ -13,6 +13,7 @@ SCHEDULE = {"release_day_in_month": "int", "release_week_in_month": "int", "rele
 
 def cleaned_lags(raw: DataFrame, target: str = TARGET, target_days: int = 45) -> DataFrame:
     """Renamed and trimmed rows with defaults; the target is quarterly with a fixed lag in days."""
+    #: The column names of a raw lag file.
     named = raw.withColumnsRenamed({"Data_seminar": "series", "Lags_days": "lag_days", "Lags_weeks": "lag_weeks", "Lags_months": "lag_months"})
     own = named.select(F.trim("series").alias("series"), *(F.col(c).cast("int").alias(c) for c in ("lag_days", "lag_weeks", "lag_months"))).where((F.col("series") != "") & (F.lower("series") != "nan"))
     is_target = F.col("series") == target
