@@ -73,6 +73,11 @@ def test_mixed_page():
     assert H.main_text(PAGE).split("\n") == ["A & B", "First paragraph of the text, which is long enough to be read.", "Short.", "Quoted words in the text."]
 
 
+def test_headers_of_articles_stay():
+    page = '<div class="page-header">Site</div><div class="article-header"><h1>Title here</h1></div><article><header><h2>Second</h2></header><p>Words.</p><button>Share this</button></article>'
+    assert H.main_text(page).split("\n") == ["Title here", "Second", "Words."]
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<article", "<article><p class='x", "&#1114112;&bogus;<!--", "<p>" * 3000, "<b a='" * 2000, "</div>" * 50])
 def test_broken_pages_do_not_fail(page):
     assert isinstance(H.main_text(page), str)

@@ -32,14 +32,14 @@ TOKEN = re.compile(
 )
 NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORDS = re.compile(r"[a-z]+")
-BLOCKS = frozenset("html body head article main section nav header footer aside form div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary fieldset hr center".split())
+BLOCKS = frozenset("html body head article main section nav header footer aside form div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary fieldset hr center menu dialog button".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 #: Elements that end an open paragraph, list item or cell when they begin.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
 AWAY_TAGS = frozenset("nav footer aside form menu dialog button".split())
 HOME_TAGS = frozenset(("article", "main"))
 AWAY = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar footer header masthead"
+    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead"
     " comment comments disqus reply replies respond cookie cookies consent gdpr notice notices alert popup modal overlay share sharing social related recommended newsletter subscribe"
     " subscription signup login search pagination pager widget toolbar copyright skip tags".split()
 )
@@ -116,7 +116,7 @@ def blocks_of(page: str) -> list[Block]:
             away = away or tag in AWAY_TAGS or (tag == "header" and not home)
             if token["attrs"] and tag not in ("html", "body"):
                 words = {w for m in NAMES.finditer(token["attrs"]) for w in WORDS.findall((m[1] or m[2] or m[3] or "").lower())}
-                away = away or not AWAY.isdisjoint(words)
+                away = away or not AWAY.isdisjoint(words) or ("header" in words and not home and HOME.isdisjoint(words))
                 home = home or not HOME.isdisjoint(words)
             stack.append((tag, number, away, home))
     take(page[at:])
