@@ -75,14 +75,9 @@ def a7(spark, sf_dir):
     return V.target_phase(X.panel(spark, sf_dir), P.TARGET).withColumn("phase", F.col("phase").cast("long"))
 
 
-@CORE.add("p6_quarter_months", W("grid", "SELECT g.panel_id, series_id, period, CASE WHEN series_id <> 'NATION_0' OR month(period) % 3 = 0 THEN value END AS value FROM grid g"))
+@CORE.add("p6_quarter_months", W("grid", "SELECT panel_id, series_id, period, CASE WHEN series_id <> 'NATION_0' OR month(period) % 3 = phase THEN value END AS value FROM grid LEFT JOIN ph USING (panel_id)", PHASE.replace("TOTAL", "NATION_0")))
 def p6(spark, sf_dir):
-    panel = X.panel(spark, sf_dir)
-    own = panel.where("series_id <> 'NATION_0'")
-    mixed = V.quarter_months_only(panel.where("series_id IN ('NATION_0', 'TOTAL')").withColumn("value", F.when((F.col("series_id") != "TOTAL") | F.col("value").isNotNull(), F.col("value"))), P.TARGET)
-    extra = V.quarter_months_only(panel.where("series_id = 'NATION_0'").withColumn("series_id", F.lit("x")).unionByName(panel.where("series_id = 'TOTAL'").withColumn("series_id", F.lit("y"))), "y")
-    only = extra.where("series_id = 'x'").withColumn("series_id", F.lit("NATION_0")).withColumn("value", F.when(F.pmod(F.month("period"), F.lit(3)) == 0, F.col("value")))
-    return own.where("series_id <> 'TOTAL'").unionByName(mixed.where("series_id = 'TOTAL'")).unionByName(only)
+    return V.quarter_months_only(X.panel(spark, sf_dir), "NATION_0")
 
 
 @CORE.add("a4_standardised_vintages", W("vint", "SELECT as_of, panel_id, series_id, period, round((value - avg(value) OVER w) / CASE WHEN stddev_pop(value) OVER w = 0 THEN 1 ELSE stddev_pop(value) OVER w END, 5) AS z FROM vint WINDOW w AS (PARTITION BY as_of, panel_id, series_id)"))
