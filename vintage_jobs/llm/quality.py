@@ -129,15 +129,15 @@ def padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def fit_field(x: list[np.ndarray], y: list[np.ndarray], rounds: int = 120, rate: float = 0.1, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Feature weights (last: intercept) and transitions of the field, by gradient ascent with adaptive steps."""
-    parts = [np.column_stack((f, np.ones(len(f)))) for f in x]
-    features, mask = padded(parts)
-    labels, _ = padded([v.astype(float) for v in y])
+    labels, mask = padded([v.astype(float) for v in y])
+    flat = np.concatenate(x)
+    flat = np.column_stack((flat, np.ones(len(flat))))
     chosen = labels > 0.5
     observed = np.array([[((~chosen if not i else chosen)[:, :-1] & (~chosen if not j else chosen)[:, 1:] & mask[:, 1:]).sum() for j in (0, 1)] for i in (0, 1)], float)
-    flat, lines = features[mask], int(mask.sum())
+    lines = len(flat)
     seen = flat.T @ labels[mask]
-    w, transition = np.zeros(features.shape[2]), np.zeros((2, 2))
-    w[:] = logistic(flat[:, :-1], labels[mask], np.ones(lines))
+    transition = np.zeros((2, 2))
+    w = logistic(flat[:, :-1], labels[mask], np.ones(lines))
     theta = np.concatenate((w, transition.ravel()))
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):
