@@ -227,11 +227,10 @@ def _window_rows(held: list[tuple], buckets: int) -> Iterator[tuple]:
     by = (h1[first] % np.uint64(buckets)).astype(np.int64)
     first = first[np.argsort(by, kind="stable")]
     cuts = np.searchsorted(np.sort(by), np.arange(buckets + 1))
-    known = (key[later].tobytes(), start[later].tobytes())
-    for b in np.flatnonzero(np.diff(cuts)).tolist():
+    used = np.flatnonzero(np.diff(cuts)).tolist()
+    for b, known in zip(used, np.array_split(np.flatnonzero(later), len(used)), strict=True):
         p = first[cuts[b] : cuts[b + 1]]
-        yield b, h1[p].tobytes(), h2[p].tobytes(), doc[p].tobytes(), key[p].tobytes(), start[p].tobytes(), *known
-        known = (b"", b"")
+        yield b, h1[p].tobytes(), h2[p].tobytes(), doc[p].tobytes(), key[p].tobytes(), start[p].tobytes(), key[known].tobytes(), start[known].tobytes()
 
 
 DOC = np.dtype([("none", "<u1"), ("id", "<i8")])
@@ -249,7 +248,7 @@ def _later(key, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"row_key": np.concatenate((keys[later], join("later_key", "<i8"))), "start": np.concatenate((start[later], join("later_start", "<u4"))).astype(np.int32)})
 
 
-def later_windows(rows: DataFrame, window: int, buckets: int, batch_windows: int = 1 << 19) -> DataFrame:
+def later_windows(rows: DataFrame, window: int, buckets: int, batch_windows: int = 1 << 18) -> DataFrame:
     """row_key, start: windows with an anchor whose words also begin earlier."""
     schema = pa.schema([("bucket", pa.int32()), *((n.split()[0], pa.binary()) for n in WINDOWS.split(", ")[1:])])
     block = window // 2
@@ -287,7 +286,7 @@ def later_windows(rows: DataFrame, window: int, buckets: int, batch_windows: int
     return rows.where("anchors IS NOT NULL").mapInArrow(work, WINDOWS).groupBy("bucket").applyInPandas(_later, "row_key long, start int")
 
 
-def buckets_for(docs: DataFrame, words_a_bucket: int = 1 << 21) -> int:
+def buckets_for(docs: DataFrame, words_a_bucket: int = 1 << 20) -> int:
     """Enough buckets for about ``words_a_bucket`` words each."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return max(2 * widest(docs.sparkSession), -(-size // (6 * words_a_bucket)))
