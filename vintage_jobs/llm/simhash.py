@@ -164,9 +164,14 @@ def near_duplicates(docs: DataFrame, max_bits: int = 4, segments: int = 3) -> Da
     return rows.join(of, "fp").select("doc_id", "row_key", "fp", F.col("first.doc_id").alias("component_id"), F.col("first.row_key").alias("first_key"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without those that another row of their component stands for."""
-    kept = near_duplicates(docs).where("row_key = first_key AND doc_id <=> component_id").select(F.col("row_key").alias("__kept")).distinct()
+def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without those that another row of their component stands for.
+
+    Components are of five-word shingle sets with that Jaccard similarity (see ``similar``), not of fingerprints.
+    """
+    from vintage_jobs.llm.similar import similar_documents
+
+    kept = similar_documents(docs, percent).where("row_key = first_key AND doc_id <=> component_id").select(F.col("row_key").alias("__kept")).distinct()
     keyed = docs.withColumn("__row_key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
     return keyed.join(kept, F.col("__row_key") == F.col("__kept"), "left_semi").dropDuplicates(["__row_key"]).select(docs.columns)
 
