@@ -64,3 +64,21 @@ def test_spans_and_proximity_with_and_without_broadcast(spark, small_side):
     assert {s for s in spans if s[0] in (1, 2, 3)} == {(1, "1", 1, 14), (2, "1", 0, 10), (3, "2", 0, 2), (3, "2", 3, 5)}
     near = {(names[r.doc], r.item_id) for r in D.proximity_matches(index, terms, 20, 0.6, small_side).collect()}
     assert (8, "1") in near and (4, "1") not in near
+
+
+def test_proximity_with_an_unseen_or_replaced_word(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    long = [f"t{i}" for i in range(120)]
+    rows = [
+        (1, "filler " * 50 + "alpha beta gamma delta other zeta eta theta iota kappa"),
+        (2, "alpha beta gamma delta epsilon zeta eta filler filler filler"),
+        (3, " ".join(reversed(long[:100]))),
+        (4, "filler " * 30 + "kappa iota theta eta zeta delta gamma beta"),
+    ]
+    docs = spark.createDataFrame([*rows, (5, "epsilon")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, item.replace("epsilon", "unseen")), (3, " ".join(long))], "item_id long, text string")
+    terms = D.item_terms(items)
+    index = D.build_index(docs, terms)
+    names = {r.doc: r.doc_id for r in index.where("term = 0").collect()}
+    near = {(names[r.doc], r.item_id) for r in D.proximity_matches(index, terms).collect()}
+    assert near == {(1, "1"), (1, "2"), (3, "3"), (4, "1"), (4, "2")}

@@ -99,17 +99,27 @@ def phrase_matches(index: DataFrame, terms: DataFrame, window: int = 10, small_s
     return runs.join(small(lengths, small_side), "item").where(long_enough).select("doc", "item", "item_id", (F.col("diagonal") + F.col("first")).alias("start"), (F.col("diagonal") + F.col("last") + 1).alias("end"))
 
 
-def proximity_matches(index: DataFrame, terms: DataFrame, span: int = 40, share: float = 0.8, small_side: int = 200_000) -> DataFrame:
-    """doc, item_id, position, found, wanted: places of an item's rarest term with ``share`` of its terms within ``span`` words."""
-    wanted = terms.groupBy("item").agg(F.count_distinct("term").alias("wanted"), F.first("item_id").alias("item_id"))
-    anchors = stored(rarest_terms(index, terms, 1 << 20).select("item", "term").distinct(), "anchors")
-    near = F.explode(F.array(*(F.floor(F.col("position") / span).cast("int") + d for d in (-1, 0, 1)))).alias("cell")
-    fits = [F.col(f"a.{c}").isNull() | (F.col(f"a.{c}") == F.col(f"i.{c}")) for c in ("before", "after")]
-    seeds = index.alias("i").join(small(anchors, small_side).alias("a"), (F.col("i.term") == F.col("a.term")) & fits[0] & fits[1]).select("doc", "item", F.col("position").alias("at"), near)
-    others = index.where(F.col("term") != END).select("doc", "term", "position", F.floor(F.col("position") / span).cast("int").alias("cell"))
-    close = seeds.join(others, ["doc", "cell"]).where(F.abs(F.col("position") - F.col("at")) <= span)
+def proximity_matches(index: DataFrame, terms: DataFrame, span: int | None = None, share: float = 0.8, small_side: int = 200_000) -> DataFrame:
+    """doc, item_id, position, found, wanted: places of an item's anchor terms with ``share`` of its terms within ``span`` words.
+
+    ``span`` is the item's length in words by default. As many terms may be missing as ``share`` allows, those that never
+    occur first; the anchors are the rarest terms that do occur, one more than may still be missing, so every match has one.
+    """
+    counts = index.where(F.col("term") != END).groupBy("term").agg(F.count("*").alias("df"))
+    reach = F.col("n") if span is None else F.lit(span)
+    lengths = terms.groupBy("item").agg(F.count_distinct("term").alias("wanted"), F.first("item_id").alias("item_id"), F.first("n").alias("n"))
+    wanted = lengths.withColumn("least", F.ceil(F.col("wanted") * share).cast("int")).withColumn("reach", reach.cast("int"))
+    ranked = terms.select("item", "term").distinct().join(counts, "term", "left").withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("df", F.lit(0)), "term")))
+    anchors = ranked.join(wanted, "item").where(F.col("df").isNotNull() & (F.col("rank") <= F.col("wanted") - F.col("least") + 1))
+    anchors = stored(anchors.select("item", "term", "reach"), "anchors")
+    cell = F.floor(F.col("position") / F.col("reach")).cast("int")
+    near = F.explode(F.array(*(cell + d for d in (-1, 0, 1)))).alias("cell")
+    seeds = index.join(small(anchors, small_side), "term").select("doc", "item", "reach", F.col("position").alias("at"), near)
+    reaches = anchors.select("reach").distinct()
+    others = index.where(F.col("term") != END).select("doc", "term", "position").crossJoin(F.broadcast(reaches)).withColumn("cell", cell)
+    close = seeds.join(others, ["doc", "reach", "cell"]).where(F.abs(F.col("position") - F.col("at")) <= F.col("reach"))
     found = close.join(small(terms.select("item", "term").distinct(), small_side), ["item", "term"]).groupBy("doc", "item", "at").agg(F.count_distinct("term").alias("found"))
-    return found.join(small(wanted, small_side), "item").where(F.col("found") >= F.ceil(F.col("wanted") * share)).select("doc", "item_id", F.col("at").alias("position"), "found", "wanted")
+    return found.join(small(wanted, small_side), "item").where(F.col("found") >= F.col("least")).select("doc", "item_id", F.col("at").alias("position"), "found", "wanted")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
