@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from vintage_jobs.functions.scalars import choice, chosen_value
 from vintage_jobs.jobs import fits
+from vintage_jobs.operators.evaluate import expanding_ar1
 from vintage_jobs.operators.vintage import month_lag_vintages
 
 
@@ -73,7 +74,7 @@ def selected_forecasts(losses: DataFrame, d: int = 1, h: float = 0.2, min_train:
 def boosted_backtest(rows: DataFrame, min_train: int = 25, buckets: int = 4, **options) -> DataFrame:
     """One forecast for each target with at least ``min_train`` before it, from rows (panel_id, target_period, y, y_lag1, x).
 
-    A panel's rows go once to each of ``buckets`` groups, which take every ``buckets``-th origin: not a copy an origin.
+    ``y_pred_ar1`` is the forecast of an autoregression on the same targets. A panel's rows go once to each of ``buckets`` groups, which take every ``buckets``-th origin: not a copy an origin.
     """
     schema = "panel_id string, target_period date, y_true double, y_pred double, n_train int, n_trees int"
 
@@ -91,8 +92,10 @@ def boosted_backtest(rows: DataFrame, min_train: int = 25, buckets: int = 4, **o
 
     dealt = rows.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
     out = dealt.groupBy("panel_id", "bucket").applyInPandas(lambda pdf: fit(pdf), schema)
+    ar1 = expanding_ar1(rows.select("panel_id", "target_period", "y"), least=min_train).select("panel_id", "target_period", F.col("y_pred").alias("y_pred_ar1"))
+    out = out.join(ar1, ["panel_id", "target_period"], "left")
     error = F.col("y_true") - F.col("y_pred")
-    return out.withColumns({"error": error, "abs_error": F.abs(error), "squared_error": error * error})
+    return out.withColumns({"error": error, "error_ar1": F.col("y_true") - F.col("y_pred_ar1"), "abs_error": F.abs(error), "squared_error": error * error})
 
 
 def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, list, list]:
@@ -113,7 +116,7 @@ def factor_mixture(panel: DataFrame, lag_months: DataFrame, as_ofs: DataFrame, s
     """Now- and backcast of each specification on each vintage, as forecast records.
 
     Keyed by (panel, as-of, r, p). The target quarter is the vintage's next month in phase and the one before it;
-    a prediction needs that month in the vintage. The common part leaves out the fitted mean unless ``add_mu``.
+    a prediction needs that month in the vintage. ``as_ofs`` hold for all panels unless they have a panel_id. The common part leaves out the fitted mean unless ``add_mu``.
     """
     schema = "panel_id string, as_of date, model_id string, y_now double, y_back double, loglik double, ok boolean, converged boolean, error string"
 
@@ -136,7 +139,10 @@ def factor_mixture(panel: DataFrame, lag_months: DataFrame, as_ofs: DataFrame, s
             row["error"] = str(e)
         return pd.DataFrame([row])
 
-    vintage = month_lag_vintages(panel, lag_months, as_ofs).crossJoin(F.broadcast(specs))
+    vintage = month_lag_vintages(panel, lag_months, as_ofs.select("as_of").distinct())
+    if "panel_id" in as_ofs.columns:
+        vintage = vintage.join(F.broadcast(as_ofs), ["panel_id", "as_of"], "left_semi")
+    vintage = vintage.crossJoin(F.broadcast(specs))
     return vintage.groupBy("panel_id", "as_of", "model_id", "r", "p").applyInPandas(lambda pdf: fit(pdf), schema)
 
 

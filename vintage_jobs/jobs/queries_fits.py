@@ -33,18 +33,18 @@ def x3(spark, sf_dir):
 @CORE.add("x4_boosted_backtest")
 def x4(spark, sf_dir):
     targets, predictors = quarter_targets(spark, sf_dir)
-    rows = T.supervised_rows(T.lagged_features(targets, predictors, X.month_lags(spark, sf_dir), rule="end", max_lag=6), targets)
-    return J.boosted_backtest(rows, min_train=12, rounds=100, leaf=3, split=6)
+    rows = T.supervised_rows(T.lagged_features(targets, predictors, X.month_lags(spark, sf_dir), rule="end"), targets)
+    return J.boosted_backtest(rows, min_train=12, leaf=3, split=6)
 
 
 @CORE.add("x5_factor_mixture")
 def x5(spark, sf_dir):
     panel = X.panel(spark, sf_dir)
-    as_ofs = V.asof_grid(spark, "2000-01-01", "2001-08-31")
-    made = J.factor_mixture(panel, X.month_lags(spark, sf_dir), as_ofs, C.mixture_grid(spark, [2, 3], [1, 2]), P.TARGET, most=8)
+    as_ofs = V.panel_asofs(panel, 60)
+    made = J.factor_mixture(panel, X.month_lags(spark, sf_dir), as_ofs, C.mixture_grid(spark, [2, 3, 4, 5], [1, 2, 3]), P.TARGET)
     return made.select("panel_id", "as_of", "model_id", "y_now", "y_back", "loglik", "ok", "converged", "error")
 
 
 @CORE.add("x6_factor_backtest")
 def x6(spark, sf_dir):
-    return C.best_by_criterion(J.factor_backtest(X.panel(spark, sf_dir), P.TARGET, min_months=60, k_max=3, most=8))
+    return C.best_by_criterion(J.factor_backtest(X.panel(spark, sf_dir), P.TARGET, min_months=60))

@@ -16,6 +16,13 @@ def asof_grid(spark: SparkSession, start: str, end: str) -> DataFrame:
     return bounds.select(F.explode(D.month_end_grid(F.col("s"), F.col("e"))).alias("as_of"))
 
 
+def panel_asofs(panel: DataFrame, months: int) -> DataFrame:
+    """panel_id, as_of: the month ends of each panel from its month number ``months`` to its last."""
+    spans = panel.groupBy("panel_id").agg(F.min("period").alias("lo"), F.max("period").alias("hi"))
+    start, end = F.add_months(D.month_start(F.col("lo")), months - 1), F.last_day("hi")
+    return spans.where(start <= end).select("panel_id", F.explode(D.month_end_grid(start, end)).alias("as_of"))
+
+
 def with_lags(panel: DataFrame, lags: DataFrame, default: dict = DEFAULT_LAG) -> DataFrame:
     """The panel with the lag columns of its series; unlisted series get the default. One row a series: always small."""
     joined = panel.join(F.broadcast(lags.select("series_id", *default)), "series_id", "left")
