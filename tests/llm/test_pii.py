@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 from hypothesis import given, settings
@@ -62,7 +63,18 @@ def test_whole_table(spark, small_dir):
     got = {r.doc_id: r for r in P.pii_digest(docs).collect()}
     for row in docs.collect():
         want = brute(row.text)
-        assert [got[row.doc_id][f"n_{k}"] for k in P.BASE_KINDS] == [sum(s[2] == k for s in want) for k in P.BASE_KINDS]
+        own = got[row.doc_id]
+        assert [own[f"n_{k}"] for k in P.BASE_KINDS] == [sum(s[2] == k for s in want) for k in P.BASE_KINDS]
+        assert own.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k in want).encode()).hexdigest()
+        spans = [s.split(":") for s in own.spans.split(",") if s]
+        assert [(int(s), int(e), k) for k, s, e in spans if k in P.BASE_KINDS] == want
+        assert [(int(s), list(P.KINDS).index(k)) for k, s, _ in spans] == sorted((int(s), list(P.KINDS).index(k)) for k, s, _ in spans)
+
+
+def test_leading_zeros_of_any_length():
+    for zeros in (1, 3, 5000):
+        text = f"at {'0' * zeros}1.2.3.255 and {'0' * zeros}.0.0.0 not {'0' * zeros}1.2.3.{'0' * zeros}256"
+        assert [(text[s:e].lstrip("0"), k) for s, e, k in P.find_spans(text) if k == "ip"] == [("1.2.3.255", "ip"), (".0.0.0", "ip")]
 
 
 def test_edge_rows(spark):

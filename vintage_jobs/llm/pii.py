@@ -63,6 +63,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def at_most_255(digits: str) -> bool:
+    """Whether a decimal number is at most 255, whatever zeros lead it."""
+    plain = digits.lstrip("0")
+    return len(plain) <= 3 and int(plain or "0") <= 255
+
+
 def iban_end(text: str, start: int, end: int) -> int:
     """Where the account number that starts at ``start`` ends, if its check digits hold; else -1."""
     while end - start >= 15:
@@ -104,7 +110,7 @@ def find_spans(text: str | None) -> list[tuple[int, int, str]]:
                 ip = DOTTED.match(text, at).end()
                 if ip - at >= 7:
                     for s, e in dotted_quads(text, at, ip):
-                        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text[s:e].split(".")):
+                        if all(at_most_255(p) for p in text[s:e].split(".")):
                             out.append((s, e, "ip"))
             if at >= card:
                 found = CARD.match(text, at)
