@@ -28,13 +28,42 @@ def test_fold_of_deltas_edits_and_regenerations(spark):
     out = {r.conv_id: r for r in C.format_chats(made).collect()}
     assert out[1].output == "<s>[INST] Hello [/INST][ANSWER] good day </s>"
     assert [out[1].output[s.start : s.end] for s in out[1].loss_spans] == ["good day"]
-    assert [t for _, t, _ in C.read_turns(out[2].output)] == ["b"]
+    assert [(r, t) for r, t, _ in C.read_turns(out[2].output)] == [("user", "b"), ("assistant", "")]
+
+
+def test_a_log_of_deltas_only_keeps_turns_and_roles(spark):
+    events = [
+        (1, 0, 0, "delta", "user", "ques"), (1, 0, 1, "delta", None, "tion"), (1, 1, 0, "delta", "assistant", "ans"), (1, 1, 1, "delta", None, "wer"),
+        (1, 2, 5, "delta", "user", "x"), (1, 2, 5, "message", "user", ""), (1, 2, 6, "other", None, "y"), (2, None, 0, "edit", "system", "s"), (2, 0, 0, "regenerate", "assistant", None),
+    ]
+    made = spark.createDataFrame(events, "conv_id long, turn long, seq long, kind string, role string, text string").orderBy(F.rand(2))
+    out = {r.conv_id: r for r in C.format_chats(made).collect()}
+    assert [(r, t) for r, t, _ in C.read_turns(out[1].output)] == [("user", "question"), ("assistant", "answer"), ("user", "xy")]
+    assert [out[1].output[s.start : s.end] for s in out[1].loss_spans] == ["answer"]
+    assert [(r, t) for r, t, _ in C.read_turns(out[2].output)] == [("system", "s"), ("assistant", "")]
+
+
+def test_stored_turns_are_streamed_as_deltas(spark):
+    rows = [(1, 0, "user", "abcdefg"), (1, 1, "assistant", "é" * 10), (1, 1, "assistant", "é" * 10), (1, 2, "user", "")]
+    log = C.message_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), piece=3)
+    kinds = [r.kind for r in log.collect()]
+    assert kinds.count("message") == 4 and kinds.count("delta") == 3 + 4 + 4
+    out = C.format_chats(log.orderBy(F.rand(3))).first()
+    assert [(r, t) for r, t, _ in C.read_turns(out.output)] == [("user", "abcdefg"), ("assistant", "é" * 10), ("assistant", "é" * 10), ("user", "")]
 
 
 def digest(turns):
     whole = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
     loss = "".join(t for r, t in turns if r == "assistant")
-    return len(turns), whole, len(loss), hashlib.sha256(loss.encode()).hexdigest()
+    size = len("<s>") + sum(len({"user": "[INST]  [/INST]", "assistant": "[ANSWER]  </s>"}.get(r, f"[ROLE={r}]  [/ROLE]")) + len(slow_escape(t)) for r, t in turns)
+    return len(turns), whole, len(loss), hashlib.sha256(loss.encode()).hexdigest(), size
+
+
+def slow_escape(text):
+    text = text.replace("\\", "\\\\")
+    for control in ("<s>", "</s>", "[INST]", "[/INST]", "[ANSWER]", "[/ANSWER]", "[ROLE=", "[/ROLE]"):
+        text = text.replace(control, "\\" + control)
+    return text
 
 
 def test_whole_table(spark, small_dir):
@@ -45,7 +74,7 @@ def test_whole_table(spark, small_dir):
     for r in rows:
         want.setdefault(r.conv_id, []).append((r.role, r.text or ""))
     want[-1] = [(r, "</s>[INST] ok [/INST]") for r in ("user", "assistant")]
-    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in op8_chat(spark, small_dir).collect()} == {k: digest(v) for k, v in want.items()}
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) for r in op8_chat(spark, small_dir).collect()} == {k: digest(v) for k, v in want.items()}
 
 
 def test_edge_rows(spark):
