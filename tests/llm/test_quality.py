@@ -1,3 +1,4 @@
+import zlib
 from itertools import product
 
 import numpy as np
@@ -34,12 +35,98 @@ def test_held_out_accuracy_and_labels_unseen(spark):
     assert same == {r.doc_id: r.score for r in Q.quality_digest(docs, labels).where("held_out").collect()}
 
 
-def test_long_documents_are_cut_without_a_trace():
-    good, bad = "It is a plain sentence about the weather today.", "a | b | c | d | e | f"
-    model = Q.Model().fit([(*Q.document_features("\n".join([line] * 5)), q) for line, q in ((good, 1), (bad, 0)) for _ in range(20)])
-    x, lengths = Q.document_features("\n".join([good, bad, good] * 200))
-    assert model.mean_marginal(x, lengths, block=64) == pytest.approx(model.mean_marginal(x, lengths), abs=1e-6)
-    assert model.score(good) > 0.5 > model.score(bad)
+GOOD, BAD = "It is a plain sentence about the weather today.", "a | b | c | d | e | f"
+
+
+def small_model():
+    return Q.Model().fit([(*Q.document_features("\n".join([line] * 5)), q) for line, q in ((GOOD, 1), (BAD, 0)) for _ in range(20)])
+
+
+def test_long_documents_are_scored_whole():
+    model = small_model()
+    text = "\n".join([GOOD, BAD, GOOD] * 3000)
+    small, whole = (np.concatenate([x for x, _ in Q.line_blocks(text, block)]) for block in (7, 1 << 20))
+    assert (small == whole).all() and len(whole) == 9000
+    unary = model.line_scores(whole)
+    _, marginal, _ = Q.forward_backward(unary[None], np.ones((1, len(unary)), bool), model.transition)
+    assert Q.chain_marginals(unary, model.transition) == pytest.approx(marginal[0], abs=1e-7)
+    assert Q.chain_marginals(np.array([1e4, -1e4, 1e4]), model.transition) == pytest.approx([1, 0, 1])
+    assert model.score(GOOD) > 0.5 > model.score(BAD)
+    # what comes after any number of lines counts
+    assert model.score("\n".join([GOOD] * 300 + [BAD] * 3000)) < model.score("\n".join([GOOD] * 300))
+
+
+def slow_features(line, lines_before):
+    words = line.split()
+    n = len(words)
+    count = lambda chars, s: sum(c in chars for c in s)
+    return [
+        sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, 1 - len(set(words)) / n, count("|&*$#%=<>{}[]~^_\\/@+", line) / n, sum(w.isupper() for w in words) / n,
+        count("0123456789", line) / len(line), count(",;", line) / n, count(".!?", line) / n, float(line.strip()[-1] in ".!?:\"'”»)"), float(line.strip()[0].isupper()),
+        min(len(line) / n, 40) / 10, float(n < 4), min(n, 100) / 100, float(line in lines_before),
+    ]
+
+
+def slow_score(model, text):
+    """By listing all labellings of the lines."""
+    lines = [line for line in (text or "").split("\n") if line.split()]
+    if not lines:
+        return 0.0
+    own = [slow_features(line, lines[:i]) for i, line in enumerate(lines)]
+    zero = [0.0] * len(own[0])
+    x = np.array([own[i] + (own[i - 1] if i else zero) + (own[i + 1] if i + 1 < len(own) else zero) for i in range(len(own))])
+    unary = ((x - model.mean) / model.scale) @ model.weights[:-1] + model.weights[-1]
+    good, total = np.zeros(len(lines)), 0.0
+    for path in product((0, 1), repeat=len(lines)):
+        weight = np.exp(sum(u for u, s in zip(unary, path, strict=True) if s) + sum(model.transition[a, b] for a, b in zip(path, path[1:], strict=False)))
+        good, total = good + weight * np.array(path), total + weight
+    sizes = np.array([len(line) for line in lines])
+    mean = (good / total) @ sizes / sizes.sum()
+    return 1 / (1 + np.exp(-(model.curve[0] * mean + model.curve[1])))
+
+
+def test_query_against_all_labellings(spark, small_dir):
+    docs, labels = (spark.read.parquet(f"{small_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = Q.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    short = {d: t for d, t in texts.items() if sum(bool(line.split()) for line in (t or "").split("\n")) <= 10}
+    assert len(short) > 50
+    got = {r.doc_id: r for r in Q.quality_digest(docs, labels).collect()}
+    assert set(got) == set(texts)
+    for d, t in short.items():
+        assert got[d].score == pytest.approx(slow_score(model, t), abs=1e-9) and got[d].predicted == (got[d].score >= 0.5)
+    assert all(r.held_out == (zlib.crc32(str(d).encode()) % 3 == 1) for d, r in got.items())
+
+
+def test_field_is_a_maximum_of_the_likelihood():
+    rng = np.random.default_rng(1)
+    x = [rng.normal(size=(n, 3)) for n in rng.integers(1, 9, 60)]
+    y = [(v[:, 0] + rng.normal(size=len(v)) > 0).astype(float) for v in x]
+    w, transition = Q.fit_field(x, y, rounds=600)
+
+    def value(w, transition):
+        out = 0.0
+        for v, own in zip(x, y, strict=True):
+            unary = v @ w[:-1] + w[-1]
+            paths = list(product((0, 1), repeat=len(v)))
+            scores = [sum(u for u, s in zip(unary, p, strict=True) if s) + sum(transition[a, b] for a, b in zip(p, p[1:], strict=False)) for p in paths]
+            out += scores[paths.index(tuple(own.astype(int)))] - np.log(np.exp(scores).sum())
+        return out / sum(map(len, x)) - 0.5e-3 * ((w**2).sum() + (transition**2).sum())
+
+    best = value(w, transition)
+    for _ in range(30):
+        assert value(w + rng.normal(0, 0.05, len(w)), transition + rng.normal(0, 0.05, (2, 2))) < best
+
+
+def test_sample_is_bounded_however_often_a_document_is_repeated(spark, monkeypatch):
+    docs = spark.range(300).select((F.col("id") % 6).alias("doc_id"), F.concat(F.lit(GOOD + "\n"), F.col("id").cast("string"), F.lit(" words")).alias("text"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(Q.Model, "fit", lambda self, rows: seen.append(rows) or self)
+    Q.fit(docs, labels, max_docs=20)
+    Q.fit(docs, labels, max_docs=200, max_lines=30)
+    assert [len(r) for r in seen] == [20, 15]
+    assert sum(len(x) for x, _, _ in seen[1]) <= 30
 
 
 def test_edge_rows(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import warnings
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -20,6 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+        warnings.warn(f"spark.checkpoint.dir is unset; intermediate tables go to {found}, which all executors must share", stacklevel=2)
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
@@ -35,11 +37,6 @@ def stored(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` in small batches, so that a batch of very long texts stays small too."""
-    return df.mapInArrow(work, schema)
-
-
 def row_mapper(names: list[str], arrow: pa.Schema, each: Callable) -> Callable:
     """A mapInArrow function that applies ``each(*values) -> tuple`` to every row and keeps nothing between batches."""
 
@@ -62,3 +59,17 @@ def crc32_of(column: Column) -> Column:
 def widest(spark: SparkSession, least: int = 8) -> int:
     """How many partitions a shuffle of this session has."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def joined_by_key(rows: DataFrame, of: DataFrame, key: str, size: str, total: int, apart: list[str]) -> DataFrame:
+    """``rows`` joined with ``of`` (one row a key; column ``size``: about how many of the ``total`` rows have that key).
+
+    Keys with more than 1 / (2 partitions) of the rows are dealt over several tasks by a hash of the columns ``apart``.
+    There are fewer than 2 partitions such keys, so their table is broadcast whatever the input is.
+    """
+    limit = max(64, total // (2 * widest(rows.sparkSession)))
+    hot = of.where(F.col(size) > limit).select(key, F.ceil(F.col(size) / limit).cast("int").alias("__ways"))
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("__way", F.pmod(F.xxhash64(*apart), F.coalesce("__ways", F.lit(1))).cast("int")).drop("__ways")
+    ways = F.when(F.col(size) > limit, F.ceil(F.col(size) / limit).cast("int")).otherwise(F.lit(1))
+    right = of.withColumn("__way", F.explode(F.sequence(F.lit(0), ways - 1)))
+    return left.join(right, [key, "__way"]).drop("__way")

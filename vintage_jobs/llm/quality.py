@@ -6,27 +6,31 @@ model is fitted with each line under its document's label, then in bad documents
 worst) are bad and the others good. The field is fitted to these labels by likelihood. A document's length-weighted
 mean of the forward-backward marginals is mapped to a probability by a logistic curve fitted on the same documents.
 
-The fit uses at most ``max_docs`` labelled rows and ``max_lines`` lines of each, chosen by a hash of doc_id from the rows
-that ``learn`` admits; scoring reads whole texts. Neither labels nor ids are features.
+The fit uses the whole texts of labelled rows, in the order of a hash of doc_id and text, until it has ``max_docs`` rows
+or ``max_lines`` lines: this bounds what reaches the driver. In the fit a text of more than ``CHAIN`` lines counts as
+several chains; scoring runs exact forward-backward over the whole text. Neither labels nor ids are features.
 
 Defined results: null and empty texts and texts without words score 0; without labels of both classes every other text
-scores the share of good labels (0.5 without any); rows are scored one by one, so repeated rows score alike.
+scores the share of good labels (0.5 without any); rows are scored one by one, so repeated rows score alike. Labels of
+one doc_id that differ count as the greatest; a labelled doc_id with several texts gives each of them that label.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vintage_jobs.llm.common import crc32_of
+from vintage_jobs.llm.common import crc32_of, stored
 
 SYMBOLS = "|&*$#%=<>{}[]~^_\\/@+"
 N_LINE = 13
+CHAIN = 256  # the most lines of a chain in the fit
 
 
 def line_features(line: str, words: list[str], seen: set[int]) -> tuple[float, ...]:
@@ -51,22 +55,36 @@ def line_features(line: str, words: list[str], seen: set[int]) -> tuple[float, .
     )
 
 
-def document_features(text: str | None, max_lines: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Features (lines x 3 N_LINE: own, line before, line after) and lengths of the lines that have words."""
-    rows, lengths, seen = [], [], set()
-    for line in (text or "").split("\n"):
+def line_blocks(text: str | None, block: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features (lines x 3 N_LINE: own, line before, line after) and lengths of the lines with words, some at a time."""
+    rows, lengths, seen, before, at = [], [], set(), np.zeros((1, N_LINE)), 0
+
+    def made(n: int) -> tuple[np.ndarray, np.ndarray]:
+        own = np.array(rows, np.float64).reshape(-1, N_LINE)
+        around = np.concatenate((before, own, np.zeros((1, N_LINE))))
+        return np.hstack((own[:n], around[:n], around[2 : n + 2])), np.array(lengths[:n], np.float64)
+
+    text = text or ""
+    while at <= len(text):
+        end = text.find("\n", at)
+        line, at = (text[at:], len(text) + 1) if end < 0 else (text[at:end], end + 1)
         words = line.split()
         if words:
             rows.append(line_features(line, words, seen))
             lengths.append(len(line))
-            if len(rows) == max_lines:
-                break
-    own = np.array(rows, np.float64).reshape(-1, N_LINE)
-    out = np.zeros((len(own), 3 * N_LINE))
-    out[:, :N_LINE] = own
-    out[1:, N_LINE : 2 * N_LINE] = own[:-1]
-    out[:-1, 2 * N_LINE :] = own[1:]
-    return out, np.array(lengths, np.float64)
+            if len(rows) > block:
+                yield made(block)
+                before, rows, lengths = np.array([rows[block - 1]]), rows[block:], lengths[block:]
+    if rows:
+        yield made(len(rows))
+
+
+def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The features and lengths of all lines of a text."""
+    parts = list(line_blocks(text))
+    if not parts:
+        return np.zeros((0, 3 * N_LINE)), np.zeros(0)
+    return np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])
 
 
 def sigmoid(x):
@@ -117,6 +135,24 @@ def forward_backward(unary: np.ndarray, mask: np.ndarray, transition: np.ndarray
     return total, marginal.T, pairs
 
 
+def chain_marginals(unary: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """Marginals of state 1 of one chain of any length: the messages are log odds, so a step is one number."""
+    (a, b), (c, d) = np.exp(transition).tolist()
+    scores = np.clip(unary, -300, 300).tolist()
+    ahead = [0.0] * len(scores)
+    odds = 0.0
+    for t in range(len(scores) - 1, 0, -1):
+        r = math.exp(min(max(scores[t] + odds, -600.0), 600.0))
+        ahead[t - 1] = odds = math.log((c + d * r) / (a + b * r))
+    odds, out = scores[0], []
+    for t, after in enumerate(ahead):
+        if t:
+            r = math.exp(min(max(odds, -600.0), 600.0))
+            odds = scores[t] + math.log((b + d * r) / (a + c * r))
+        out.append(odds + after)
+    return 1 / (1 + np.exp(-np.clip(out, -600, 600)))
+
+
 def padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     length = max(map(len, parts))
     mask = np.zeros((len(parts), length), bool)
@@ -157,16 +193,12 @@ class Model:
     def __init__(self, prior: float = 0.5):
         self.prior, self.weights = prior, None
 
-    def mean_marginal(self, x: np.ndarray, lengths: np.ndarray, block: int = 4096) -> float:
-        """Length-weighted mean of the marginals; chains are cut into blocks of lines, with the next as context."""
-        total = 0.0
-        for at in range(0, len(x), block):
-            lo, hi = max(0, at - 64), min(len(x), at + block + 64)
-            unary = ((x[lo:hi] - self.mean) / self.scale) @ self.weights[:-1] + self.weights[-1]
-            _, marginal, _ = forward_backward(unary[None], np.ones((1, hi - lo), bool), self.transition)
-            own = slice(at - lo, min(len(x), at + block) - lo)
-            total += float(marginal[0, own] @ lengths[at : at + block])
-        return total / float(lengths.sum())
+    def line_scores(self, x: np.ndarray) -> np.ndarray:
+        return ((x - self.mean) / self.scale) @ self.weights[:-1] + self.weights[-1]
+
+    def mean_marginal(self, unary: np.ndarray, lengths: np.ndarray) -> float:
+        """Length-weighted mean of the marginals of a text's lines, from the scores of its lines."""
+        return float(chain_marginals(unary, self.transition) @ lengths) / float(lengths.sum())
 
     def fit(self, docs: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
         docs = [d for d in docs if len(d[0])]
@@ -184,38 +216,46 @@ class Model:
         for s, label in zip(scaled, labels, strict=True):
             good = s @ rough[:-1] + rough[-1]
             lines.append(np.ones(len(s)) if label else (good > max(0.0, good.min())).astype(float))
-        self.weights, self.transition = fit_field(scaled, lines)
-        means = np.array([self.mean_marginal(d[0], d[1]) for d in docs])
+        cut = lambda parts: [p[at : at + CHAIN] for p in parts for at in range(0, len(p), CHAIN)]
+        self.weights, self.transition = fit_field(cut(scaled), cut(lines))
+        means = np.array([self.mean_marginal(self.line_scores(d[0]), d[1]) for d in docs])
         self.curve = logistic(means[:, None], labels, np.ones(len(docs)), ridge=1e-4)
         return self
 
     def score(self, text: str | None) -> float:
-        x, lengths = document_features(text)
-        if not len(x):
+        parts = [(x if self.weights is None else self.line_scores(x), n) for x, n in line_blocks(text)]
+        if not parts:
             return 0.0
         if self.weights is None:
             return self.prior
-        return float(sigmoid(self.curve[0] * self.mean_marginal(x, lengths) + self.curve[1]))
+        mean = self.mean_marginal(np.concatenate([u for u, _ in parts]), np.concatenate([n for _, n in parts]))
+        return float(sigmoid(self.curve[0] * mean + self.curve[1]))
 
 
 def learn_by_default(doc_id: str = "doc_id") -> Column:
     return crc32_of(F.col(doc_id)) % 3 != 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_lines: int = 200) -> Model:
-    """Fits on a bounded sample: only features of at most max_docs x max_lines lines reach the driver."""
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_lines: int = 100_000) -> Model:
+    """Fits on a bounded sample of labelled rows: at most max_docs whole texts of together at most max_lines lines."""
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & learn_by_default()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("x", pa.binary()), ("lengths", pa.binary())])
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").where("text IS NOT NULL")
+    rank = (F.xxhash64("doc_id"), F.col("doc_id"), F.col("key"))
+    sized = own.select("doc_id", "quality", F.xxhash64("text").alias("key"), (F.char_length("text") - F.char_length(F.translate("text", "\n", "")) + 1).alias("lines"), "text")
+    # a doc_id may have any number of texts, so the rows are ranked before their bound holds
+    first = sized.select("doc_id", "key", "lines").distinct().orderBy(*rank).limit(max_docs)
+    within = first.withColumn("upto", F.sum("lines").over(Window.orderBy(*rank).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") <= max_lines).select("doc_id", "key")
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("quality", pa.int32()), ("x", pa.binary()), ("lengths", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [document_features(t.as_py(), max_lines) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([x.astype("<f4").tobytes() for x, _ in made]), pa.array([n.astype("<f4").tobytes() for _, n in made])], schema=schema)
+            made = [document_features(t.as_py()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "key", "quality")), pa.array([x.astype("<f4").tobytes() for x, _ in made], pa.binary()), pa.array([n.astype("<f4").tobytes() for _, n in made], pa.binary())], schema=schema)
 
-    joined = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
-    rows = joined.mapInArrow(work, "doc_id long, quality int, x binary, lengths binary").dropDuplicates(["doc_id", "x", "lengths"]).collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.x)))
+    texts = stored(sized.join(F.broadcast(within), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("doc_id", "key", "quality", "text"), "labelled")
+    rows = texts.mapInArrow(work, "doc_id long, key long, quality int, x binary, lengths binary").collect()
+    rows.sort(key=lambda r: (r.doc_id, r.key))
     unpack = lambda b: np.frombuffer(bytes(b), "<f4").astype(np.float64)
     return Model().fit([(unpack(r.x).reshape(-1, 3 * N_LINE), unpack(r.lengths), r.quality) for r in rows])
 

@@ -64,4 +64,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ctph": op10_ctph,
 }
 
-ORACLES: dict[str, str] = {"op2_decontamination": decontam.ORACLE}
+ORACLES: dict[str, str] = {"op2_decontamination": decontam.ORACLE, "op5_substring": substring.ORACLE, "op8_chat": chat.ORACLE}

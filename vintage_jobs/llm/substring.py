@@ -335,3 +335,15 @@ def repeats_removed(docs: DataFrame, window: int = 20) -> DataFrame:
 def substring_digest(docs: DataFrame) -> DataFrame:
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return repeats_removed(docs).select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, [w FOR w IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF w <> ''] AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM d WHERE len(w) >= 20),
+s AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS n FROM g),
+c AS (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM s WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM c),
+x AS (SELECT doc_id, w, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT x.doc_id, count(*) FILTER (WHERE gone.p IS NOT NULL) AS n_removed, string_agg(CASE WHEN gone.p IS NULL THEN word END, ' ' ORDER BY x.p) AS kept FROM x LEFT JOIN gone USING (doc_id, p) GROUP BY x.doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
