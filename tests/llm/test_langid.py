@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -32,6 +34,84 @@ def test_families_then_pairs():
     assert model.predict(long)[0] == "de" and np.allclose(L.trigrams(long), L.trigrams(long[: len(long) // 2]), atol=1e-3)
 
 
+def slow_trigrams(text):
+    data = b" " + text.encode() + b" "
+    folded = [b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in data]
+    counts = {}
+    for a, b, c in zip(folded, folded[1:], folded[2:], strict=False):
+        if (a, b, c) != (32, 32, 32):
+            k = ((a << 16 | b << 8 | c) * 2654435761 % (1 << 32)) >> 20
+            counts[k] = counts.get(k, 0) + 1
+    total = sum(counts.values())
+    return {k: (n / total) ** 0.5 for k, n in counts.items()}
+
+
+def slow_prediction(model, text):
+    if not any(c.isalpha() for c in text or ""):
+        return "und"
+    x = slow_trigrams(text)
+    margin = lambda w: sum(v * float(w[k]) for k, v in x.items()) + float(w[-1])
+    family = next(iter(model.families))
+    if len(model.families) == 2:
+        family = family if margin(model.heads[0][1]) >= 0 else list(model.families)[1]
+    elif model.heads:
+        family = max(model.heads, key=lambda h: margin(h[1]))[0]
+    codes = model.families[family]
+    wins, sums = dict.fromkeys(codes, 0), dict.fromkeys(codes, 0.0)
+    for (a, b), w in model.pairs.items():
+        if a in codes and b in codes:
+            m = margin(w)
+            wins[a if m >= 0 else b] += 1
+            sums[a] += m
+            sums[b] -= m
+    return max(codes, key=lambda c: (wins[c], sums[c]))
+
+
+def test_query_against_brute_force(spark, small_dir):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    model = L.fit(docs)
+    got = {r.doc_id: r for r in L.language_digest(docs).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        assert got[r.doc_id].lang_pred == slow_prediction(model, r.text)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_machine_is_the_minimum_of_its_loss():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(80, 6))
+    y = np.where(x[:, 0] + rng.normal(size=80) > 0.8, 1.0, -1.0)
+    w = L.support_vectors(x, y, cost=1.0, epochs=500).astype(float)
+    share = np.where(y > 0, (y > 0).mean(), (y < 0).mean())
+
+    def loss(w):
+        hinge = np.maximum(0, 1 - y * (x @ w[:-1] + w[-1]))
+        return 0.5 * (w[:-1] @ w[:-1] + (w[-1] / 0.3) ** 2) + 0.5 * (hinge**2 / share).sum()
+
+    best = loss(w)
+    assert all(loss(w + rng.normal(0, 0.01, len(w))) >= best - 1e-4 for _ in range(50))
+
+
+def test_sample_is_bounded_and_reaches_every_language(spark):
+    text = F.when(F.col("id") % 3 == 0, F.lit("the same copy")).otherwise(F.concat(F.lit("words of row "), F.col("id").cast("string")))
+    docs = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id")).alias("doc_id"), text.alias("text"), F.concat(F.lit("l"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 7).cast("string")).alias("lang"))
+    seen = []
+
+    class Stub(L.Model):
+        def __init__(self, x, langs):
+            seen.append(langs)
+
+    L.Model, kept = Stub, L.Model
+    try:
+        L.fit(docs, per_lang=20, max_rows=100, max_langs=6)
+        L.fit(docs.withColumn("lang", F.when(F.col("lang") == "l0", "l0").otherwise("l1")).where("lang = 'l0' OR doc_id < 9"), per_lang=20)
+    finally:
+        L.Model = kept
+    assert {c: seen[0].count(c) for c in set(seen[0])} == dict.fromkeys([f"l{i}" for i in range(7) if f"l{i}" in set(seen[0])], 16) and len(set(seen[0])) == 6
+    assert set(seen[1]) <= {"l0", "l1"} and seen[1].count("l0") <= 20
+
+
 def test_edge_rows(spark):
     rows = [(1, None, "en"), (None, "a b c d", None), (1, None, "en"), (2, "", None), (3, "12", "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash")).withColumn("key", F.lit(1))

@@ -2,8 +2,9 @@
 
 A text is the square roots of its relative frequencies of hashed letter trigrams. One machine a family separates it
 from the other families; within the chosen family one machine a pair of languages votes, ties go by summed margins. All
-machines are fitted by dual coordinate descent on at most ``per_lang`` rows a language, chosen by a hash of id and text
-among the rows that may be learnt from; only their trigram frequencies reach the driver.
+machines are fitted by dual coordinate descent on at most ``per_lang`` rows a language and ``max_rows`` in all, of the
+``max_langs`` most frequent languages, chosen by a hash of id and text among the rows that may be learnt from; only
+their trigram frequencies reach the driver.
 
 Defined results: ``und`` with score 0 for null texts, texts without a letter, and when nothing could be learnt; equal
 texts get equal results; null doc_ids are kept and belong to the rows learnt from like the empty id.
@@ -119,11 +120,18 @@ class Model:
         return best, score * min(map(self.sure, against[best]), default=1.0)
 
 
-def fit(docs: DataFrame, per_lang: int = 400) -> Model:
+def fit(docs: DataFrame, per_lang: int = 400, max_rows: int = 4000, max_langs: int = 200) -> Model:
+    """Fits on a bounded sample. Languages are counted first and thinned by a hash to little more than their share, so no
+    language's rows meet in one task."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc32_of(F.col("doc_id")) % 4 != 2)).withColumn("key", F.xxhash64("doc_id", "text"))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    chosen = rows.select("lang", "key").distinct().withColumn("n", first).where(F.col("n") <= per_lang).select("lang", "key")
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    found = counts.collect()  # at most max_langs rows
+    each = max(1, min(per_lang, max_rows // max(1, len(found))))
+    parts = 1 << 30
+    share = docs.sparkSession.createDataFrame([(r.lang, min(parts, int(parts * (1.5 * each + 50) / max(1, r.n)))) for r in found], "lang string, share long")
+    thin = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("key"), F.lit(parts)) < F.col("share")).dropDuplicates(["lang", "key"])
+    chosen = thin.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("n") <= each)
     schema = pa.schema([("lang", pa.string()), ("key", pa.int64()), ("x", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,10 +140,10 @@ def fit(docs: DataFrame, per_lang: int = 400) -> Model:
             x = pa.array([trigrams(t).astype("<f4").tobytes() if LETTER.search(t) else None for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("key"), x], schema=schema)
 
-    made = rows.join(F.broadcast(chosen), ["lang", "key"]).select("lang", "key", "text").mapInArrow(work, "lang string, key long, x binary")
-    found = sorted(made.where("x IS NOT NULL").dropDuplicates(["lang", "key"]).collect(), key=lambda r: (r.lang, r.key))
-    x = np.array([np.frombuffer(bytes(r.x), "<f4") for r in found], np.float64).reshape(-1, BINS)
-    return Model(x, [r.lang for r in found])
+    made = chosen.select("lang", "key", "text").mapInArrow(work, "lang string, key long, x binary")
+    got = sorted(made.where("x IS NOT NULL").collect(), key=lambda r: (r.lang, r.key))
+    x = np.array([np.frombuffer(bytes(r.x), "<f4") for r in got], np.float32).reshape(-1, BINS)
+    return Model(x, [r.lang for r in got])
 
 
 def predictions(docs: DataFrame, model: Model) -> DataFrame:
