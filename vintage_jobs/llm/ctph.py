@@ -4,8 +4,10 @@ A rolling hash over seven bytes sets chunk boundaries where it meets the block s
 symbols. A fingerprint is ``block:signature:signature at twice the block``; fingerprints are compared by edit distance
 at equal or neighbouring block sizes.
 
-Pairs of neighbours in doc_id order need no window over the whole table: rows go to ranges of doc_id, each range also
-gets the first row of the next one, and a task streams its sorted range with two texts in memory.
+Pairs of neighbours in doc_id order need no window over the whole table: rows go to ranges of doc_id and text hash, a
+task streams its sorted range with two texts in memory and keeps the texts of its first and its last row, and the last
+rows then meet the first rows of the next ranges. Bounds of ranges come from a sample; a null or repeated doc_id, and
+even one repeated row, is dealt over as many ranges as its share of the rows asks for.
 
 Defined results: a null text is empty, its fingerprint ``3::``; null doc_ids come first; equal doc_ids are ordered by
 a hash of their texts; a table of one row is its own neighbour.
@@ -19,11 +21,12 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vintage_jobs.llm.common import widest
+from vintage_jobs.llm.common import stored, widest
 
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 LEAST_BLOCK, LONGEST, SHORTEST, WINDOW = 3, 64, 16, 7
@@ -107,21 +110,40 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), make("text").alias("fingerprint"))
 
 
+def range_bounds(docs: DataFrame, ranges: int, a_range: int = 32) -> np.ndarray:
+    """Bounds (not null, doc_id, key) of ``ranges`` about equal ranges, repeated for what fills several, from a sample of
+    about ``a_range`` rows a range."""
+    rows, parts = docs.count(), 1 << 30
+    keep = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)) < int(parts * min(1.0, a_range * ranges / max(1, rows)))
+    own = docs.where(keep).select(F.col("doc_id").isNotNull().alias("known"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text").alias("key"))
+    found = sorted(map(tuple, own.collect()))
+    return np.array([found[i * len(found) // ranges] for i in range(1, ranges)] if found else [], np.int64).reshape(-1, 3)
+
+
+def places(bounds: np.ndarray, known: np.ndarray, ids: np.ndarray, keys: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    """The range of each row. Rows equal to several bounds are dealt over the ranges between them by ``ties`` (0 to 1)."""
+    columns = [np.concatenate((b, own.astype(np.int64))) for b, own in zip(bounds.T, (known, ids, keys), strict=True)]
+    order = np.lexsort(columns[::-1])
+    ordered = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in ordered])
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new)
+    at = np.searchsorted(np.sort(group[: len(bounds)]), group[len(bounds) :], "left")
+    upto = np.searchsorted(np.sort(group[: len(bounds)]), group[len(bounds) :], "right")
+    return (at + np.minimum((ties * (upto - at + 1)).astype(np.int64), upto - at)).astype(np.int32)
+
+
 def in_ranges(docs: DataFrame, ranges: int) -> DataFrame:
-    """Rows with the id of their doc_id range; the first row of each range also goes, not ``own``, to the one before."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("key"))
-    cuts = docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [i / ranges for i in range(1, ranges)], 0.1 / ranges) if ranges > 1 else []
-    bounds = np.unique(np.array(cuts or [], np.float64))
-    place = F.pandas_udf(lambda s: s.astype("float64").map(lambda x: int(np.searchsorted(bounds, x, "right")), na_action="ignore").fillna(-1).astype("int32"), "int")
-    rows = rows.withColumn("range", place("doc_id"))
-    heads = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key")).withColumn("range", place("doc_id")).groupBy("range").agg(F.min(F.struct("doc_id", "key")).alias("head"))
-    found = sorted(heads.collect(), key=lambda r: r.range)  # a row for each range
-    before = [(r.range, found[i - 1].range, *r.head) for i, r in enumerate(found)]
-    table = docs.sparkSession.createDataFrame(before, "range int, before int, head_id long, head_key long")
-    joined = rows.join(F.broadcast(table), "range")
-    is_head = F.col("doc_id").eqNullSafe(F.col("head_id")) & F.col("key").eqNullSafe(F.col("head_key"))
-    here, there = F.struct("range", F.lit(True).alias("own")), F.struct(F.col("before").alias("range"), F.lit(False).alias("own"))
-    return joined.select("doc_id", "text", "key", F.explode(F.when(is_head, F.array(here, there)).otherwise(F.array(here))).alias("to")).select("doc_id", "text", "key", "to.range", "to.own")
+    """doc_id, text, key (hash of the text), range of every row; ranges follow each other by doc_id (nulls first) and key."""
+    bounds = range_bounds(docs, ranges)
+
+    @F.pandas_udf("int")
+    def place(known: pd.Series, ids: pd.Series, keys: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series(places(bounds, *(s.to_numpy() for s in (known, ids, keys, ties))))
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("key"), (F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 11) / float(1 << 53)).alias("tie"))
+    return rows.withColumn("range", place(F.col("doc_id").isNotNull(), F.coalesce("doc_id", F.lit(0)), "key", "tie")).drop("tie")
 
 
 OUT = [("doc_id", "long", pa.int64()), ("n_chars", "long", pa.int64()), ("edited_sha256", "string", pa.string()), ("fingerprint", "string", pa.string()), ("edited_fingerprint", "string", pa.string()), ("near_edited", "double", pa.float64()), ("near_next", "double", pa.float64())]
@@ -133,30 +155,57 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def with_neighbours(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """Per row, its fingerprint, that of its edited text, and how like they and the next row's are."""
+def compared(doc, text: str, own: str, following: str, theirs: str) -> tuple:
+    changed = edited(text, following)
+    other = fingerprint(changed)
+    return doc, len(text), hashlib.sha256(changed.encode()).hexdigest(), own, other, likeness(own, other), likeness(own, theirs)
+
+
+INNER, FIRST, LAST = range(3)
+
+
+def _within_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The results of all rows but the last of each sorted range, and the texts of its first and last row."""
+    schema = pa.schema([*((n, t) for n, _, t in OUT), ("text", pa.string()), ("range", pa.int32()), ("kind", pa.int32())])
+    blank = [None] * (len(OUT) - 4)
+    held = None
+    packed = lambda out: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+    end = lambda: (held[1], None, None, held[3], *blank, held[2], held[0], LAST)
+    for batch in batches:
+        out = []
+        for doc, text, place in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "text", "range")), strict=True):
+            text = text or ""
+            sign = fingerprint(text)
+            if held is not None and held[0] == place:
+                out.append((*compared(*held[1:], text, sign), None, place, INNER))
+            else:
+                if held is not None:
+                    out.append(end())
+                out.append((None, None, None, sign, *blank, text, place, FIRST))
+            held = (place, doc, text, sign)
+        if out:
+            yield packed(out)
+    if held is not None:
+        yield packed([end()])
+
+
+def _across_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([(n, t) for n, _, t in OUT])
+    for batch in batches:
+        rows = [compared(*r) for r in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "text", "own", "following", "theirs")), strict=True)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    def compare(doc, text, own, following, theirs):
-        changed = edited(text, following)
-        other = fingerprint(changed)
-        return doc, len(text), hashlib.sha256(changed.encode()).hexdigest(), own, other, likeness(own, other), likeness(own, theirs)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            out = []
-            for doc, text, place, own in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "text", "range", "own")), strict=True):
-                text = text or ""
-                if not own and (held is None or held[0] != place):
-                    continue
-                sign = fingerprint(text)
-                if held is not None and held[0] == place:
-                    out.append(compare(*held[1:], text, sign))
-                held = (place, doc, text, sign) if own else None
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
+def with_neighbours(docs: DataFrame, ranges: int | None = None) -> DataFrame:
+    """Per row, its fingerprint, that of its edited text, and how like they and the next row's are."""
     ranges = ranges or 4 * widest(docs.sparkSession)
-    dealt = in_ranges(docs, ranges).repartition(ranges, "range").sortWithinPartitions("range", F.desc("own"), "doc_id", "key")
-    return dealt.mapInArrow(work, ", ".join(f"{n} {t}" for n, t, _ in OUT))
+    columns = ", ".join(f"{n} {t}" for n, t, _ in OUT)
+    dealt = in_ranges(docs, ranges).repartition(ranges, "range").sortWithinPartitions("range", "doc_id", "key")
+    made = stored(dealt.mapInArrow(_within_ranges, columns + ", text string, range int, kind int"), "fingerprints")
+    used = [r.range for r in made.where(F.col("kind") == FIRST).select("range").orderBy("range").collect()]  # at most one a range
+    after = docs.sparkSession.createDataFrame(list(zip(used, used[1:] + used[:1], strict=True)), "range int, next int")
+    lasts = made.where(F.col("kind") == LAST).join(F.broadcast(after), "range").select("next", "doc_id", "text", F.col("fingerprint").alias("own"))
+    firsts = made.where(F.col("kind") == FIRST).select(F.col("range").alias("next"), F.col("text").alias("following"), F.col("fingerprint").alias("theirs"))
+    edges = lasts.join(firsts.hint("shuffle_merge"), "next").select("doc_id", "text", "own", "following", "theirs").mapInArrow(_across_ranges, columns)
+    return made.where(F.col("kind") == INNER).select(*(n for n, _, _ in OUT)).unionByName(edges)
