@@ -5,7 +5,8 @@ is the demand of a cutting-stock problem: a linear program chooses how often eac
 fits one sequence) is used, and a knapsack by dynamic programming prices new patterns from its dual values until none
 helps. Rounded-down patterns, and greedy ones for the rest, are then assigned to the ranked pieces of each class. Only
 the histogram (at most seq_len / grain rows) reaches the driver, and only the pattern table (a few thousand rows, by
-the number of classes) is broadcast. Ranks come from salted groups, so a class of any size is ranked in parallel.
+the number of classes) is broadcast. Ranks come from salted groups, so a class of any size is ranked in parallel; what
+comes before each group is joined by shuffle, as it grows with the partitions.
 
 Defined results: a null text is the empty text and packs as its closing id alone; null and repeated doc_ids pack like
 any other; an empty table gives no rows.
@@ -236,7 +237,7 @@ def packed(docs: DataFrame, seq_len: int = 2048, grain: int = 4, path: str | Non
     table = spark.createDataFrame(assignment_rows(integer_patterns(demand, capacity)), "class int, lo long, hi long, base long, k long, first_slot long")
     before = counts.select("class", "salt", (F.sum("count").over(Window.partitionBy("class").orderBy("salt")) - F.col("count")).alias("before"))
     order = Window.partitionBy("class", "salt").orderBy(F.desc("length"), "doc_id", "start", "ids_crc32")
-    ranked = sized.withColumn("own", F.row_number().over(order) - 1).join(before, ["class", "salt"]).withColumn("rank", F.col("before") + F.col("own"))
+    ranked = sized.withColumn("own", F.row_number().over(order) - 1).join(before.hint("merge"), ["class", "salt"]).withColumn("rank", F.col("before") + F.col("own"))
     placed = ranked.join(F.broadcast(table), (ranked["class"] == table["class"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     within = F.col("rank") - F.col("lo")
     placed = placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.floor(within / F.col("k"))).cast("long").alias("sequence_id"), (F.col("first_slot") + within % F.col("k")).alias("slot"))
