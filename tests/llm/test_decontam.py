@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +83,36 @@ def test_proximity_with_an_unseen_or_replaced_word(spark):
     names = {r.doc: r.doc_id for r in index.where("term = 0").collect()}
     near = {(names[r.doc], r.item_id) for r in D.proximity_matches(index, terms).collect()}
     assert near == {(1, "1"), (1, "2"), (3, "3"), (4, "1"), (4, "2")}
+
+
+@pytest.mark.parametrize("small_side", [0, 10_000])
+def test_proximity_against_brute_force(spark, small_side):
+    rng = np.random.default_rng(8)
+    vocabulary = [f"v{i}" for i in range(60)]
+    docs = [(i, " ".join(rng.choice(vocabulary, rng.integers(0, 60)))) for i in range(40)]
+    items = [(i, " ".join(rng.choice([*vocabulary, "unseen"], rng.integers(1, 8)))) for i in range(12)]
+    terms = D.item_terms(spark.createDataFrame(items, "item_id long, text string"))
+    number = {r.word: r.term for r in terms.collect()}
+    index = D.build_index(spark.createDataFrame(docs, "doc_id long, text string"), terms, small_side)
+    names = {r.doc: r.doc_id for r in index.where("term = 0").collect()}
+    df = {w: sum(words(t).count(w) for _, t in docs) for w in number}
+    want = set()
+    for item, text in items:
+        own, n = set(words(text)), len(words(text))
+        least = -(-len(own) * 8 // 10)
+        anchors = [w for w in sorted(own, key=lambda w: (df[w], number[w]))[: len(own) - least + 1] if df[w]]
+        for doc, said in docs:
+            w = words(said)
+            for at, word in enumerate(w):
+                found = len(own & set(w[max(0, at - n) : at + n + 1]))
+                if word in anchors and found >= least:
+                    want.add((doc, str(item), at, found, len(own)))
+    got = {(names[r.doc], r.item_id, r.position, r.found, r.wanted) for r in D.proximity_matches(index, terms, share=0.8, small_side=small_side).collect()}
+    assert got == want and len(want) > 20
+
+
+@pytest.mark.parametrize("small_side", [0, 3])
+def test_shuffled_sides_give_the_same_digest(spark, small_side):
+    docs, items = spark.createDataFrame(DOCS, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = D.contamination(docs, items, small_side=small_side).drop(*D.KEY)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(DOCS, ITEMS)

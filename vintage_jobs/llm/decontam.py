@@ -9,7 +9,8 @@ The lists of the item's other terms, shifted likewise, are intersected with them
 term), and runs of consecutive matches as long as a window are exact phrase matches.
 
 Work is keyed by document and position, so neither a common term, nor a passage in a third of all documents, nor a long
-document gathers in one task. Test-side tables are broadcast up to ``small_side`` rows and joined by shuffle beyond.
+document gathers in one task. Test-side tables are broadcast up to ``small_side`` rows; beyond, they are joined by
+shuffle in ``WAYS`` copies, between which the rows of a common word or item are dealt. Ends of documents meet no lexicon.
 
 Defined results: null texts have no words; items without words are ignored; a null item_id is written as the empty
 text; repeated items count once; repeated document rows each get their row.
@@ -33,8 +34,13 @@ def words(text: str) -> Column:
     return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
 
 
-def row_key(docs: DataFrame) -> Column:
-    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
+#: What tells documents apart: the id (-1 for null) and a hash of id and text.
+KEY = ["id", "doc"]
+WAYS = 16
+
+
+def row_key(docs: DataFrame) -> list[Column]:
+    return [F.coalesce(docs["doc_id"].cast("long"), F.lit(-1)).alias("id"), F.xxhash64(docs["doc_id"].cast("long"), docs["text"]).alias("doc")]
 
 
 def item_terms(items: DataFrame) -> DataFrame:
@@ -47,9 +53,20 @@ def item_terms(items: DataFrame) -> DataFrame:
     return out
 
 
-def small(df: DataFrame, small_side: int) -> DataFrame:
-    """A broadcast hint where the table's counted rows are within the bound."""
-    return F.broadcast(df) if df.limit(small_side + 1).count() <= small_side else df
+def is_small(df: DataFrame, small_side: int) -> bool:
+    return df.limit(small_side + 1).count() <= small_side
+
+
+def looked_up(rows: DataFrame, side: DataFrame, on: str, apart: list[str], small_side: int) -> DataFrame:
+    """``rows`` joined with a test-side table: broadcast where its counted rows are within the bound.
+
+    Beyond it by shuffle, each key dealt over ``WAYS`` tasks by a hash of ``apart``, with that many copies of the table.
+    """
+    if is_small(side, small_side):
+        return rows.join(F.broadcast(side), on)
+    left = rows.withColumn("__way", F.pmod(F.xxhash64(*apart), F.lit(WAYS)).cast("int"))
+    right = side.withColumn("__way", F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1))))
+    return left.join(right.hint("merge"), [on, "__way"]).drop("__way")
 
 
 def low_byte(term: Column) -> Column:
@@ -57,13 +74,20 @@ def low_byte(term: Column) -> Column:
 
 
 def build_index(docs: DataFrame, terms: DataFrame, small_side: int = 200_000) -> DataFrame:
-    """doc, term, position, before, after of the words among ``terms`` (word, term), and the END posting with its doc_id."""
-    lexicon = stored(terms.select("word", "term").distinct().unionByName(docs.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(END).cast("long").alias("term"))), "lexicon")
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("doc"), F.concat(words("text"), F.array(F.lit(""))).alias("w"))
+    """id, doc, term, position, before, after of the words among ``terms`` (word, term), and the END posting with its doc_id."""
+    lexicon = stored(terms.select("word", "term").distinct(), "lexicon")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(docs), words("text").alias("w"))
     beside = [low_byte(F.xxhash64(F.get("w", F.col("position") + d))).alias(name) for d, name in ((-1, "before"), (1, "after"))]
-    each = read.select("doc_id", "doc", "w", F.posexplode("w").alias("position", "word")).select("doc_id", "doc", "position", "word", *beside)
-    postings = each.join(small(lexicon, small_side), "word")
-    return stored(postings.select("doc", "term", "position", "before", "after", F.when(F.col("term") == END, F.col("doc_id")).alias("doc_id")), "postings")
+    each = lambda w: read.withColumn("w", w).select("doc_id", *KEY, "w", F.posexplode("w").alias("position", "word")).select("doc_id", *KEY, "position", "word", *beside)
+    if is_small(lexicon, small_side):
+        # one pass: the end of a document is one more word, the empty one
+        end = docs.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(END).cast("long").alias("term"))
+        postings = each(F.concat("w", F.array(F.lit("")))).join(F.broadcast(lexicon.unionByName(end)), "word")
+    else:
+        none = F.lit(None).cast("smallint")
+        ends = read.select("doc_id", *KEY, F.size("w").alias("position"), none.alias("before"), none.alias("after"), F.lit(END).cast("long").alias("term"))
+        postings = looked_up(each(F.col("w")), lexicon, "word", [*KEY, "position"], small_side).drop("word").unionByName(ends)
+    return stored(postings.select(*KEY, "term", "position", "before", "after", F.when(F.col("term") == END, F.col("doc_id")).alias("doc_id")), "postings")
 
 
 def rarest_terms(index: DataFrame, terms: DataFrame, window: int) -> DataFrame:
@@ -82,25 +106,25 @@ def rarest_terms(index: DataFrame, terms: DataFrame, window: int) -> DataFrame:
 
 
 def phrase_matches(index: DataFrame, terms: DataFrame, window: int = 10, small_side: int = 200_000) -> DataFrame:
-    """doc, item, item_id, start, end: maximal runs of at least a window of an item in a document (end exclusive).
+    """id, doc, item, item_id, start, end: maximal runs of at least a window of an item in a document (end exclusive).
 
     An item shorter than the window is one window.
     """
-    anchors = stored(rarest_terms(index, terms, window), "anchors")
-    fits = [F.col(f"a.{c}").isNull() | (F.col(f"a.{c}") == F.col(f"i.{c}")) for c in ("before", "after")]
-    seeds = index.alias("i").join(small(anchors, small_side).alias("a"), (F.col("i.term") == F.col("a.term")) & fits[0] & fits[1]).select("doc", "item", (F.col("position") - F.col("place")).alias("diagonal")).distinct()
-    seeds = stored(seeds, "alignments")
-    probes = seeds.join(small(terms.select("item", "place", "term"), small_side), "item").withColumn("position", F.col("diagonal") + F.col("place")).where("position >= 0")
-    hits = probes.join(index.select("doc", "position", "term"), ["doc", "position", "term"]).select("doc", "item", "diagonal", "place").distinct()
-    line = Window.partitionBy("doc", "item", "diagonal").orderBy("place")
-    runs = hits.withColumn("run", F.col("place") - F.row_number().over(line)).groupBy("doc", "item", "diagonal", "run").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    anchors = stored(rarest_terms(index, terms, window).withColumnsRenamed({"before": "wants_before", "after": "wants_after"}), "anchors")
+    fits = [F.col(f"wants_{c}").isNull() | (F.col(f"wants_{c}") == F.col(c)) for c in ("before", "after")]
+    met = looked_up(index.drop("doc_id"), anchors, "term", [*KEY, "position"], small_side).where(fits[0] & fits[1])
+    seeds = stored(met.select(*KEY, "item", (F.col("position") - F.col("place")).alias("diagonal")).distinct(), "alignments")
+    probes = looked_up(seeds, terms.select("item", "place", "term"), "item", [*KEY, "diagonal"], small_side).withColumn("position", F.col("diagonal") + F.col("place")).where("position >= 0")
+    hits = probes.join(index.select(*KEY, "position", "term"), [*KEY, "position", "term"]).select(*KEY, "item", "diagonal", "place").distinct()
+    line = Window.partitionBy(*KEY, "item", "diagonal").orderBy("place")
+    runs = hits.withColumn("run", F.col("place") - F.row_number().over(line)).groupBy(*KEY, "item", "diagonal", "run").agg(F.min("place").alias("first"), F.max("place").alias("last"))
     lengths = terms.select("item", "item_id", "n").distinct()
     long_enough = (F.col("last") - F.col("first") + 1) >= F.least(F.lit(window), F.col("n"))
-    return runs.join(small(lengths, small_side), "item").where(long_enough).select("doc", "item", "item_id", (F.col("diagonal") + F.col("first")).alias("start"), (F.col("diagonal") + F.col("last") + 1).alias("end"))
+    return looked_up(runs, lengths, "item", [*KEY, "diagonal"], small_side).where(long_enough).select(*KEY, "item", "item_id", (F.col("diagonal") + F.col("first")).alias("start"), (F.col("diagonal") + F.col("last") + 1).alias("end"))
 
 
 def proximity_matches(index: DataFrame, terms: DataFrame, span: int | None = None, share: float = 0.8, small_side: int = 200_000) -> DataFrame:
-    """doc, item_id, position, found, wanted: places of an item's anchor terms with ``share`` of its terms within ``span`` words.
+    """id, doc, item_id, position, found, wanted: places of an item's anchor terms with ``share`` of its terms within ``span`` words.
 
     ``span`` is the item's length in words by default. As many terms may be missing as ``share`` allows, those that never
     occur first; the anchors are the rarest terms that do occur, one more than may still be missing, so every match has one.
@@ -114,35 +138,38 @@ def proximity_matches(index: DataFrame, terms: DataFrame, span: int | None = Non
     anchors = stored(anchors.select("item", "term", "reach"), "anchors")
     cell = F.floor(F.col("position") / F.col("reach")).cast("int")
     near = F.explode(F.array(*(cell + d for d in (-1, 0, 1)))).alias("cell")
-    seeds = index.join(small(anchors, small_side), "term").select("doc", "item", "reach", F.col("position").alias("at"), near)
-    reaches = anchors.select("reach").distinct()
-    others = index.where(F.col("term") != END).select("doc", "term", "position").crossJoin(F.broadcast(reaches)).withColumn("cell", cell)
-    close = seeds.join(others, ["doc", "reach", "cell"]).where(F.abs(F.col("position") - F.col("at")) <= F.col("reach"))
-    found = close.join(small(terms.select("item", "term").distinct(), small_side), ["item", "term"]).groupBy("doc", "item", "at").agg(F.count_distinct("term").alias("found"))
-    return found.join(small(wanted, small_side), "item").where(F.col("found") >= F.col("least")).select("doc", "item_id", F.col("at").alias("position"), "found", "wanted")
-
-
-def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """doc (row key), doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row."""
+    seeds = looked_up(index.drop("doc_id"), anchors, "term", [*KEY, "position"], small_side).select(*KEY, "item", "reach", F.col("position").alias("at"), near)
+    # one row for each length of an item
+    reaches = anchors.select("reach").distinct().agg(F.collect_set("reach").alias("reaches"))
+    others = index.where(F.col("term") != END).select(*KEY, "term", "position").crossJoin(F.broadcast(reaches)).withColumn("reach", F.explode("reaches")).drop("reaches").withColumn("cell", cell)
+    close = seeds.join(others, [*KEY, "reach", "cell"]).where(F.abs(F.col("position") - F.col("at")) <= F.col("reach"))
+    own = terms.select("item", "term").distinct().groupBy("item").agg(F.collect_set("term").alias("own"))
+    found = looked_up(close, own, "item", [*KEY, "at"], small_side).where(F.array_contains("own", F.col("term"))).groupBy(*KEY, "item", "at").agg(F.count_distinct("term").alias("found"))
+    return looked_up(found, wanted, "item", [*KEY, "at"], small_side).where(F.col("found") >= F.col("least")).select(*KEY, "item_id", F.col("at").alias("position"), "found", "wanted")
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = 10, small_side: int = 200_000) -> DataFrame:
+    """id, doc (row key), doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row."""
     terms = item_terms(items)
-    index = build_index(docs, terms)
-    runs = stored(phrase_matches(index, terms, window), "runs")
-    covered = runs.select("doc", F.explode(F.sequence("start", F.col("end") - 1)).alias("position")).distinct().groupBy("doc").agg(F.count("*").alias("n_hit"))
-    named = runs.select("doc", "item_id").distinct().groupBy("doc").agg(F.sort_array(F.collect_list("item_id")).alias("ids"))
-    ends = index.where(F.col("term") == END).select("doc", "doc_id", F.col("position").cast("long").alias("n_words"))
+    index = build_index(docs, terms, small_side)
+    runs = stored(phrase_matches(index, terms, window, small_side), "runs")
+    covered = runs.select(*KEY, F.explode(F.sequence("start", F.col("end") - 1)).alias("position")).distinct().groupBy(*KEY).agg(F.count("*").alias("n_hit"))
+    named = runs.select(*KEY, "item_id").distinct().groupBy(*KEY).agg(F.sort_array(F.collect_list("item_id")).alias("ids"))
+    ends = index.where(F.col("term") == END).select(*KEY, "doc_id", F.col("position").cast("long").alias("n_words"))
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return ends.join(covered, "doc", "left").join(named, "doc", "left").select("doc", "doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return ends.join(covered, KEY, "left").join(named, KEY, "left").select(*KEY, "doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """The rows of ``docs`` in which no window of an item occurs."""
-    bad = contamination(docs, items, window).where("contaminated").select(F.col("doc").alias("__bad")).distinct()
-    return docs.withColumn("__doc", row_key(docs)).join(bad, F.col("__doc") == F.col("__bad"), "left_anti").select(docs.columns)
+    bad = contamination(docs, items, window).where("contaminated").select(F.col("id").alias("__bad_id"), F.col("doc").alias("__bad")).distinct()
+    id_, doc = row_key(docs)
+    return docs.withColumns({"__id": id_, "__doc": doc}).join(bad, (F.col("__doc") == F.col("__bad")) & (F.col("__id") == F.col("__bad_id")), "left_anti").select(docs.columns)
 
 
 def contamination_digest(docs: DataFrame, items: DataFrame) -> DataFrame:
-    return contamination(docs, items).drop("doc")
+    return contamination(docs, items).drop(*KEY)
 
 
 ORACLE = rf"""
