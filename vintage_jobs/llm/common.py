@@ -61,7 +61,7 @@ def widest(spark: SparkSession, least: int = 8) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def joined_by_key(rows: DataFrame, of: DataFrame, key: str, size: str, total: int, apart: list[str]) -> DataFrame:
+def joined_by_key(rows: DataFrame, of: DataFrame, key: str, size: str, total: int, apart: list[str | Column]) -> DataFrame:
     """``rows`` joined with ``of`` (one row a key; column ``size``: about how many of the ``total`` rows have that key).
 
     Keys with more than 1 / (2 partitions) of the rows are dealt over several tasks by a hash of the columns ``apart``.

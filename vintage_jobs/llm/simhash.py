@@ -6,10 +6,11 @@ piece, and every match is verified over all 64 bits. With 4 bits and 3 segments
 are searched with radius 1 and the last (21 bits) with radius 0: if the first two differ by 2 or more each, the last
 cannot differ.
 
-Copies collapse to one fingerprint before any join, so a group of copies costs one row. A bucket with more than
-``hot_bucket`` fingerprints is cut into blocks; a task gets one pair of blocks at a time, verifies it with numpy and
-returns only a spanning forest of its links. Thus no step emits all pairs of a group and none needs a group in one
-task. Components come from alternating large-star and small-star steps over stored edges.
+Copies collapse to one fingerprint before any join, so a group of copies costs one row. A bucket that more than
+``hot_bucket`` fingerprints lie in or probe is cut into blocks; a task gets one pair of blocks at a time, verifies it
+with numpy and returns only a spanning forest of its links. Thus no step emits all pairs of a group and none needs a
+group in one task. Components come from alternating large-star and small-star steps over stored edges. Joins on a
+fingerprint, a star's centre or a component deal frequent keys over several tasks (``common.joined_by_key``).
 
 Defined results: null or blank texts have fingerprint zero and are linked like any other; a null doc_id is in no
 minimum unless its whole component has none (then the component is null); repeated rows share their row's result.
@@ -17,7 +18,7 @@ minimum unless its whole component has none (then the component is null); repeat
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vintage_jobs.llm.common import stored, widest
+from vintage_jobs.llm.common import joined_by_key, stored
 
 BITS = 64
 
@@ -78,52 +79,77 @@ def plan_segments(max_bits: int, segments: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def _masks(width: int, radius: int) -> list[int]:
+    return [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
+
+
 def _keys(fp: str, plan: list[tuple[int, int, int]], ball: bool):
     keys = []
     for i, (shift, width, radius) in enumerate(plan):
         value = F.shiftrightunsigned(F.col(fp), shift).bitwiseAND(F.lit((1 << width) - 1))
-        masks = [sum(1 << b for b in bits) for r in range((radius if ball else 0) + 1) for bits in combinations(range(width), r)]
-        keys += [value.bitwiseXOR(F.lit(m)).bitwiseOR(F.lit(i << 56)) for m in masks]
+        keys += [value.bitwiseXOR(F.lit(m)).bitwiseOR(F.lit(i << 56)) for m in _masks(width, radius if ball else 0)]
     return F.explode(F.array(*keys)).alias("key")
 
 
-def _forest(key, pdf, max_bits: int):
+def hot_buckets(table: DataFrame, plan: list[tuple[int, int, int]], most: int, block: int) -> DataFrame:
+    """key, rows, columns: how many blocks the probes and the entries of each bucket with over ``most`` of either make.
+
+    A bucket is probed from its own ball, so only full buckets and those around them are counted."""
+    sizes = table.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    around = F.lit(None).cast("array<long>")
+    for i, (_, width, radius) in enumerate(plan):
+        around = F.when(F.shiftright("key", 56) == i, F.array(*(F.col("key").bitwiseXOR(F.lit(m)) for m in _masks(width, radius)))).otherwise(around)
+    full = table.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most // 8)
+    probes = full.select("n", F.explode(around).alias("key")).groupBy("key").agg(F.sum("n").alias("probes"))
+    # buckets of at most most / 8 entries add less than their ball's size times that
+    counted = probes.join(sizes, "key", "left").select("key", F.coalesce("n", F.lit(1)).alias("n"), "probes").where((F.col("n") > most) | (F.col("probes") > 8 * most))
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / block)).cast("int")
+    return counted.select("key", blocks("probes").alias("rows"), blocks("n").alias("columns"))
+
+
+def spanning_forest(left: np.ndarray, right: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+    """Edges that span the links between two sets of distinct fingerprints, found breadth first: a row of distances a node."""
+    sides, todo = (left, right), []
+    unseen = [np.ones(len(s), bool) for s in sides]
+    found = []
+    for start in range(len(left)):
+        if unseen[0][start]:
+            unseen[0][start] = False
+            todo.append((0, start))
+        while todo:
+            side, i = todo.pop()
+            own, other = sides[side][i], 1 - side
+            open_ = np.flatnonzero(unseen[other])
+            met = open_[np.bitwise_count(sides[other][open_] ^ own) <= max_bits]
+            unseen[other][met] = False
+            found += [(own, sides[other][j]) for j in met.tolist()]
+            todo += [(other, j) for j in met.tolist()]
+    return found
+
+
+def _forest(pdf, max_bits: int):
     """Links of a spanning forest between the probes and the table entries of one pair of blocks."""
     import pandas as pd
 
     left, right = pdf.fp[pdf.probe].unique().astype(np.uint64), pdf.fp[~pdf.probe].unique().astype(np.uint64)
-    found: list[np.ndarray] = []
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    for at in range(0, len(left), 256):
-        own = left[at : at + 256]
-        i, j = np.nonzero(np.bitwise_count(own[:, None] ^ right[None, :]) <= max_bits)
-        for a, b in zip(own[i].view(np.int64).tolist(), right[j].view(np.int64).tolist(), strict=True):
-            if a != b and (ra := root(a)) != (rb := root(b)):
-                parent[max(ra, rb)] = min(ra, rb)
-                found.append((a, b))
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    pairs = np.array(spanning_forest(left, right, max_bits), np.uint64).reshape(-1, 2).view(np.int64)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]}).query("a != b")
 
 
 def links(nodes: DataFrame, max_bits: int = 4, segments: int = 3, hot_bucket: int = 64, block: int = 4096) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp); whole up to connectivity, as hot buckets give forests."""
     plan = plan_segments(max_bits, segments)
     table, probes = nodes.select("fp", _keys("fp", plan, ball=False)), nodes.select("fp", _keys("fp", plan, ball=True))
-    hot = table.groupBy("key").count().where(F.col("count") > hot_bucket).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    hot = stored(hot, "hot-buckets")
+    hot = stored(hot_buckets(table, plan, hot_bucket, block), "hot-buckets")
     near = (F.bit_count(F.col("p.fp").bitwiseXOR(F.col("t.fp"))) <= max_bits) & (F.col("p.fp") != F.col("t.fp"))
     cold = probes.alias("p").join(table.join(hot, "key", "left_anti").alias("t"), (F.col("p.key") == F.col("t.key")) & near).select(F.col("p.fp").alias("a"), F.col("t.fp").alias("b"))
     if hot.isEmpty():
         return cold
-    every, own = F.sequence(F.lit(0), F.col("blocks") - 1), F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    sides = [side.join(hot, "key").withColumn("probe", F.lit(probe)).withColumn("own", own).withColumn("other", F.explode(every)) for side, probe in ((probes, True), (table, False))]
-    paired = sides[0].selectExpr("key", "own AS i", "other AS j", "fp", "probe").unionByName(sides[1].selectExpr("key", "other AS i", "own AS j", "fp", "probe"))
-    dense = paired.groupBy("key", "i", "j").applyInPandas(lambda key, pdf: _forest(key, pdf, max_bits), "a long, b long")
+    deal = lambda c: F.pmod(F.xxhash64("fp"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = probes.join(hot, "key").select("key", deal("rows").alias("i"), every("columns").alias("j"), "fp", F.lit(True).alias("probe"))
+    right = table.join(hot, "key").select("key", every("rows").alias("i"), deal("columns").alias("j"), "fp", F.lit(False).alias("probe"))
+    dense = left.unionByName(right).groupBy("key", "i", "j").applyInPandas(lambda pdf: _forest(pdf, max_bits), "a long, b long")
     return cold.unionByName(dense)
 
 
@@ -137,10 +163,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     before = signature(edges)
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
+        total = 2 * before[0]
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
+        large = joined_by_key(both.where("b > a"), least, "a", "n", total, ["b"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        joined = joined_by_key(large, least, "a", "n", total, ["b"])
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         edges = stored(small, "edges")
         after = signature(edges)
@@ -155,13 +182,21 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, max_bits: int = 4, segments: int = 3) -> DataFrame:
     """doc_id, row_key, fp, component_id, first_key: the component of each row and the row that stands for it."""
     rows = stored(fingerprints(docs), "simhash")
+    return of_components(rows, "fp", lambda nodes: links(nodes.select("fp"), max_bits, segments))
+
+
+def of_components(rows: DataFrame, node: str, linked: Callable[[DataFrame], DataFrame], more: Sequence[str] = ()) -> DataFrame:
+    """doc_id, row_key, node, component_id, first_key of stored ``rows`` (doc_id, row_key, node, more), given the links of their nodes.
+
+    ``linked`` gets one row a node: node, ``more``, first (the row that stands for it), n (how many rows it has)."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("first")
-    nodes = stored(rows.groupBy("fp").agg(first), "simhash-nodes")
-    roots = components(links(nodes.select("fp"), max_bits, segments)).withColumnRenamed("node", "fp")
-    linked = stored(nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"), "simhash-roots")
-    best = linked.groupBy("root").agg(F.min("first").alias("first"))
-    of = linked.select("fp", "root").join(best, "root").select("fp", "first")
-    return rows.join(of, "fp").select("doc_id", "row_key", "fp", F.col("first.doc_id").alias("component_id"), F.col("first.row_key").alias("first_key"))
+    nodes = stored(rows.groupBy(node).agg(first, *(F.any_value(c).alias(c) for c in more), F.count("*").alias("n")), f"{node}-nodes")
+    roots = components(linked(nodes)).withColumnRenamed("node", node)
+    linked_nodes = stored(nodes.join(roots, node, "left").select(node, F.coalesce("root", node).alias("root"), "first", "n"), f"{node}-roots")
+    best = linked_nodes.groupBy("root").agg(F.min("first").alias("first"), F.count("*").alias("size"))
+    of = joined_by_key(linked_nodes.drop("first"), best, "root", "size", linked_nodes.count(), [node]).select(node, "first", "n")
+    out = joined_by_key(rows, of, node, "n", rows.count(), [F.monotonically_increasing_id()])
+    return out.select("doc_id", "row_key", node, F.col("first.doc_id").alias("component_id"), F.col("first.row_key").alias("first_key"))
 
 
 def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -171,9 +206,10 @@ def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     """
     from vintage_jobs.llm.similar import similar_documents
 
-    kept = similar_documents(docs, percent).where("row_key = first_key AND doc_id <=> component_id").select(F.col("row_key").alias("__kept")).distinct()
-    keyed = docs.withColumn("__row_key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    return keyed.join(kept, F.col("__row_key") == F.col("__kept"), "left_semi").dropDuplicates(["__row_key"]).select(docs.columns)
+    first = similar_documents(docs, percent).where("row_key = first_key AND doc_id <=> component_id").select(F.col("row_key").alias("__kept"), F.col("doc_id").alias("__kept_id")).distinct()
+    keyed = docs.withColumns({"__row_key": F.xxhash64(F.col("doc_id").cast("long"), "text"), "__id": F.col("doc_id").cast("long")})
+    kept = keyed.join(first, (F.col("__row_key") == F.col("__kept")) & F.col("__id").eqNullSafe(F.col("__kept_id")), "left_semi")
+    return kept.dropDuplicates(["__row_key", "__id"]).select(docs.columns)
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:
