@@ -2,7 +2,7 @@ import re
 
 import corpus_pipeline as C
 from tests.llm.test_packing import check_packing
-from tests.llm.test_simhash import slow_components, slow_fingerprint
+from tests.llm.test_similar import slow_components, slow_shingles
 from vintage_jobs.llm import decontam, pii, quality
 from vintage_jobs.llm.common import stored
 
@@ -23,8 +23,8 @@ def test_stages_against_brute_force(spark, small_dir):
     assert {r.doc_id for r in got[0].collect()} == set(rows)
 
     ids = sorted(rows)
-    of = slow_components(ids, [slow_fingerprint(rows[d].text) for d in ids])
-    rows = {d: rows[d] for d, c in zip(ids, of, strict=True) if d == c}
+    of = slow_components(ids, [slow_shingles(rows[d].text) for d in ids])
+    rows = {d: rows[d] for d in ids if d == of[d]}
     assert {r.doc_id for r in got[1].collect()} == set(rows)
 
     grams = set()
