@@ -1,7 +1,10 @@
 import random
+import re
+import time
 from html.parser import HTMLParser
 from itertools import product
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +91,55 @@ def test_edge_rows(spark):
     rows = {(r.page_id, r.url): r for r in H.extracted(pages).collect()}
     assert rows[None, "u"].text == "a b." and rows[1, None].text == "" and rows[2, "v"].n_chars == 20_000 * 11 - 1
     assert H.extracted(pages).count() == 4 and H.extracted(pages.limit(0)).count() == 0
+
+
+def bare(page):
+    """The page without article, nav and footer elements and without class names."""
+    return re.sub(r' class="[^"]*"', "", re.sub(r"<(/?)(?:article|nav|footer)\b[^>]*>", r"<\1div>", page))
+
+
+def test_cut_matters_on_pages_without_marks(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    x = np.concatenate([[H.features(b, e[b.at]) for b in blocks] for blocks, e in map(H.blocks_of, pages)])
+    weights = H.fitted(x)
+    blocks = changed = right = 0
+    for page in pages:
+        own, elements = H.blocks_of(bare(page))
+        leaning = H.leanings(own, elements, weights)
+        cut = H.minimum_cut(leaning, H.ties(own, elements))
+        marked, of = H.blocks_of(page)
+        blocks, changed = blocks + len(own), changed + sum((s > 0) != c for s, c in zip(leaning, cut, strict=True))
+        right += sum((of[b.at].home == 1) == c for b, c in zip(marked, cut, strict=True))
+    assert changed > 0 and right / blocks > 0.97, (changed, right, blocks)
+
+
+def test_short_blocks_follow_their_neighbours():
+    long = "A long sentence of the text, which goes on, and on, and says one thing after another, until its end." + " And so on." * 40
+    page = f"<div><div>Sign up today</div><div><div>{long}</div><div>So</div><div>{long}</div></div><div><a href=1>one</a> <a href=2>two</a></div></div>"
+    blocks, elements = H.blocks_of(page)
+    assert [s > 0 for s in H.leanings(blocks, elements)] == [False, True, False, True, False]
+    assert H.main_text(page).split("\n") == [long, "So", long]
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<body><div class='page has-sidebar'><nav><a href=x>Home</a></nav><article><h1>Title</h1><p>Some words, and more.</p></article><div class=sidebar>More</div></div>", ["Title", "Some words, and more."]),
+        ("<form><div class=menu><a>Home</a></div><div class='with-comments'><article class='post has-comments'><p>Some words, and more of it.</p><p>Yes.</p></article></div><div class=comments><article><p>I like this text very much.</p></article></div></form>", ["Some words, and more of it.", "Yes."]),
+        ("<article><p>Long words of the text, which goes on.</p><p class='related-work'>Some related work, which is cited in the text here.</p><p>The end of the article here.</p><p class=advert>Buy now, it is cheap.</p></article>", ["Long words of the text, which goes on.", "Some related work, which is cited in the text here.", "The end of the article here."]),
+    ],
+)
+def test_marks_are_evidence(page, want):
+    assert H.main_text(page).split("\n") == want
+
+
+def test_deep_and_long_pages_are_linear():
+    deep = "<div>" * 40_000 + "word word. " + "</section>" * 40_000 + "<li>" * 5000
+    begun = time.time()
+    assert H.main_text(deep) is not None and H.main_text("<p>Word word word, word word word.</p><div><a>link</a></div>" * 20_000) is not None
+    assert time.time() - begun < 60
+
+
+def test_fit_without_both_kinds_is_fixed(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert (H.fit(none) == H.FIXED).all() and (H.fitted(np.zeros((3, H.N_FEATURES))) == H.FIXED).all()

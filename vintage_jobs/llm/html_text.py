@@ -1,13 +1,23 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page becomes a sequence of text blocks with their place in the element tree. A linear classifier gives each block a
-leaning towards content or boilerplate, which becomes its capacity to the source or the sink; neighbouring blocks, and
-blocks with one parent, are tied by edges whose capacity falls with their distance in the tree. The minimum cut, found
-by maximum flow, separates content from boilerplate. Blocks that lean more strongly than all their edges together are
-settled first, which is exact and leaves little for the flow.
+A page becomes a sequence of text blocks with their place in the element tree. A logistic classifier gives each block
+log odds of being content, which become its capacity to the source or the sink; neighbouring blocks, and blocks with one
+parent, are tied by edges whose capacity falls with their distance in the tree. The minimum cut, found by maximum flow,
+separates content from boilerplate. Blocks that lean more strongly than all their edges together are settled first,
+which is exact and leaves little for the flow.
+
+The classifier is fitted on a bounded sample of the pages themselves: at most ``max_pages`` of them by a hash of page_id
+and url, whole, as long as they have at most ``max_blocks`` blocks together. Blocks that elements or names mark clearly
+are its labelled rows. Each is used twice, with and without these marks, so that length, links, punctuation and kind of
+element carry weight where a page names nothing. The fit is drawn towards fixed weights, which hold alone where there are no
+labelled rows of both kinds: a sample whose pages are all of one make says little of others.
+
+Marks are evidence and no veto. They pass to what is inside; a mark of boilerplate weakens one of content around or
+inside it. No mark has an element that holds all articles of its page, a form with most of its text, or a name such as
+has-sidebar. A name counts in full by its last word and half by another.
 
 Defined results: null and empty pages have the empty text; broken markup is read as far as it goes; a page is one row
-of work, so repeated rows and null ids or urls each give their row.
+of work, linear in its length and depth, so repeated rows and null ids or urls each give their row.
 """
 
 from __future__ import annotations
@@ -15,13 +25,16 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vintage_jobs.llm.common import row_mapper
+from vintage_jobs.llm.common import row_mapper, stored
+from vintage_jobs.llm.quality import logistic
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -34,39 +47,75 @@ NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']
 WORDS = re.compile(r"[a-z]+")
 BLOCKS = frozenset("html body head article main section nav header footer aside form div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary fieldset hr center menu dialog button".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
-#: Elements that end an open paragraph, list item or cell when they begin.
+#: Elements that end an open list item, term or cell when they begin, and the elements they stay within.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
+WITHIN = ("ul", "ol", "dl", "table")
 AWAY_TAGS = frozenset("nav footer aside form menu dialog button".split())
 HOME_TAGS = frozenset(("article", "main"))
-AWAY = frozenset(
+COMMENTS = frozenset("comment comments disqus reply replies respond".split())
+AWAY = COMMENTS | frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead"
-    " comment comments disqus reply replies respond cookie cookies consent gdpr notice notices alert popup modal overlay share sharing social related recommended newsletter subscribe"
+    " cookie cookies consent gdpr notice notices alert popup modal overlay share sharing social related recommended newsletter subscribe"
     " subscription signup login search pagination pager widget toolbar copyright skip tags".split()
 )
 HOME = frozenset("article content post entry story main text".split())
+#: First words of names that tell what a page has, not what an element is.
+ABOUT = frozenset("has have with without no is not".split())
+#: Elements that never hold the article, even where all articles of a page lie in them.
+ASIDE = frozenset("nav footer aside menu".split())
+
+
+class Element:
+    """A block element: where it is, what marks it, and what its subtree holds."""
+
+    __slots__ = ("parent", "depth", "tag", "home", "away", "firm", "homes", "chars")
+
+    def __init__(self, parent: int, depth: int, tag: str, home: float, away: float, firm: bool):
+        self.parent, self.depth, self.tag, self.home, self.away, self.firm = parent, depth, tag, home, away, firm
+        self.homes, self.chars = int(home == 1 and away < 1), 0
 
 
 class Block:
-    __slots__ = ("text", "linked", "path", "tag", "away", "home")
+    __slots__ = ("text", "linked", "at")
 
-    def __init__(self, text: str, linked: int, path: tuple, tag: str, away: bool, home: bool):
-        self.text, self.linked, self.path, self.tag, self.away, self.home = text, linked, path, tag, away, home
+    def __init__(self, text: str, linked: int, at: int):
+        self.text, self.linked, self.at = text, linked, at
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The text blocks of a page in order."""
+def marks(tag: str, attrs: str) -> tuple[float, float, bool]:
+    """How far an element's own tag and names mark it as content and as boilerplate; whether nothing it holds changes that."""
+    home, away, firm = float(tag in HOME_TAGS), float(tag in AWAY_TAGS), tag in ASIDE
+    if tag in ("html", "body"):
+        return 0.0, 0.0, False
+    header = tag == "header"
+    for m in NAMES.finditer(attrs) if attrs else ():
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            words = WORDS.findall(name)
+            if not words or words[0] in ABOUT and len(words) > 1:
+                continue
+            home = max(home, 1.0 if words[-1] in HOME else 0.5 if not HOME.isdisjoint(words) else 0.0)
+            away = max(away, 1.0 if words[-1] in AWAY else 0.5 if not AWAY.isdisjoint(words) else 0.0)
+            firm = firm or not COMMENTS.isdisjoint(words)
+            header = header or "header" in words
+    if header and not home:
+        away = max(away, 0.75)
+    return home * (1 - away) if away == 1 else home, away, firm
+
+
+def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
+    """The text blocks of a page in order, and its block elements; the first stands for the page."""
     out: list[Block] = []
-    #: (tag, number, away, home) of each open block element
-    stack: list[tuple[str, int, bool, bool]] = []
+    elements = [Element(-1, 0, "", 0.0, 0.0, False)]
+    stack, special, is_open = [0], [], Counter()
     parts: list[str] = []
-    linked = links = number = at = 0
+    linked = links = at = 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            top = stack[-1] if stack else ("", 0, False, False)
-            out.append(Block(text, linked, tuple(s[1] for s in stack), top[0], top[2], top[3]))
+            out.append(Block(text, linked, stack[-1]))
+            elements[stack[-1]].chars += max(0, len(text) - linked)
         parts.clear()
         linked = 0
 
@@ -77,6 +126,16 @@ def blocks_of(page: str) -> list[Block]:
             if links:
                 linked += len(parts[-1].strip())
 
+    def close(last: int) -> None:
+        """Closes elements up to and with the element ``last``."""
+        while True:
+            e = stack.pop()
+            is_open[elements[e].tag] -= 1
+            if special and special[-1] == e:
+                special.pop()
+            if e == last:
+                return
+
     for token in TOKEN.finditer(page):
         take(page[at : token.start()])
         at = token.end()
@@ -94,60 +153,89 @@ def blocks_of(page: str) -> list[Block]:
             flush()
             links = 0
             if token["end"]:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
+                if is_open[tag]:
+                    close(next(e for e in reversed(stack) if elements[e].tag == tag))
                 continue
-            if stack and stack[-1][0] == "p":
-                stack.pop()
+            if elements[stack[-1]].tag == "p":
+                close(stack[-1])
             if tag in CLOSES:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in CLOSES[tag]:
-                        del stack[i:]
+                for e in reversed(special):
+                    if elements[e].tag in CLOSES[tag]:
+                        close(e)
                         break
-                    if stack[i][0] in ("ul", "ol", "dl", "table"):
+                    if elements[e].tag in WITHIN:
                         break
             if tag in VOID:
                 continue
-            number += 1
-            away, home = (stack[-1][2], stack[-1][3]) if stack else (False, False)
-            home = home or tag in HOME_TAGS
-            away = away or tag in AWAY_TAGS or (tag == "header" and not home)
-            if token["attrs"] and tag not in ("html", "body"):
-                words = {w for m in NAMES.finditer(token["attrs"]) for w in WORDS.findall((m[1] or m[2] or m[3] or "").lower())}
-                away = away or not AWAY.isdisjoint(words) or ("header" in words and not home and HOME.isdisjoint(words))
-                home = home or not HOME.isdisjoint(words)
-            stack.append((tag, number, away, home))
+            elements.append(Element(stack[-1], elements[stack[-1]].depth + 1, tag, *marks(tag, token["attrs"])))
+            stack.append(len(elements) - 1)
+            is_open[tag] += 1
+            if tag in CLOSES or tag in WITHIN:
+                special.append(stack[-1])
     take(page[at:])
     flush()
-    return out
+    spread(elements)
+    return out, elements
+
 
+def spread(elements: list[Element]) -> None:
+    """Lets marks pass to what is inside; elements that hold all articles, and forms with most text, have none of boilerplate."""
+    for e in reversed(elements[1:]):
+        elements[e.parent].homes += e.homes
+        elements[e.parent].chars += e.chars
+    page = elements[0]
+    for e in elements[1:]:
+        holds_all = e.homes == page.homes > 0 and not e.firm and not (e.home and e.homes == 1)
+        own = 0.0 if holds_all or (e.tag == "form" and 2 * e.chars > page.chars > 0) else e.away
+        above = elements[e.parent]
+        if e.tag == "header" and above.home == 1:
+            own = 0.0
+        e.away = max(above.away, own)
+        e.home = max(above.home, e.home) * (1 - e.away)
 
-def leaning(block: Block) -> float:
-    """How far a block leans to content (positive) or boilerplate (negative)."""
-    n = len(block.text)
-    score = -1.2 + min(1.5, math.log1p(n / 40)) - 3.0 * min(1.0, block.linked / n)
-    score += 0.5 * (block.text[-1] in ".!?…:\"”»") + (block.tag == "p") * 0.6 + (block.tag[:1] == "h" and block.tag[1:].isdigit()) * 0.8
-    return score + 3.5 * block.home - 9.0 * block.away
 
+SENTENCE_ENDS = ".!?…:\"”»"
+N_FEATURES = 8
+#: Weights of ``features`` and the intercept where there is nothing to fit on; a fit is drawn towards them, by ``RIDGE`` a row.
+FIXED = np.array([1.0, -3.0, 0.5, 0.6, 0.8, 0.0, 3.5, -7.0, -1.5])
+RIDGE = 0.02
 
-def ties(blocks: list[Block]) -> list[tuple[int, int, float]]:
-    """Edges between neighbours and between blocks with one parent; weaker the farther apart in the tree."""
+
+def features(block: Block, element: Element) -> list[float]:
+    n, tag = len(block.text), element.tag
+    return [
+        min(3.0, math.log1p(n / 40)),
+        min(1.0, block.linked / n),
+        float(block.text[-1] in SENTENCE_ENDS),
+        float(tag in ("p", "blockquote", "pre")),
+        float(tag[:1] == "h" and tag[1:].isdigit()),
+        float(tag in CLOSES),
+        element.home,
+        element.away,
+    ]
+
+
+def leanings(blocks: list[Block], elements: list[Element], weights: np.ndarray = FIXED, most: float = 8.0) -> list[float]:
+    """The log odds of each block: content (positive) or boilerplate (negative)."""
+    x = np.array([features(b, elements[b.at]) for b in blocks], np.float64).reshape(-1, N_FEATURES)
+    return np.clip(x @ weights[:-1] + weights[-1], -most, most).tolist()
+
+
+def ties(blocks: list[Block], elements: list[Element], near: float = 1.2, kin: float = 1.0) -> list[tuple[int, int, float]]:
+    """Edges between neighbours, weaker by the square of their distance in the tree, and between blocks with
+    one parent, weaker by the blocks between them."""
     out, last = [], {}
     for i, b in enumerate(blocks):
-        parent = b.path[:-1]
+        parent = elements[b.at].parent
         if i:
-            a = blocks[i - 1]
-            common = 0
-            for x, y in zip(a.path, b.path, strict=False):
-                if x != y:
-                    break
-                common += 1
-            distance = len(a.path) + len(b.path) - 2 * common
-            out.append((i - 1, i, 1.0 / max(1, distance - 1)))
+            x, y, distance = blocks[i - 1].at, b.at, 0
+            while x != y:
+                if elements[x].depth < elements[y].depth:
+                    x, y = y, x
+                x, distance = elements[x].parent, distance + 1
+            out.append((i - 1, i, near / max(1, distance - 1) ** 2))
         if (j := last.get(parent)) is not None and j < i - 1:
-            out.append((j, i, 0.5))
+            out.append((j, i, kin / (i - j)))
         last[parent] = i
     return out
 
@@ -223,18 +311,53 @@ def _source_side(nodes: list[int], scores: list[float], near: list[dict[int, flo
                     left[path[-1]].pop()
 
 
-def main_text(page: str | None) -> str:
-    blocks = blocks_of(page or "")
-    chosen = minimum_cut([leaning(b) for b in blocks], ties(blocks))
+def main_text(page: str | None, weights: np.ndarray = FIXED) -> str:
+    blocks, elements = blocks_of(page or "")
+    chosen = minimum_cut(leanings(blocks, elements, weights), ties(blocks, elements))
     return "\n".join(b.text for b, kept in zip(blocks, chosen, strict=True) if kept)
 
 
+def fit(pages: DataFrame, max_pages: int = 400, max_blocks: int = 40_000) -> np.ndarray:
+    """Weights of the classifier from the clearly marked blocks of a bounded sample of whole pages."""
+    keyed = pages.select(F.xxhash64(F.col("page_id").cast("long"), F.col("url").cast("string")).alias("key"), F.col("html").cast("string").alias("html"))
+    chosen = keyed.select("key").distinct().orderBy("key").limit(max_pages)
+    # one page a key, whatever repeats it
+    sample = stored(keyed.join(F.broadcast(chosen), "key").groupBy("key").agg(F.max("html").alias("html")), "sample-pages")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for page in batch.column("html"):
+                blocks, elements = blocks_of(page.as_py() or "")
+                found.append(np.array([features(b, elements[b.at]) for b in blocks], "<f4").reshape(-1, N_FEATURES))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["key", "blocks", "x"])
+
+    made = stored(sample.mapInArrow(work, "key long, blocks long, x binary"), "sample-blocks")
+    within = made.select("key", F.sum("blocks").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, 0)).alias("upto")).where(F.col("upto") <= max_blocks)
+    rows = made.join(F.broadcast(within.select("key")), "key").select("key", "x").collect()
+    rows.sort(key=lambda r: r.key)
+    return fitted(np.concatenate([np.frombuffer(bytes(r.x), "<f4") for r in rows] or [np.empty(0, "<f4")]).reshape(-1, N_FEATURES).astype(np.float64))
+
+
+def fitted(x: np.ndarray) -> np.ndarray:
+    """Weights from features of blocks; those with a clear mark are labelled by it, and both kinds weigh alike."""
+    home, away = x[:, -2] == 1, x[:, -1] == 1
+    if not home.any() or not away.any():
+        return FIXED
+    x, y = np.concatenate((x[home], x[away])), np.repeat([1.0, 0.0], [home.sum(), away.sum()])
+    bare = x.copy()
+    bare[:, -2:] = 0
+    weight = np.where(y == 1, 0.5 / home.sum(), 0.5 / away.sum()) * len(y)
+    return logistic(np.concatenate((x, bare)), np.tile(y, 2), np.tile(weight, 2), ridge=RIDGE * len(x), around=FIXED)
+
+
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
+    weights = fit(pages)
 
     def each(page_id, url, page):
-        text = main_text(page)
+        text = main_text(page, weights)
         return page_id, url, text, len(text)
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))

@@ -91,14 +91,15 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> np.ndarray:
-    """Weights (last: intercept) by Newton's method."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, steps: int = 30, around: np.ndarray | None = None) -> np.ndarray:
+    """Weights (last: intercept) by Newton's method; the ridge draws them towards ``around`` (zeros by default)."""
     x = np.column_stack((x, np.ones(len(x))))
-    w = np.zeros(x.shape[1])
+    around = np.zeros(x.shape[1]) if around is None else around
+    w = around.copy()
     penalty = np.full(len(w), ridge * weight.sum() / len(x))
     for _ in range(steps):
         p = sigmoid(x @ w)
-        gradient = x.T @ (weight * (p - y)) + penalty * w
+        gradient = x.T @ (weight * (p - y)) + penalty * (w - around)
         hessian = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(penalty)
         step = np.linalg.solve(hessian, gradient)
         w -= step
