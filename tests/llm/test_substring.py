@@ -62,3 +62,24 @@ def test_word_hashes_do_not_depend_on_place():
     small, large = S.word_hashes(data, starts, ends, block=16), S.word_hashes(data, starts, ends)
     assert (small == large).all() and len(set(large.tolist())) == 3
     assert [bytes(data[a:b]) for a, b in zip(starts, ends, strict=True)] == bytes(data).split()
+
+
+def test_the_two_hashes_share_no_collision():
+    """Word hashes that collide in one window hash, built by moving what one place adds to the next, differ in the other."""
+    rng = np.random.default_rng(5)
+    words = rng.integers(0, 1 << 63, 20, np.uint64)
+    moved = words.copy()
+    moved[3] -= np.uint64(1)
+    moved[4] += np.uint64(S.MULTIPLIER)
+    assert S.window_hashes(words, 20, 11)[0] == S.window_hashes(moved, 20, 11)[0]
+    assert S.window_hashes(words, 20, 13, S.SECOND)[0] != S.window_hashes(moved, 20, 13, S.SECOND)[0]
+    data = np.frombuffer(" ".join(f"w{i}" for i in range(5000)).encode(), np.uint8)
+    one, two = S.word_hashes(data, *S.word_bounds(data)), S.word_hashes(data, *S.word_bounds(data), base=S.SECOND)
+    assert len(np.unique(one)) == len(np.unique(two)) == 5000 and not (one == two).any()
+
+
+def test_very_long_text(spark):
+    words = [f"v{i % 700}" for i in range(200_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[100:300])), (3, "q " * 50_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in S.substring_digest(docs).collect()), key=str) == brute(rows)

@@ -3,15 +3,18 @@
 A window of ``window`` words contains a whole block of window / 2 words that begins at a multiple of that length in
 its document. So the non-overlapping blocks of every document are the reference index, and every rolling window of a
 block's length probes it: where a probe meets a block of another place, both places are anchors. Anchors are extended
-to the windows that hold one, windows are compared by 96-bit hashes, and all but the earliest of each class are
-removed; what they cover are the maximal exact repeats.
+to all windows that hold one; windows are compared by two 64-bit hashes that share neither the hash of a word nor the
+way words are combined, and all but the earliest of each class are removed; what they cover are the maximal exact
+repeats. Texts do not travel with the windows, so equality rests on these 128 bits: among 10^13 windows the chance of
+one wrong match is about 10^-13.
 
 Index and probes are dealt by hash in packed arrays, about six bytes a word. A batch sends a hash once however often
 it holds it, so a passage that a third of all documents share costs one entry a batch. Anchors only choose the windows
 that are compared: a chance match adds work and changes no result.
 
 Defined results: null texts have no words; documents are ordered by doc_id (null last), then by a hash of id and text;
-rows equal in both are one document and share its result.
+rows equal in both are one document and share its result. A window's class, its earliest place in each batch, meets in
+one group of a bucket: a passage in every batch costs a bucket about 25 bytes a batch.
 """
 
 from __future__ import annotations
@@ -29,12 +32,11 @@ from pyspark.sql import functions as F
 
 from vintage_jobs.llm.common import stored, widest
 
-MULTIPLIER = 0x9E3779B97F4A7C15
-INVERSE = pow(MULTIPLIER, -1, 1 << 64)
+MULTIPLIER, SECOND = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 PLAIN, ALIGNED, HEADER, FLAGGED = range(4)
 
 
-@lru_cache(2)
+@lru_cache(4)
 def powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1
@@ -55,8 +57,9 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == -1), np.flatnonzero(step == 1)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20, base: int = MULTIPLIER) -> np.ndarray:
     """A 64-bit hash of each word: differences of a prefix polynomial, a block of bytes at a time."""
+    inverse = pow(base, -1, 1 << 64)
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
@@ -64,21 +67,21 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: i
         lo, hi = int(starts[at]), int(ends[to - 1])
         size = max(block, 1 << (hi - lo).bit_length())
         prefix = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * powers(MULTIPLIER, size)[: hi - lo], out=prefix[1:])
-        own = (prefix[ends[at:to] - lo] - prefix[starts[at:to] - lo]) * powers(INVERSE, size)[starts[at:to] - lo]
+        np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * powers(base, size)[: hi - lo], out=prefix[1:])
+        own = (prefix[ends[at:to] - lo] - prefix[starts[at:to] - lo]) * powers(inverse, size)[starts[at:to] - lo]
         out[at:to] = mixed(own + (ends[at:to] - starts[at:to]).astype(np.uint64))
         at = to
     return out
 
 
-def window_hashes(words: np.ndarray, size: int, seed: int) -> np.ndarray:
+def window_hashes(words: np.ndarray, size: int, seed: int, base: int = MULTIPLIER) -> np.ndarray:
     """The hash of each run of ``size`` words."""
     n = len(words) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     out = np.full(n, seed, np.uint64)
     for j in range(size):
-        out = out * np.uint64(MULTIPLIER) + words[j : j + n]
+        out = out * np.uint64(base) + words[j : j + n]
     return mixed(out)
 
 
@@ -212,17 +215,33 @@ def anchors(docs: DataFrame, window: int, buckets: int, batch_bytes: int = 1 <<
     return met.groupBy("batch").applyInPandas(_to_documents, "row_key long, anchors binary")
 
 
-WINDOWS = "bucket int, h1 binary, h2 binary, doc binary, row_key binary, start binary, later_key binary, later_start binary"
+WINDOWS = "bucket int, h1 binary, h2 binary, docs binary, doc binary, start binary, later_docs binary, later_doc binary, later_start binary"
+#: A document: its place in the order of documents.
+DOC = np.dtype([("none", "<u1"), ("id", "<i8"), ("key", "<i8")])
 
 
-def _window_rows(held: list[tuple], buckets: int) -> Iterator[tuple]:
-    """What one batch sends of its windows: the first of each class by bucket, and the later ones it knows already."""
-    h1, h2, doc, key, start = (np.concatenate(a) for a in zip(*held, strict=True))
-    order = np.lexsort((start, key, doc["id"], doc["none"], h2, h1))
-    h1, h2, doc, key, start = h1[order], h2[order], doc[order], key[order], start[order]
+def _listed(docs: np.ndarray, doc: np.ndarray) -> tuple[bytes, bytes]:
+    """The documents that ``doc`` points to, and where each points among them."""
+    own, at = np.unique(doc, return_inverse=True)
+    return docs[own].tobytes(), planes(at)
+
+
+def _later_than_first(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of windows by class and place, which of them begin a class, and which begin later than that one."""
+    order = np.lexsort((start, doc, h2, h1))
+    h1, h2, doc, start = h1[order], h2[order], doc[order], start[order]
     new = _group_starts(h1, h2)
     head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    later = (doc["id"] != doc["id"][head]) | (doc["none"] != doc["none"][head]) | (key != key[head]) | (start != start[head])
+    return order, new, (doc != doc[head]) | (start != start[head])
+
+
+def _window_rows(docs: list[tuple], held: list[tuple], buckets: int) -> Iterator[tuple]:
+    """What one batch sends of its windows: the first of each class by bucket, and the later ones it knows already."""
+    table, rank = np.unique(np.array(docs, DOC), return_inverse=True)
+    h1, h2, start = (np.concatenate([h[i] for h in held]) for i in range(3))
+    doc = np.repeat(rank, [len(h[0]) for h in held])
+    order, new, later = _later_than_first(h1, h2, doc, start)
+    h1, h2, doc, start = h1[order], h2[order], doc[order], start[order]
     first = np.flatnonzero(new)
     by = (h1[first] % np.uint64(buckets)).astype(np.int64)
     first = first[np.argsort(by, kind="stable")]
@@ -230,22 +249,25 @@ def _window_rows(held: list[tuple], buckets: int) -> Iterator[tuple]:
     used = np.flatnonzero(np.diff(cuts)).tolist()
     for b, known in zip(used, np.array_split(np.flatnonzero(later), len(used)), strict=True):
         p = first[cuts[b] : cuts[b + 1]]
-        yield b, h1[p].tobytes(), h2[p].tobytes(), doc[p].tobytes(), key[p].tobytes(), start[p].tobytes(), key[known].tobytes(), start[known].tobytes()
-
-
-DOC = np.dtype([("none", "<u1"), ("id", "<i8")])
+        yield b, h1[p].tobytes(), h2[p].tobytes(), *_listed(table, doc[p]), planes(start[p]), *_listed(table, doc[known]), planes(start[known])
 
 
 def _later(key, pdf: pd.DataFrame) -> pd.DataFrame:
     """Windows of one bucket that begin earlier elsewhere."""
-    join = lambda c, kind: np.frombuffer(b"".join(pdf[c]), kind)
-    h1, h2, doc, keys, start = join("h1", "<u8"), join("h2", "<u4"), join("doc", DOC), join("row_key", "<i8"), join("start", "<u4")
-    order = np.lexsort((start, keys, doc["id"], doc["none"], h2, h1))
-    h1, h2, doc, keys, start = h1[order], h2[order], doc[order], keys[order], start[order]
-    new = _group_starts(h1, h2)
-    head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    later = (doc["id"] != doc["id"][head]) | (doc["none"] != doc["none"][head]) | (keys != keys[head]) | (start != start[head])
-    return pd.DataFrame({"row_key": np.concatenate((keys[later], join("later_key", "<i8"))), "start": np.concatenate((start[later], join("later_start", "<u4"))).astype(np.int32)})
+    h1, h2 = (np.frombuffer(b"".join(pdf[c]), "<u8") for c in ("h1", "h2"))
+    start, known = (np.concatenate([from_planes(x) for x in pdf[c]]) for c in ("start", "later_start"))
+
+    def places(docs: str, doc: str) -> tuple[np.ndarray, np.ndarray]:
+        """All documents in their order, and the rank there of each window's."""
+        table, rank = np.unique(np.frombuffer(b"".join(pdf[docs]), DOC), return_inverse=True)
+        base = np.concatenate(([0], np.cumsum([len(x) // DOC.itemsize for x in pdf[docs]])[:-1]))
+        return table, rank[np.concatenate([from_planes(x).astype(np.int64) + n for x, n in zip(pdf[doc], base.tolist(), strict=True)])]
+
+    table, doc = places("docs", "doc")
+    order, _, later = _later_than_first(h1, h2, doc, start)
+    later = order[later]
+    known_table, known_doc = places("later_docs", "later_doc")
+    return pd.DataFrame({"row_key": np.concatenate((table["key"][doc[later]], known_table["key"][known_doc])), "start": np.concatenate((start[later], known)).astype(np.int32)})
 
 
 def later_windows(rows: DataFrame, window: int, buckets: int, batch_windows: int = 1 << 18) -> DataFrame:
@@ -254,15 +276,16 @@ def later_windows(rows: DataFrame, window: int, buckets: int, batch_windows: int
     block = window // 2
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        docs, held, size = [], [], 0
 
         def flush():
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*_window_rows(held, buckets), strict=True), schema, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*_window_rows(docs, held, buckets), strict=True), schema, strict=True)], schema=schema)
 
         for batch in batches:
             for doc, key, packed, found in zip(*(batch.column(n) for n in ("doc_id", "row_key", "packed", "anchors")), strict=True):
                 data = np.frombuffer(zstandard.decompress(packed.as_py()), np.uint8)
-                words = word_hashes(data, *word_bounds(data))
+                bounds = word_bounds(data)
+                words = word_hashes(data, *bounds)
                 n = len(words) - window + 1
                 if n <= 0:
                     continue
@@ -273,13 +296,13 @@ def later_windows(rows: DataFrame, window: int, buckets: int, batch_windows: int
                 start = np.flatnonzero(total[block + 1 : block + 1 + n] > total[:n])
                 if not len(start):
                     continue
-                own = np.zeros(len(start), DOC)
-                own["none"], own["id"] = doc.as_py() is None, doc.as_py() or 0
-                held.append((window_hashes(words, window, 11)[start], window_hashes(words, window, 13)[start].astype("<u4"), own, np.full(len(start), key.as_py(), "<i8"), start.astype("<u4")))
+                others = word_hashes(data, *bounds, base=SECOND)
+                docs.append((doc.as_py() is None, doc.as_py() or 0, key.as_py()))
+                held.append((window_hashes(words, window, 11)[start], window_hashes(others, window, 13, SECOND)[start], start.astype("<u4")))
                 size += len(start)
                 if size >= batch_windows:
                     yield from flush()
-                    held, size = [], 0
+                    docs, held, size = [], [], 0
         if held:
             yield from flush()
 
