@@ -42,7 +42,7 @@ def test_period_end_is_not_out_at_midnight_of_its_last_day(spark):
     assert {(r.as_of, r.series_id) for r in seen.collect()} == {(d("2000-01-31"), "b"), (d("2000-02-01"), "a"), (d("2000-02-01"), "b")}
     by_day = V.published(rows, lags, asofs(spark, "2000-01-31"), inclusive_day=True)
     assert {r.series_id for r in by_day.collect()} == {"a", "b"}
-    assert {r.as_of for r in R.release_days(rows, lags, "2000-01-01", "2000-02-28").collect()} == {d("2000-01-31")}
+    assert {r.as_of for r in R.release_days(rows, lags, V.fixed_span(spark, "2000-01-01", "2000-02-28")).collect()} == {d("2000-01-31")}
 
 
 def test_later_values_never_change_a_vintage(spark):
@@ -97,7 +97,7 @@ def test_release_calendars(spark):
         "series_id string, release_dates string, release_day_in_month int, release_week_in_month int, release_weekday int",
     )
     got = {}
-    for r in R.calendar_releases(rules, "2001-01-01", "2001-03-31").collect():
+    for r in R.calendar_releases(rules, V.fixed_span(spark, "2001-01-01", "2001-03-31")).collect():
         got.setdefault(r.series_id, []).append(r.day.isoformat())
     assert {k: sorted(v) for k, v in got.items()} == {"fixed": ["2001-01-31", "2001-02-28", "2001-03-31"], "fifth": ["2001-01-29", "2001-02-26", "2001-03-26"], "dates": ["2001-01-09", "2001-03-03"]}
 

@@ -37,12 +37,23 @@ def test_boundary_coefficients_against_explicit_sums():
         z = np.array([1, y[t - 2], u, u * y[t - 2]])
         a += w * np.outer(z, z)
         b += w * z * y[t - 1]
-    assert X.boundary_coefficients(y, 1, h) == pytest.approx(np.linalg.solve(a + 1e-10 * np.eye(4), b)[:2])
+    rho, sigma = X.boundary_coefficients(y, 1, h)
+    assert rho == pytest.approx(np.linalg.solve(a + 1e-10 * np.eye(4), b)[:2])
+    own, total, first = np.zeros((2, 2)), np.zeros(2), len(y) * (1 - h)
+    for t in range(2, len(y) + 1):
+        if t >= first - 1e-9:
+            u = t / len(y) - 1
+            w = 0.75 * (1 - (u / h) ** 2) / h
+            f = np.array([1, u])
+            own += w * np.outer(f, f)
+            total += w * f * (y[t - 1] - rho[0] - rho[1] * y[t - 2]) ** 2
+    variance = np.linalg.solve(own + 1e-10 * np.eye(2), total)[0]
+    assert sigma == pytest.approx(np.sqrt(variance) if variance > 0 else 1e-3)
     assert X.boundary_coefficients(y[:29], 1, h) is None
-    full = X.expected_losses(y, min_train=50)
+    full, _ = X.expected_losses(y, min_train=50)
     changed = y.copy()
     changed[60:] += 5
-    assert np.isnan(full[:50]).all() and full[50:61] == pytest.approx(X.expected_losses(changed, min_train=50)[50:61])
+    assert np.isnan(full[:50]).all() and full[50:61] == pytest.approx(X.expected_losses(changed, min_train=50)[0][50:61])
 
 
 def test_boosting_lowers_the_training_error():

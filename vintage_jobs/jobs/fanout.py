@@ -1,7 +1,6 @@
 """Fan-out of small fits: Spark deals panels, vintages and specifications to groups; each group is one fit.
 
-Groups are keyed by everything that tells fits apart, so late as-ofs with long histories spread over the cluster, and
-series are dealt in buckets where there are too many for a group each.
+Groups are keyed by everything that tells fits apart, so late as-ofs with long histories spread over the cluster.
 """
 
 from __future__ import annotations
@@ -19,15 +18,13 @@ from vintage_jobs.operators.evaluate import expanding_ar1
 from vintage_jobs.operators.vintage import month_lag_vintages
 
 
-def by_series(panel: DataFrame, fit: Callable[[pd.DataFrame], pd.DataFrame], schema: str, buckets: int = 64) -> DataFrame:
-    """Applies ``fit`` to the sorted rows of each series, a bucket of series to a group."""
+def by_series(panel: DataFrame, fit: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """Applies ``fit`` to the sorted rows of each series."""
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
-        parts = [fit(own.sort_values("period")) for _, own in rows.groupby(["panel_id", "series_id"], sort=True)]
-        return pd.concat(parts, ignore_index=True)
+        return fit(rows.sort_values("period"))
 
-    dealt = panel.withColumn("bucket", F.pmod(F.xxhash64("panel_id", "series_id"), F.lit(buckets)))
-    return dealt.groupBy("bucket").applyInPandas(lambda pdf: work(pdf), schema)
+    return panel.groupBy("panel_id", "series_id").applyInPandas(lambda pdf: work(pdf), schema)
 
 
 def unit_root_tests(panel: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -58,16 +55,16 @@ def seasonally_adjusted(panel: DataFrame, chosen: list[str] | None = None) -> Da
 
 
 def selected_forecasts(losses: DataFrame, d: int = 1, h: float = 0.2, min_train: int = 40) -> DataFrame:
-    """Adds mu_hat, choice and y_selected to loss differences; dates without one keep their row, joined by date."""
+    """Adds mu_hat, sigma_hat, choice and y_selected to loss differences; dates without one keep their row, joined by date."""
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("target_period")
-        mu = fits.expected_losses(rows["loss_diff"].to_numpy(float), d, h, min_train)
-        return rows[["panel_id", "target_period"]].assign(mu_hat=mu)
+        mu, sigma = fits.expected_losses(rows["loss_diff"].to_numpy(float), d, h, min_train)
+        return rows[["panel_id", "target_period"]].assign(mu_hat=mu, sigma_hat=sigma)
 
     known = losses.where(F.col("loss_diff").isNotNull()).select("panel_id", "target_period", "loss_diff")
-    mu = known.groupBy("panel_id").applyInPandas(lambda pdf: fit(pdf), "panel_id string, target_period date, mu_hat double")
-    out = losses.join(mu, ["panel_id", "target_period"], "left").withColumn("mu_hat", F.when(~F.isnan("mu_hat"), F.col("mu_hat"))).withColumn("choice", choice(F.col("mu_hat")))
+    mu = known.groupBy("panel_id").applyInPandas(lambda pdf: fit(pdf), "panel_id string, target_period date, mu_hat double, sigma_hat double")
+    out = losses.join(mu, ["panel_id", "target_period"], "left").withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("mu_hat", "sigma_hat")}).withColumn("choice", choice(F.col("mu_hat")))
     return out.withColumn("y_selected", chosen_value(F.col("choice"), F.col("y_a"), F.col("y_b")))
 
 
@@ -82,10 +79,10 @@ def boosted_backtest(rows: DataFrame, min_train: int = 25, buckets: int = 4, **o
         pdf = pdf.sort_values("target_period").reset_index(drop=True)
         y = pdf["y"].to_numpy(float)
         x = np.column_stack([np.array([np.array(v, float) for v in pdf["x"]]), pdf["y_lag1"].to_numpy(float)])
-        scale = max(float(np.abs(y).max()), 1e-12)
         out = []
         for i in range(max(min_train, 1), len(y)):
             if i % buckets == pdf["bucket"].iloc[0]:
+                scale = max(float(np.nanmax(np.abs(y[:i]))), 1e-12)  # known at the origin
                 pred, trees, _ = fits.boosted_forecast(x[:i] / scale, y[:i] / scale, x[i] / scale, x.shape[1] - 1, seed=i, **options)
                 out.append((pdf["panel_id"].iloc[0], pdf["target_period"].iloc[i], y[i], pred * scale, i, trees))
         return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
@@ -141,7 +138,7 @@ def factor_mixture(panel: DataFrame, lag_months: DataFrame, as_ofs: DataFrame, s
 
     vintage = month_lag_vintages(panel, lag_months, as_ofs.select("as_of").distinct())
     if "panel_id" in as_ofs.columns:
-        vintage = vintage.join(F.broadcast(as_ofs), ["panel_id", "as_of"], "left_semi")
+        vintage = vintage.join(as_ofs, ["panel_id", "as_of"], "left_semi")
     vintage = vintage.crossJoin(F.broadcast(specs))
     return vintage.groupBy("panel_id", "as_of", "model_id", "r", "p").applyInPandas(lambda pdf: fit(pdf), schema)
 
@@ -174,6 +171,6 @@ def factor_backtest(panel: DataFrame, target: str, min_months: int = 60, k_max:
 
     targets = panel.where((F.col("series_id") == target) & F.col("value").isNotNull()).select("panel_id", F.col("period").alias("target_period"), F.col("value").alias("y"))
     first = panel.groupBy("panel_id").agg(F.min("period").alias("first"))
-    wanted = targets.join(F.broadcast(first), "panel_id").where(F.months_between("target_period", "first") >= min_months).drop("first").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(k_max))))
-    samples = panel.join(F.broadcast(wanted), "panel_id").where(F.col("period") < F.col("target_period"))
+    wanted = targets.join(first, "panel_id").where(F.months_between("target_period", "first") >= min_months).drop("first").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(k_max))))
+    samples = panel.join(wanted, "panel_id").where(F.col("period") < F.col("target_period"))
     return samples.groupBy("panel_id", "target_period", "k").applyInPandas(lambda pdf: fit(pdf), schema)

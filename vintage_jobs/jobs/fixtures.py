@@ -12,13 +12,20 @@ from vintage_jobs.operators import evaluate as E
 from vintage_jobs.operators import vintage as V
 from vintage_jobs.sources import lags as L
 from vintage_jobs.sources import panels as P
+from vintage_jobs.sources.store import once
 
-START, END = "1996-01-15", "1997-12-31"
+#: The longest publication lag of ``lags`` in whole months: as-ofs and releases run so long after the last period.
+LEAD = 3
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nation panel: the orders are read once an application."""
+    return once(spark, sf_dir, "observations", lambda: P.nation_panel(spark, sf_dir))
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nation panel with its quarterly target, on the monthly grid."""
-    return P.monthly_grid(P.with_target(P.nation_panel(spark, sf_dir)))
+    return P.monthly_grid(P.with_target(observations(spark, sf_dir)))
 
 
 def lags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,12 +38,17 @@ def month_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nation.unionByName(spark.range(1).select(F.lit(P.TARGET).alias("series_id"), F.lit(3).alias("lag")))
 
 
-def asofs(spark: SparkSession, start: str = START, end: str = END) -> DataFrame:
-    return V.asof_grid(spark, start, end)
+def span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """start, end: the days from the first period of the observations to the last release."""
+    return V.panel_span(P.with_target(observations(spark, sf_dir)), LEAD)
+
+
+def asofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.asof_grid(span(spark, sf_dir))
 
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.monthly_target(P.nation_panel(spark, sf_dir))
+    return P.monthly_target(observations(spark, sf_dir))
 
 
 def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +87,8 @@ CTE = {
     "lagged": "SELECT g.*, coalesce(freq, 'M') AS freq, coalesce(ref_point, 'period_end') AS ref_point, coalesce(lag_unit, 'months') AS lag_unit, coalesce(lag_value, 0) AS lag_value FROM grid g LEFT JOIN lags USING (series_id)",
     "refd": "SELECT *, CASE WHEN freq = 'timestamp' OR ref_point = 'timestamp' THEN period::TIMESTAMP WHEN ref_point = 'period_start' THEN date_trunc(CASE WHEN freq = 'Q' THEN 'quarter' ELSE 'month' END, period)::TIMESTAMP ELSE date_trunc(CASE WHEN freq = 'Q' THEN 'quarter' ELSE 'month' END, period)::TIMESTAMP + (CASE WHEN freq = 'Q' THEN 3 ELSE 1 END) * INTERVAL 1 MONTH - INTERVAL 1 MICROSECOND END AS ref FROM lagged",
     "avail": "SELECT panel_id, series_id, period, value, CASE lag_unit WHEN 'days' THEN ref + lag_value * INTERVAL 1 DAY WHEN 'weeks' THEN ref + lag_value * 7 * INTERVAL 1 DAY ELSE ref + lag_value * INTERVAL 1 MONTH END AS available_at FROM refd",
-    "asofs": f"SELECT last_day(m)::DATE AS as_of FROM (SELECT unnest(generate_series(date_trunc('month', DATE '{START}'), DATE '{END}', INTERVAL 1 MONTH)) AS m) WHERE last_day(m) BETWEEN DATE '{START}' AND DATE '{END}'",
+    "span": f"SELECT min(lo) AS s, last_day(max(hi) + INTERVAL {LEAD} MONTH) AS e FROM spans",
+    "asofs": "SELECT last_day(m)::DATE AS as_of FROM (SELECT unnest(generate_series(date_trunc('month', s), e, INTERVAL 1 MONTH)) AS m FROM span)",
     "vint": "SELECT as_of, panel_id, series_id, period, CASE WHEN available_at <= as_of::TIMESTAMP THEN value END AS value FROM avail, asofs",
     "mlags": "SELECT n_name AS series_id, n_nationkey % 3 AS lag FROM nation WHERE n_nationkey % 5 <> 4 UNION ALL SELECT 'TOTAL', 3",
     "tm": "SELECT panel_id, period AS target_period, sum(value::DECIMAL(20,2))::DOUBLE AS y FROM obs GROUP BY ALL",
@@ -87,7 +100,7 @@ CTE = {
     "upf": "SELECT *, error IS NOT NULL OR NOT coalesce(ok, true) OR NOT coalesce(converged, true) AS bad FROM upd",
     "tq": "SELECT panel_id, period AS target_period, value AS y FROM obst WHERE series_id = 'TOTAL'",
 }
-NEEDS = {"obst": ["obs"], "spans": ["obst"], "grid": ["spans"], "lags": ["raw"], "lagged": ["grid", "lags"], "refd": ["lagged"], "avail": ["refd"], "vint": ["avail", "asofs"], "tm": ["obs"], "tl": ["tm"], "ar": ["tl"], "mn": ["tl"], "fc": ["ar", "mn"], "upd": ["tm"], "upf": ["upd"], "tq": ["obst"]}
+NEEDS = {"span": ["spans"], "asofs": ["span"], "obst": ["obs"], "spans": ["obst"], "grid": ["spans"], "lags": ["raw"], "lagged": ["grid", "lags"], "refd": ["lagged"], "avail": ["refd"], "vint": ["avail", "asofs"], "tm": ["obs"], "tl": ["tm"], "ar": ["tl"], "mn": ["tl"], "fc": ["ar", "mn"], "upd": ["tm"], "upf": ["upd"], "tq": ["obst"]}
 
 
 def with_tables(needed: str, body: str, more: str = "") -> str:

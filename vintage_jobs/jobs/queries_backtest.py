@@ -127,6 +127,11 @@ def a5(spark, sf_dir):
     return both.select("panel_id", F.round("lo", 2).alias("lo"), F.round("hi", 2).alias("hi"), "least", "most")
 
 
+@CORE.add("a5_bounds_point_in_time", W("tm asofs", "SELECT p.panel_id, as_of, (SELECT min(y) FROM tm i WHERE i.panel_id = p.panel_id AND target_period <= as_of) AS lo, (SELECT max(y) FROM tm i WHERE i.panel_id = p.panel_id AND target_period <= as_of) AS hi FROM (SELECT DISTINCT panel_id FROM tm) p, asofs"))
+def a5_then(spark, sf_dir):
+    return E.bounds_in_time(X.targets(spark, sf_dir), X.asofs(spark, sf_dir))
+
+
 @CORE.add("f8_clipped", W("tm upd", "SELECT panel_id, as_of, model_id, round(CASE WHEN value IS NOT NULL THEN least(greatest(value, lo), hi) END, 4) AS clipped FROM upd JOIN bd USING (panel_id)", BOUNDS))
 def f8(spark, sf_dir):
     b = E.bounds(X.targets(spark, sf_dir), low=0.1, high=0.9)
@@ -181,5 +186,5 @@ def a14(spark, sf_dir):
 
 @CORE.add("f14_mixture_grid", W("obs", "SELECT DISTINCT panel_id, 'DFM_r' || r || '_p' || p AS model_id, r, p FROM obs, (SELECT unnest([2, 3, 4, 5])::INTEGER AS r), (SELECT unnest([1, 2, 3])::INTEGER AS p)"))
 def f14(spark, sf_dir):
-    panels = P.nation_panel(spark, sf_dir).select("panel_id").distinct()
+    panels = X.observations(spark, sf_dir).select("panel_id").distinct()
     return panels.crossJoin(F.broadcast(C.mixture_grid(spark, [2, 3, 4, 5], [1, 2, 3])))

@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vintage_jobs.jobs import fanout as J
 from vintage_jobs.jobs import fixtures as X
 from vintage_jobs.jobs.queries_backtest import quarter_targets
+from vintage_jobs.jobs import workloads as W
+from vintage_jobs.jobs.fixtures import with_tables
+from vintage_jobs.jobs.queries_panel import CHANGE, RATE
 from vintage_jobs.jobs.registry import CORE
 from vintage_jobs.operators import combine as C
 from vintage_jobs.operators import evaluate as E
-from vintage_jobs.operators import features as T
 from vintage_jobs.operators import vintage as V
 from vintage_jobs.sources import panels as P
+from vintage_jobs.sources.store import once, shared_dir
 
 
 @CORE.add("x1_unit_root_tests")
 def x1(spark, sf_dir):
-    return J.unit_root_tests(P.nation_panel(spark, sf_dir))
+    return J.unit_root_tests(X.observations(spark, sf_dir))
 
 
 @CORE.add("x2_seasonally_adjusted")
@@ -30,21 +35,55 @@ def x3(spark, sf_dir):
     return J.selected_forecasts(E.loss_differences(X.forecasts(spark, sf_dir), "ar1", "mean"))
 
 
+def trees(spark, sf_dir):
+    targets, predictors = quarter_targets(spark, sf_dir)
+    return J.boosted_backtest(W.tree_rows(targets, predictors, X.month_lags(spark, sf_dir)), min_train=12, leaf=3, split=6)
+
+
 @CORE.add("x4_boosted_backtest")
 def x4(spark, sf_dir):
-    targets, predictors = quarter_targets(spark, sf_dir)
-    rows = T.supervised_rows(T.lagged_features(targets, predictors, X.month_lags(spark, sf_dir), rule="end"), targets)
-    return J.boosted_backtest(rows, min_train=12, leaf=3, split=6)
+    return trees(spark, sf_dir)
 
 
-@CORE.add("x5_factor_mixture")
-def x5(spark, sf_dir):
+def factor_fits(spark, sf_dir):
     panel = X.panel(spark, sf_dir)
     as_ofs = V.panel_asofs(panel, 60)
     made = J.factor_mixture(panel, X.month_lags(spark, sf_dir), as_ofs, C.mixture_grid(spark, [2, 3, 4, 5], [1, 2, 3]), P.TARGET)
     return made.select("panel_id", "as_of", "model_id", "y_now", "y_back", "loglik", "ok", "converged", "error")
 
 
+@CORE.add("x5_factor_mixture")
+def x5(spark, sf_dir):
+    return once(spark, sf_dir, "factor-fits", lambda: factor_fits(spark, sf_dir))
+
+
+@CORE.add("wl3_mixture_over_time")
+def wl3_mixture(spark, sf_dir):
+    as_ofs = V.panel_asofs(X.panel(spark, sf_dir), 60)
+    return W.mixture_over_time(x5(spark, sf_dir), quarter_targets(spark, sf_dir)[0], as_ofs.select("as_of").distinct())
+
+
+@CORE.add("wl3_evaluation")
+def wl3_evaluation(spark, sf_dir):
+    """Metrics of all models and of the selection. The panel has few quarters, so selection takes monthly losses of the
+    two baselines beside the quarterly ones."""
+    made = once(spark, sf_dir, "trees", lambda: trees(spark, sf_dir))
+    quarterly = W.model_forecasts(made, wl3_mixture(spark, sf_dir))
+    parts = [W.evaluation(quarterly, "tree", "dfm")[1].withColumn("grid", F.lit("quarter")), W.evaluation(X.forecasts(spark, sf_dir), "ar1", "mean")[1].withColumn("grid", F.lit("month"))]
+    return parts[0].unionByName(parts[1])
+
+
+@CORE.add("wl1_model_ready_panel")
+def wl1_whole(spark, sf_dir):
+    return W.model_ready_panel(X.panel(spark, sf_dir), P.TARGET, ["NATION_0", "NATION_2", "NATION_4", "NATION_12"], CHANGE, RATE)[0]
+
+
+@CORE.add("wl2_written_vintages", with_tables("vint", "SELECT as_of, panel_id, count(DISTINCT period) AS n_rows, count(DISTINCT series_id) AS n_cols, count(*) AS n_cells, round(1 - count(value) / count(*), 8) AS na_share FROM vint GROUP BY as_of, panel_id"))
+def wl2(spark, sf_dir):
+    path = f"{shared_dir(spark)}/vintages-{uuid.uuid4().hex}"
+    return W.written_vintages(X.panel(spark, sf_dir), X.lags(spark, sf_dir), X.asofs(spark, sf_dir), path).withColumn("na_share", F.round("na_share", 8))
+
+
 @CORE.add("x6_factor_backtest")
 def x6(spark, sf_dir):
     return C.best_by_criterion(J.factor_backtest(X.panel(spark, sf_dir), P.TARGET, min_months=60))

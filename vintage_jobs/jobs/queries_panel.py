@@ -52,7 +52,7 @@ def p3(spark, sf_dir):
 
 @CORE.add("p4_usable_series", W("obst", "SELECT * FROM obst o WHERE (SELECT stddev_samp(value) FROM obst i WHERE i.panel_id = o.panel_id AND i.series_id = o.series_id) > 0"))
 def p4(spark, sf_dir):
-    return T.usable_series(P.with_target(P.nation_panel(spark, sf_dir)))
+    return T.usable_series(P.with_target(X.observations(spark, sf_dir)))
 
 
 @CORE.add("p8_history_gates", W("grid", "SELECT panel_id, series_id, count(value) AS n, count(DISTINCT value) AS n_distinct, count(value) >= 25 AND count(DISTINCT value) > 2 AS can_test, count(value) >= 36 AS can_adjust, count(*) >= 60 AS can_mix FROM grid GROUP BY panel_id, series_id"))
@@ -72,9 +72,14 @@ def a3(spark, sf_dir):
     return T.z_scores(X.panel(spark, sf_dir)).withColumn("z", F.round("z", 6))
 
 
+@CORE.add("a3_z_scores_point_in_time", W("grid", "SELECT panel_id, series_id, period, value, round(CASE WHEN stddev_pop(value) OVER w > 1e-6 THEN (value - avg(value) OVER w) / stddev_pop(value) OVER w END, 6) AS z FROM grid WINDOW w AS (PARTITION BY panel_id, series_id ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
+def a3_then(spark, sf_dir):
+    return T.z_scores(X.panel(spark, sf_dir), point_in_time=True).withColumn("z", F.round("z", 6))
+
+
 @CORE.add("a8_last_of_quarter", W("obs", "SELECT panel_id, series_id, date_trunc('quarter', period)::DATE AS quarter, arg_max(value, period) AS value FROM obs GROUP BY ALL"))
 def a8(spark, sf_dir):
-    return P.nation_panel(spark, sf_dir).where("value IS NOT NULL").groupBy("panel_id", "series_id", D.quarter_start(F.col("period")).alias("quarter")).agg(F.max_by("value", "period").alias("value"))
+    return X.observations(spark, sf_dir).where("value IS NOT NULL").groupBy("panel_id", "series_id", D.quarter_start(F.col("period")).alias("quarter")).agg(F.max_by("value", "period").alias("value"))
 
 
 @CORE.add("a13_effective_size", W("grid", "SELECT panel_id, count(DISTINCT CASE WHEN value IS NOT NULL THEN period END) AS t_eff, count(DISTINCT series_id) AS n_eff, least(6, count(DISTINCT CASE WHEN value IS NOT NULL THEN period END), count(DISTINCT series_id)) AS k FROM grid GROUP BY panel_id"))
@@ -186,4 +191,4 @@ def j15(spark, sf_dir):
 
 @CORE.add("u2_distinct_releases", W("obs", "SELECT DISTINCT panel_id, series_id, date_trunc('quarter', period)::DATE AS quarter FROM obs"))
 def u2(spark, sf_dir):
-    return P.nation_panel(spark, sf_dir).select("panel_id", "series_id", D.quarter_start(F.col("period")).alias("quarter")).dropDuplicates()
+    return X.observations(spark, sf_dir).select("panel_id", "series_id", D.quarter_start(F.col("period")).alias("quarter")).dropDuplicates()

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from vintage_jobs.functions import dates as D
 from vintage_jobs.jobs import fixtures as X
-from vintage_jobs.jobs.fixtures import END, START
 from vintage_jobs.jobs.fixtures import with_tables as W
 from vintage_jobs.jobs.registry import CORE
 from vintage_jobs.operators import schedule as S
@@ -27,44 +26,44 @@ def j4(spark, sf_dir):
 
 @CORE.add("f10_month_ends", W("asofs", "SELECT as_of FROM asofs"))
 def f10(spark, sf_dir):
-    return X.asofs(spark)
+    return X.asofs(spark, sf_dir)
 
 
 @CORE.add("j1_vintages", W("vint", "SELECT * FROM vint"))
 def j1(spark, sf_dir):
-    return V.vintages(X.panel(spark, sf_dir), X.lags(spark, sf_dir), X.asofs(spark))
+    return V.vintages(X.panel(spark, sf_dir), X.lags(spark, sf_dir), X.asofs(spark, sf_dir))
 
 
 @CORE.add("j1_published_by_day_end", W("avail asofs", "SELECT as_of, panel_id, count(*) AS n, max(period) AS newest FROM avail JOIN asofs ON available_at < (as_of + INTERVAL 1 DAY)::TIMESTAMP WHERE value IS NOT NULL GROUP BY ALL"))
 def j1b(spark, sf_dir):
-    seen = V.published(X.panel(spark, sf_dir), X.lags(spark, sf_dir), X.asofs(spark), inclusive_day=True)
+    seen = V.published(X.panel(spark, sf_dir), X.lags(spark, sf_dir), X.asofs(spark, sf_dir), inclusive_day=True)
     return seen.groupBy("as_of", "panel_id").agg(F.count("*").alias("n"), F.max("period").alias("newest"))
 
 
 @CORE.add("j2_truncated_vintages", W("grid asofs", "SELECT as_of, panel_id, series_id, period, CASE WHEN period <= as_of THEN value END AS value FROM grid, asofs"))
 def j2(spark, sf_dir):
-    return V.truncated_vintages(X.panel(spark, sf_dir), X.asofs(spark))
+    return V.truncated_vintages(X.panel(spark, sf_dir), X.asofs(spark, sf_dir))
 
 
 @CORE.add("j3_month_lag_vintages", W("grid asofs mlags", "SELECT as_of, panel_id, series_id, period, CASE WHEN period <= (date_trunc('month', as_of) - coalesce(lag, 0) * INTERVAL 1 MONTH)::DATE THEN value END AS value FROM grid LEFT JOIN mlags USING (series_id) JOIN asofs ON period <= as_of"))
 def j3(spark, sf_dir):
-    return V.month_lag_vintages(X.panel(spark, sf_dir), X.month_lags(spark, sf_dir), X.asofs(spark))
+    return V.month_lag_vintages(X.panel(spark, sf_dir), X.month_lags(spark, sf_dir), X.asofs(spark, sf_dir))
 
 
 @CORE.add("a10_manifest", W("vint", "SELECT as_of, panel_id, 'vintage_' || strftime(as_of, '%Y-%m-%d') AS file, count(DISTINCT period) AS n_rows, count(DISTINCT series_id) AS n_cols, round(1 - count(value) / (count(DISTINCT period) * count(DISTINCT series_id)), 8) AS na_share FROM vint GROUP BY as_of, panel_id"))
 def a10(spark, sf_dir):
-    return V.manifest(X.panel(spark, sf_dir), X.lags(spark, sf_dir), X.asofs(spark)).withColumn("na_share", F.round("na_share", 8))
+    return V.manifest(X.panel(spark, sf_dir), X.lags(spark, sf_dir), X.asofs(spark, sf_dir)).withColumn("na_share", F.round("na_share", 8))
 
 
 @CORE.add("p5_training_samples", W("grid asofs", "SELECT as_of, panel_id, series_id, count(*) AS n_months, count(value) AS n FROM grid JOIN asofs ON period <= as_of WHERE period >= DATE '1995-06-01' GROUP BY ALL"))
 def p5(spark, sf_dir):
-    sample = V.training_sample(X.panel(spark, sf_dir), X.asofs(spark), "1995-06-01")
+    sample = V.training_sample(X.panel(spark, sf_dir), X.asofs(spark, sf_dir), "1995-06-01")
     return sample.groupBy("as_of", "panel_id", "series_id").agg(F.count("*").alias("n_months"), F.count("value").alias("n"))
 
 
 @CORE.add("j6_target_quarter", W("spans asofs", "SELECT as_of, panel_id, coalesce(min(CASE WHEN q + INTERVAL 3 MONTH - INTERVAL 1 MICROSECOND + INTERVAL 45 DAY > as_of THEN q END), max(hi) + INTERVAL 3 MONTH)::DATE AS quarter FROM (SELECT panel_id, unnest(generate_series(date_trunc('quarter', lo), date_trunc('quarter', hi) + INTERVAL 24 MONTH, INTERVAL 3 MONTH)) AS q, date_trunc('quarter', hi) + INTERVAL 24 MONTH AS hi FROM spans), asofs GROUP BY as_of, panel_id"))
 def j6(spark, sf_dir):
-    return V.target_quarters(X.panel(spark, sf_dir), X.lags(spark, sf_dir), X.asofs(spark), P.TARGET)
+    return V.target_quarters(X.panel(spark, sf_dir), X.lags(spark, sf_dir), X.asofs(spark, sf_dir), P.TARGET)
 
 
 PHASE = "ph AS (SELECT panel_id, arg_max(phase, (n, -first)) AS phase FROM (SELECT panel_id, month(period) % 3 AS phase, count(*) AS n, min(period) - DATE '1970-01-01' AS first FROM grid WHERE series_id = 'TOTAL' AND value IS NOT NULL GROUP BY ALL) GROUP BY panel_id)"
@@ -82,7 +81,7 @@ def p6(spark, sf_dir):
 
 @CORE.add("a4_standardised_vintages", W("vint", "SELECT as_of, panel_id, series_id, period, round((value - avg(value) OVER w) / CASE WHEN stddev_pop(value) OVER w = 0 THEN 1 ELSE stddev_pop(value) OVER w END, 5) AS z FROM vint WINDOW w AS (PARTITION BY as_of, panel_id, series_id)"))
 def a4(spark, sf_dir):
-    vint = V.vintages(X.panel(spark, sf_dir), X.lags(spark, sf_dir), X.asofs(spark))
+    vint = V.vintages(X.panel(spark, sf_dir), X.lags(spark, sf_dir), X.asofs(spark, sf_dir))
     return V.standardised_vintages(vint).select("as_of", "panel_id", "series_id", "period", F.round("z", 5).alias("z"))
 
 
@@ -90,22 +89,22 @@ def a4(spark, sf_dir):
 def a16(spark, sf_dir):
     from vintage_jobs.operators.combine import last_known_target
 
-    return last_known_target(V.vintages(X.panel(spark, sf_dir), X.lags(spark, sf_dir), X.asofs(spark)), P.TARGET)
+    return last_known_target(V.vintages(X.panel(spark, sf_dir), X.lags(spark, sf_dir), X.asofs(spark, sf_dir)), P.TARGET)
 
 
-BUNDLE = f"ev AS (SELECT available_at::DATE AS as_of, panel_id, list_sort(list(DISTINCT series_id)) AS released_series FROM avail WHERE available_at::DATE BETWEEN DATE '{START}' AND DATE '{END}' GROUP BY ALL)"
+BUNDLE = "ev AS (SELECT available_at::DATE AS as_of, panel_id, list_sort(list(DISTINCT series_id)) AS released_series FROM avail WHERE available_at::DATE BETWEEN (SELECT s FROM span) AND (SELECT e FROM span) GROUP BY ALL)"
 
 
-@CORE.add("a12_bundled_releases", W("avail", "SELECT as_of, panel_id, array_to_string(released_series, ',') AS released_series FROM ev", BUNDLE))
+@CORE.add("a12_bundled_releases", W("avail span", "SELECT as_of, panel_id, array_to_string(released_series, ',') AS released_series FROM ev", BUNDLE))
 def a12(spark, sf_dir):
-    days = S.release_days(X.panel(spark, sf_dir), X.lags(spark, sf_dir), START, END)
+    days = S.release_days(X.panel(spark, sf_dir), X.lags(spark, sf_dir), X.span(spark, sf_dir))
     return S.bundled_by_day(days).withColumn("released_series", F.array_join("released_series", ","))
 
 
-@CORE.add("j13_with_empty_days", W("avail", f"SELECT d.as_of, p.panel_id, coalesce(len(released_series), 0)::BIGINT AS n_series FROM (SELECT unnest(generate_series(DATE '{START}', DATE '{END}', INTERVAL 1 DAY))::DATE AS as_of) d CROSS JOIN (SELECT DISTINCT panel_id FROM ev) p LEFT JOIN ev ON ev.as_of = d.as_of AND ev.panel_id = p.panel_id", BUNDLE))
+@CORE.add("j13_with_empty_days", W("avail span", "SELECT d.as_of, p.panel_id, coalesce(len(released_series), 0)::BIGINT AS n_series FROM (SELECT unnest(generate_series(s, e, INTERVAL 1 DAY))::DATE AS as_of FROM span) d CROSS JOIN (SELECT DISTINCT panel_id FROM ev) p LEFT JOIN ev ON ev.as_of = d.as_of AND ev.panel_id = p.panel_id", BUNDLE))
 def j13(spark, sf_dir):
-    days = S.release_days(X.panel(spark, sf_dir), X.lags(spark, sf_dir), START, END)
-    return S.with_empty_days(S.bundled_by_day(days), START, END).select("as_of", "panel_id", F.size("released_series").cast("long").alias("n_series"))
+    days = S.release_days(X.panel(spark, sf_dir), X.lags(spark, sf_dir), X.span(spark, sf_dir))
+    return S.with_empty_days(S.bundled_by_day(days), X.span(spark, sf_dir)).select("as_of", "panel_id", F.size("released_series").cast("long").alias("n_series"))
 
 
 @CORE.add("w11_order_violations", W("avail", "SELECT panel_id, seq, as_of, previous FROM (SELECT *, lag(as_of) OVER (PARTITION BY panel_id ORDER BY seq) AS previous FROM (SELECT panel_id, row_number() OVER (PARTITION BY panel_id ORDER BY period, series_id) AS seq, available_at::DATE AS as_of FROM avail)) WHERE previous >= as_of"))
@@ -127,16 +126,18 @@ def calendar_rules(spark, sf_dir):
     )
 
 
-CAL = f"mo AS (SELECT unnest(generate_series(date_trunc('month', DATE '{START}'), DATE '{END}', INTERVAL 1 MONTH))::DATE AS m)"
+CAL = "mo AS (SELECT unnest(generate_series(s, e, INTERVAL 1 MONTH))::DATE AS m FROM span)"
 
 
-@CORE.add("f11_f13_release_calendar", W("", f"""WITH {CAL}, wk AS (SELECT n_name, n_nationkey % 6 AS week, m, (m + ((n_nationkey % 7 - (isodow(m) - 1) + 7) % 7)::INTEGER)::DATE AS first FROM nation, mo WHERE n_nationkey % 4 >= 2),
+RULES_BY_DAY = f"""{CAL}, wk AS (SELECT n_name, n_nationkey % 6 AS week, m, (m + ((n_nationkey % 7 - (isodow(m) - 1) + 7) % 7)::INTEGER)::DATE AS first FROM nation, mo WHERE n_nationkey % 4 >= 2),
 al AS (SELECT n_name AS series_id, DATE '1996-03-05' AS day FROM nation WHERE n_nationkey % 4 = 0 UNION ALL SELECT n_name, make_date(1996, 7, n_nationkey % 9 + 1) FROM nation WHERE n_nationkey % 4 = 0
 UNION ALL SELECT n_name, (m + (least(n_nationkey + 7, day(last_day(m))) - 1)::INTEGER)::DATE FROM nation, mo WHERE n_nationkey % 4 = 1
-UNION ALL SELECT n_name, CASE WHEN month(first + ((week - 1) * 7)::INTEGER) = month(m) THEN first + ((week - 1) * 7)::INTEGER WHEN month(first + 28) = month(m) THEN first + 28 ELSE first + 21 END::DATE FROM wk WHERE week >= 1)
-SELECT series_id, day FROM al WHERE day BETWEEN DATE '{START}' AND DATE '{END}'"""))
+UNION ALL SELECT n_name, CASE WHEN month(first + ((week - 1) * 7)::INTEGER) = month(m) THEN first + ((week - 1) * 7)::INTEGER WHEN month(first + 28) = month(m) THEN first + 28 ELSE first + 21 END::DATE FROM wk WHERE week >= 1)"""
+
+
+@CORE.add("f11_f13_release_calendar", W("span", "SELECT series_id, day FROM al WHERE day BETWEEN (SELECT s FROM span) AND (SELECT e FROM span)", RULES_BY_DAY))
 def f11(spark, sf_dir):
-    return S.calendar_releases(calendar_rules(spark, sf_dir), START, END)
+    return S.calendar_releases(calendar_rules(spark, sf_dir), X.span(spark, sf_dir))
 
 
 @CORE.add("f3_f5_months", "SELECT DISTINCT o_orderdate::DATE AS day, date_trunc('month', o_orderdate)::DATE AS end_month, (date_trunc('month', o_orderdate) - INTERVAL 1 MONTH)::DATE AS mid_month, (date_trunc('month', o_orderdate) - INTERVAL 2 MONTH)::DATE AS early_month, (date_trunc('month', o_orderdate) + ((2 - month(o_orderdate) % 3 + 3) % 3) * INTERVAL 1 MONTH)::DATE AS q_now, (date_trunc('month', o_orderdate) + ((2 - month(o_orderdate) % 3 + 3) % 3 - 3) * INTERVAL 1 MONTH)::DATE AS q_back FROM orders")

@@ -23,10 +23,10 @@ def with_failed(forecasts: DataFrame, strict_reference: bool = False) -> DataFra
 def mixture(forecasts: DataFrame, bounds: DataFrame, fallback: DataFrame | None = None, drop_failed: bool = True, strict_reference: bool = False) -> DataFrame:
     """Mean of the usable, clipped forecasts of each update with counts, the models used and all forecasts by model.
 
-    ``bounds`` has lo, hi by panel_id, ``fallback`` a fallback_value by update; without a usable forecast and without
+    ``bounds`` has lo, hi by panel_id (or by panel_id and as_of), ``fallback`` a fallback_value by update; without a usable forecast and without
     fallback the value is null here (``checked`` makes that an error).
     """
-    own = with_failed(forecasts, strict_reference).join(F.broadcast(bounds), "panel_id", "left")
+    own = with_failed(forecasts, strict_reference).join(bounds, [c for c in ("panel_id", "as_of") if c in bounds.columns], "left")
     usable = ~F.col("failed") | (F.lit(not drop_failed) & F.col("value").isNotNull())
     clip = clipped(F.col("value"), F.col("lo"), F.col("hi"))
     own = own.withColumns({"usable": usable, "use": F.when(usable, clip), "trimmed": usable & ~F.col("value").eqNullSafe(clip)})

@@ -81,5 +81,18 @@ def bounds(targets: DataFrame, method: str = "quantile", low: float = 0.01, high
     return targets.groupBy("panel_id").agg(F.percentile("y", F.lit(low)).alias("lo"), F.percentile("y", F.lit(high)).alias("hi"))
 
 
+def bounds_in_time(targets: DataFrame, as_ofs: DataFrame) -> DataFrame:
+    """panel_id, as_of, lo, hi: the extremes of each panel's targets up to each as-of, so no clip looks ahead.
+
+    A target goes to the first as-of at or after it; extremes then run over the as-ofs.
+    """
+    grid = as_ofs.agg(F.sort_array(F.collect_set("as_of")).alias("grid"))
+    first = F.array_min(F.filter("grid", lambda d: d >= F.col("target_period")))
+    seen = targets.crossJoin(F.broadcast(grid)).groupBy("panel_id", first.alias("as_of")).agg(F.min("y").alias("least"), F.max("y").alias("most"))
+    every = targets.select("panel_id").distinct().crossJoin(F.broadcast(as_ofs.select("as_of").distinct())).join(seen, ["panel_id", "as_of"], "left")
+    upto = Window.partitionBy("panel_id").orderBy("as_of")
+    return every.select("panel_id", "as_of", F.min("least").over(upto).alias("lo"), F.max("most").over(upto).alias("hi"))
+
+
 def choice_counts(selected: DataFrame) -> DataFrame:
     return selected.groupBy("panel_id", "choice").agg(F.count("*").alias("n"))

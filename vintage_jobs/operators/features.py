@@ -28,7 +28,7 @@ def lagged_features(targets: DataFrame, predictors: DataFrame, lags: DataFrame,
     """
     if max_lag < 0:
         raise ValueError("max_lag must not be negative")
-    series = predictors.select("panel_id", "series_id").distinct().join(F.broadcast(lags.select("series_id", F.col("lag").alias("delay"))), "series_id", "left")
+    series = predictors.select("panel_id", "series_id").distinct().join(lags.select("series_id", F.col("lag").alias("delay")), "series_id", "left")
     wanted = targets.select("panel_id", "target_period").join(series, "panel_id").select("panel_id", "series_id", "target_period", F.coalesce("delay", F.lit(default_lag)).alias("delay"), F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag"))
     wanted = wanted.withColumn("period", F.add_months(asof_month(F.col("target_period"), rule), -F.col("lag")))
     found = wanted.join(predictors.select("panel_id", "series_id", "period", "value"), ["panel_id", "series_id", "period"], "left")

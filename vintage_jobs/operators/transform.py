@@ -63,8 +63,8 @@ def decisions(p_values: DataFrame, target: str, change: list[str], rate: list[st
 
 
 def transformed(panel: DataFrame, rules: DataFrame, target: str) -> DataFrame:
-    """Each series under its rule; the target becomes quarterly log growth. Rules are one row a series: broadcast."""
-    others = log_differences(panel.where(F.col("series_id") != target)).join(F.broadcast(rules.select(*SERIES, "rule")), list(SERIES))
+    """Each series under its rule; the target becomes quarterly log growth."""
+    others = log_differences(panel.where(F.col("series_id") != target)).join(rules.select(*SERIES, "rule"), list(SERIES))
     value = F.when(F.col("rule").isin(S.RULE_CHANGE, S.RULE_LEVEL), F.col("value")).when(F.col("rule") == S.RULE_DIFF, F.col("diff")).when(F.col("rule") == S.RULE_LOG, F.col("change"))
     on_grid = panel.where(F.col("series_id") == target).drop("value").join(growth_on_dates(panel, target), ["panel_id", "series_id", "period"], "left")
     return others.select(*SERIES, "period", value.alias("value")).unionByName(on_grid.select(*SERIES, "period", "value"))
@@ -73,7 +73,7 @@ def transformed(panel: DataFrame, rules: DataFrame, target: str) -> DataFrame:
 def without_first_periods(panel: DataFrame, n: int = 1) -> DataFrame:
     """Drops the first n periods of each panel's grid: joined with the few edge dates, so the panel is not sorted."""
     starts = panel.select("panel_id", "period").distinct().withColumn("k", F.row_number().over(Window.partitionBy("panel_id").orderBy("period"))).where(F.col("k") == n).select("panel_id", F.col("period").alias("edge"))
-    return panel.join(F.broadcast(starts), "panel_id").where(F.col("period") > F.col("edge")).drop("edge")
+    return panel.join(starts, "panel_id").where(F.col("period") > F.col("edge")).drop("edge")
 
 
 def without_empty_periods(panel: DataFrame) -> DataFrame:
@@ -84,15 +84,19 @@ def without_empty_periods(panel: DataFrame) -> DataFrame:
 
 def second_differences(panel: DataFrame, still: DataFrame, target: str) -> DataFrame:
     """Differences once more the series in ``still``, never the target, over the rows that are left."""
-    flagged = panel.join(F.broadcast(still.select(*SERIES).distinct().withColumn("again", F.lit(True))), list(SERIES), "left")
+    flagged = panel.join(still.select(*SERIES).distinct().withColumn("again", F.lit(True)), list(SERIES), "left")
     again = F.coalesce("again", F.lit(False)) & (F.col("series_id") != target)
     return flagged.select(*SERIES, "period", F.when(again, F.col("value") - F.lag("value").over(in_time())).otherwise(F.col("value")).alias("value"))
 
 
-def z_scores(panel: DataFrame) -> DataFrame:
-    """``z``: value less the series' mean over its deviation (ddof 0); null where that is zero."""
-    sd = F.stddev_pop("value").over(by())
-    return panel.withColumn("z", F.when(sd > 0, (F.col("value") - F.avg("value").over(by())) / sd))
+def z_scores(panel: DataFrame, point_in_time: bool = False) -> DataFrame:
+    """``z``: value less the series' mean over its deviation (ddof 0); null where that is zero.
+
+    Over the whole series, or with ``point_in_time`` over its values up to each period.
+    """
+    over = in_time().rowsBetween(Window.unboundedPreceding, 0) if point_in_time else by()
+    sd = F.stddev_pop("value").over(over)
+    return panel.withColumn("z", F.when(sd > 0, (F.col("value") - F.avg("value").over(over)) / sd))
 
 
 def usable_series(panel: DataFrame) -> DataFrame:

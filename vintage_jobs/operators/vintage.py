@@ -10,10 +10,20 @@ from vintage_jobs.functions import dates as D
 DEFAULT_LAG = {"freq": "M", "ref_point": "period_end", "lag_unit": "months", "lag_value": 0}
 
 
-def asof_grid(spark: SparkSession, start: str, end: str) -> DataFrame:
-    """as_of: the month ends from start to end."""
-    bounds = spark.range(1).select(F.lit(start).cast("date").alias("s"), F.lit(end).cast("date").alias("e"))
-    return bounds.select(F.explode(D.month_end_grid(F.col("s"), F.col("e"))).alias("as_of"))
+def asof_grid(span: DataFrame) -> DataFrame:
+    """as_of: the month ends within a span (start, end). As many rows as months, so it may be broadcast."""
+    return span.select(F.explode(D.month_end_grid(F.col("start"), F.col("end"))).alias("as_of"))
+
+
+def panel_span(panel: DataFrame, lead: int = 0) -> DataFrame:
+    """start, end: one row, from the month of the first period of all panels to the end of the month ``lead`` after the last."""
+    ends = panel.agg(F.min("period").alias("lo"), F.max("period").alias("hi"))
+    return ends.select(D.month_start(F.col("lo")).alias("start"), F.last_day(F.add_months("hi", lead)).alias("end"))
+
+
+def fixed_span(spark: SparkSession, start: str, end: str) -> DataFrame:
+    """start, end: one row with two given days."""
+    return spark.range(1).select(F.lit(start).cast("date").alias("start"), F.lit(end).cast("date").alias("end"))
 
 
 def panel_asofs(panel: DataFrame, months: int) -> DataFrame:
@@ -24,8 +34,8 @@ def panel_asofs(panel: DataFrame, months: int) -> DataFrame:
 
 
 def with_lags(panel: DataFrame, lags: DataFrame, default: dict = DEFAULT_LAG) -> DataFrame:
-    """The panel with the lag columns of its series; unlisted series get the default. One row a series: always small."""
-    joined = panel.join(F.broadcast(lags.select("series_id", *default)), "series_id", "left")
+    """The panel with the lag columns of its series; unlisted series get the default."""
+    joined = panel.join(lags.select("series_id", *default), "series_id", "left")
     return joined.select(*panel.columns, *(F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in default.items()))
 
 
@@ -61,7 +71,7 @@ def truncated_vintages(panel: DataFrame, as_ofs: DataFrame) -> DataFrame:
 
 def month_lag_vintages(panel: DataFrame, lag_months: DataFrame, as_ofs: DataFrame, default: int = 0) -> DataFrame:
     """Vintages with lags in whole months: rows up to the as-of, cells nulled where later than its month less the lag."""
-    own = panel.join(F.broadcast(lag_months.select("series_id", "lag")), "series_id", "left").join(F.broadcast(as_ofs), F.col("period") <= F.col("as_of"))
+    own = panel.join(lag_months.select("series_id", "lag"), "series_id", "left").join(F.broadcast(as_ofs), F.col("period") <= F.col("as_of"))
     edge = F.add_months(D.month_start(F.col("as_of")), -F.coalesce("lag", F.lit(default)))
     return own.select("as_of", "panel_id", "series_id", "period", F.when(F.col("period") <= edge, F.col("value")).alias("value"))
 
@@ -113,7 +123,7 @@ def target_phase(panel: DataFrame, target: str) -> DataFrame:
 
 def quarter_months_only(panel: DataFrame, target: str) -> DataFrame:
     """The panel with the target nulled outside its quarter months."""
-    own = panel.join(F.broadcast(target_phase(panel, target)), "panel_id", "left")
+    own = panel.join(target_phase(panel, target), "panel_id", "left")
     keep = (F.col("series_id") != target) | (F.pmod(F.month("period"), F.lit(3)) == F.col("phase"))
     return own.select("panel_id", "series_id", "period", F.when(keep, F.col("value")).alias("value"))
 

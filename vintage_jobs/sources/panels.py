@@ -38,25 +38,30 @@ def wide_panel(panel: DataFrame, series: list[str]) -> DataFrame:
 
 
 def monthly_grid(panel: DataFrame) -> DataFrame:
-    """Every series of a panel on all month starts from the panel's first to its last; dates off the grid are dropped."""
+    """Every series of a panel on all month starts from the panel's first to its last; dates off the grid are dropped.
+
+    Of repeated rows of a series and period the greatest value stays.
+    """
     on_grid = panel.where(F.col("period") == F.trunc("period", "MM"))
     span = panel.groupBy("panel_id").agg(F.add_months(F.trunc(F.date_sub(F.min("period"), 1), "MM"), 1).alias("first"), F.trunc(F.max("period"), "MM").alias("last"))
     months = F.when(F.col("first") <= F.col("last"), F.sequence("first", "last", F.expr("interval 1 month"))).otherwise(F.array().cast("array<date>"))
     grid = panel.select("panel_id", "series_id").distinct().join(span, "panel_id").select("panel_id", "series_id", F.explode(months).alias("period"))
-    return grid.join(on_grid.dropDuplicates(["panel_id", "series_id", "period"]), ["panel_id", "series_id", "period"], "left")
+    return grid.join(on_grid.groupBy("panel_id", "series_id", "period").agg(F.max("value").alias("value")), ["panel_id", "series_id", "period"], "left")
 
 
 def write_panel(panel: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Writes a long or wide panel in the order of panel, period and, where there is one, series."""
     if fmt not in ("parquet", "csv"):
         raise ValueError(f"unknown format: {fmt}")
-    panel.write.mode("overwrite").option("header", True).format(fmt).save(path)
+    order = [c for c in ("panel_id", "period", "series_id") if c in panel.columns]
+    panel.orderBy(*order).write.mode("overwrite").option("header", True).format(fmt).save(path)
 
 
 def write_vintages(vintages: DataFrame, path: str, fmt: str = "parquet", salts: int = 8) -> None:
     """One folder an as-of; only the as-ofs that are there are replaced. Rows of an as-of are spread over ``salts`` files."""
     if fmt not in ("parquet", "csv"):
         raise ValueError(f"unknown format: {fmt}")
-    spread = vintages.repartition("as_of", F.pmod(F.xxhash64("panel_id", "series_id"), F.lit(salts)))
+    spread = vintages.repartition("as_of", F.pmod(F.xxhash64("panel_id", "series_id"), F.lit(salts))).sortWithinPartitions("as_of", "panel_id", "series_id", "period")
     spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True).partitionBy("as_of").format(fmt).save(path)
 
 
