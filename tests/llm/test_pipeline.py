@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as C
 from tests.llm.test_packing import check_packing
 from tests.llm.test_similar import slow_components, slow_shingles
@@ -46,3 +48,18 @@ def test_stages_against_brute_force(spark, small_dir):
 
 def test_run_is_the_stages(spark, small_dir):
     assert C.run(spark, small_dir).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def test_stages_on_edge_rows(spark, small_dir):
+    documents = spark.read.parquet(f"{small_dir}/documents.parquet")
+    good = " ".join(f"word{i}" for i in range(40)) + "."
+    rows = [(1, None), (2, ""), (3, good), (3, good), (None, good + " more of a@b.example here"), (None, None), (4, "x " * 30_000)]
+    docs = spark.createDataFrame([(d, t, None, None, 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").select(*(F.col(c).cast(documents.schema[c].dataType) for c in documents.columns)).withColumn("row_key", F.lit(1))
+    for name, stage in C.STAGES[1:]:
+        docs = stored(stage(spark, docs, small_dir), f"edge-{name}")
+        if name == "simhash":
+            assert sorted((r.doc_id, r.text) for r in docs.collect()) == [(1, None), (3, good), (4, "x " * 30_000)]
+        if name != "packing":
+            assert docs.columns == [*documents.columns, "row_key"]
+    assert {r.doc_id for r in docs.collect()} == {1, 3, 4}
+    assert C.STAGES[0][1](spark, documents.limit(0), small_dir).count() == 0
