@@ -13,16 +13,17 @@ def _holds(text: Column, word: Column, match_case: bool) -> Column:
 def header_matches(catalog: DataFrame, keywords: DataFrame, match_case: bool = False) -> DataFrame:
     """file, folder, keyword, column_name: the first column of each file that contains each keyword."""
     parts = catalog.select("file", "folder", F.posexplode(F.split("header", F.concat(F.lit("\\Q"), F.col("sep"), F.lit("\\E")))).alias("place", "cell")).withColumn("column_name", F.trim("cell"))
-    hits = parts.join(F.broadcast(keywords), _holds(F.col("column_name"), F.col("keyword"), match_case))
+    hits = parts.join(keywords, _holds(F.col("column_name"), F.col("keyword"), match_case))
     return hits.groupBy("file", "folder", "keyword").agg(F.min_by("column_name", "place").alias("column_name"))
 
 
 def line_matches(lines: DataFrame, needles: DataFrame, match_case: bool = True) -> DataFrame:
     """file, line_no, line, why: each line that contains a needle, once, with the first reason in sort order.
 
-    A line is scanned once for each needle in the broadcast table; matches never meet other lines.
+    A line is scanned once for each distinct needle; the needles are broadcast where they are small enough.
     """
-    hits = lines.join(F.broadcast(needles), _holds(F.col("line"), F.col("needle"), match_case))
+    needles = needles.groupBy("needle").agg(F.min("why").alias("why"))
+    hits = lines.join(needles, _holds(F.col("line"), F.col("needle"), match_case))
     return hits.groupBy("file", "line_no", "line").agg(F.min("why").alias("why"))
 
 
