@@ -1,18 +1,42 @@
 import numpy as np
 import pytest
 
+from tests.brute import unit_root_p
 from vintage_jobs.jobs import fits as X
+from vintage_jobs.jobs.fanout import unit_root_tests
+from vintage_jobs.jobs.fixtures import observations
+from vintage_jobs.jobs.registry import CORE
 
 
-def test_unit_root_tells_walks_from_noise():
+def test_unit_root_tests_against_regressions(spark):
     rng = np.random.default_rng(0)
     noise, walk = rng.normal(size=200), np.cumsum(rng.normal(size=200))
-    assert X.unit_root_p(noise) < 0.01 and X.unit_root_p(walk) > 0.05
+    gap, steps = noise.copy(), np.round(np.cumsum(rng.normal(size=60)))
+    gap[[0, 3, 199]] = np.nan
+    series = {"noise": noise, "walk": walk + 1e4, "gap": gap, "steps": steps, "large": 2e6 + 5e5 * noise[:79], "month": rng.normal(size=25) + 50, "long": np.convolve(rng.normal(size=1500), [1, 0.6, -0.4], "valid")}
+    none = {"flat": np.ones(50), "two": np.arange(50.0) % 2, "short": noise[:20], "null": np.full(40, np.nan), "one": np.ones(1), "endless": np.append(noise[:40], np.inf)}
+    rows = [("p", name, i, None if i % 2 and np.isnan(v) else float(v)) for name, y in (series | none).items() for i, v in enumerate(y)]
+    made = spark.createDataFrame(rows, "panel_id string, series_id string, at int, value double").selectExpr("panel_id", "series_id", "add_months(date'1900-01-01', at) AS period", "value", "1 AS n", "'x' AS most")
+    got = {r.series_id: r for r in unit_root_tests(made).collect()}
+    assert set(got) == set(series | none)
+    for name, y in series.items():
+        assert got[name].p_value == pytest.approx(unit_root_p(y), rel=1e-6, abs=1e-9), name
+        assert got[name].stationary == (unit_root_p(y) <= 0.05)
+    assert all(got[name].p_value is None and not got[name].stationary for name in none)
+    assert got["noise"].p_value < 0.01 and got["walk"].p_value > 0.05
     assert X.approximate_p(-2.86) == pytest.approx(0.0502, abs=1e-4)
-    assert X.unit_root_p(np.ones(50)) is None and X.unit_root_p(noise[:20]) is None
-    gap = noise.copy()
-    gap[3] = np.nan
-    assert X.unit_root_p(gap) == pytest.approx(X.unit_root_p(np.delete(noise, 3)))
+    assert unit_root_tests(made.where("false")).count() == 0
+
+
+def test_unit_root_query_against_regressions(spark, small_dir):
+    cells = {}
+    for r in observations(spark, small_dir).where("value IS NOT NULL").orderBy("period").collect():
+        cells.setdefault((r.panel_id, r.series_id), []).append(r.value)
+    got = {(r.panel_id, r.series_id): r.p_value for r in CORE["x1_unit_root_tests"].query(spark, small_dir).collect()}
+    assert set(got) >= set(cells)
+    for key, values in cells.items():
+        want = unit_root_p(np.array(values))
+        assert got[key] is None if want is None else got[key] == pytest.approx(want, rel=1e-6, abs=1e-12), key
 
 
 def test_seasonal_part_of_a_sine():

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from tests.brute import unit_root_p
 from vintage_jobs.functions import scalars as S
 from vintage_jobs.jobs import fanout as J
 from vintage_jobs.jobs import fits
@@ -36,7 +37,7 @@ def by_hand(wide):
     out, rules = {}, {}
     for name in own.columns.drop(TARGET):
         v = own[name]
-        p = fits.unit_root_p(v.to_numpy())
+        p = unit_root_p(v.to_numpy())
         logs = np.full(len(v), np.nan) if (v < 0).any() else np.log(v.to_numpy())
         change = pd.Series(logs, own.index).diff()
         if change.count() < 10 and v.count() > 25:
@@ -50,7 +51,7 @@ def by_hand(wide):
     seen = own[TARGET].dropna()
     out[TARGET] = np.log(seen).diff().reindex(own.index)
     made = pd.DataFrame(out).iloc[1:].dropna(how="all")
-    again = [c for c in made.columns if c != TARGET and not ((fits.unit_root_p(made[c].to_numpy()) or 1.0) <= 0.05)]
+    again = [c for c in made.columns if c != TARGET and not ((unit_root_p(made[c].to_numpy()) or 1.0) <= 0.05)]
     made[again] = made[again].diff()
     made = made.iloc[1:]
     return rules, again, made, (made - made.mean()) / made.std(ddof=0)

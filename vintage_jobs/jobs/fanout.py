@@ -5,11 +5,12 @@ Groups are keyed by everything that tells fits apart, so late as-ofs with long h
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintage_jobs.functions.scalars import choice, chosen_value
@@ -28,17 +29,51 @@ def by_series(panel: DataFrame, fit: Callable[[pd.DataFrame], pd.DataFrame], sch
 
 
 def unit_root_tests(panel: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """panel_id, series_id, p_value, stationary; null p-values are not stationary."""
+    """panel_id, series_id, p_value, stationary; null p-values are not stationary.
 
-    def fit(own: pd.DataFrame) -> pd.DataFrame:
-        try:
-            p = fits.unit_root_p(own["value"].to_numpy(float))
-        except np.linalg.LinAlgError:
-            p = None
-        return pd.DataFrame({"panel_id": [own.panel_id.iloc[0]], "series_id": [own.series_id.iloc[0]], "p_value": pd.array([p], dtype="Float64")})
+    A series needs 25 values and three different ones. Windows give every row its lagged differences and grouped sums the
+    normal equations of all lags, in one shuffle; only the solution of these few sums a series is numpy. Of the panel, one
+    number reaches the driver: the rows of the longest series, which bounds the lags.
+    """
+    keys, size = ["panel_id", "series_id"], lambda n: 12 * (n / 100) ** 0.25
+    longest = panel.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
+    of = Window.partitionBy(*keys)
+    by = of.orderBy(F.col("v").isNull(), "period")
+    rows = panel.select(*keys, "period", F.when(~F.isnan("value"), F.col("value").cast("double")).alias("v"))
+    rows = rows.select("*", F.count("v").over(of).alias("n"), F.avg("v").over(of).alias("mean"), F.min("v").over(of).alias("lo"), F.max("v").over(of).alias("hi"), (F.row_number().over(by) - 2).alias("r"), F.lag("v").over(by).alias("before"))
+    most = F.greatest(F.lit(0), F.least(F.ceil(size(F.col("n"))), F.floor(F.col("n") / 2) - 2)).cast("int")
+    rows = rows.withColumns({"most": most, "d": F.col("v") - F.col("before"), "y": F.col("before") - F.col("mean")})
+    lags = F.reverse(F.collect_list("d").over(by.rowsBetween(-math.ceil(size(longest)), 0)))
+    rows = rows.withColumn("lags", F.when(F.col("d").isNotNull(), F.slice(lags, 1, F.col("most") + 1)))
+    k, r, y, d = F.col("k"), F.col("r"), F.col("y"), F.col("d")
+    inner, once = r >= F.col("most"), k.isNull() | (k == 0)
+    sums = rows.select("*", F.posexplode_outer("lags").alias("k", "lag")).groupBy(*keys, "k").agg(
+        F.max("n").alias("n"),
+        F.max("most").alias("most"),
+        *(F.sum(F.when(inner, x * F.col("lag"))).alias(name) for name, x in (("a", d), ("c", y), ("s", F.lit(1.0)))),
+        *(F.sum(F.when(inner & (k == 0), x)).alias(name) for name, x in (("size", F.lit(1)), ("total", y), ("squares", y * y))),
+        F.count_if(once & (F.col("v") > F.col("lo")) & (F.col("v") < F.col("hi"))).alias("between"),
+        F.collect_list(F.when((k == 0) & (r < F.col("most")), F.struct("r", "y", "d"))).alias("head"),
+        F.collect_list(F.when((k == 0) & (r >= F.col("n") - 1 - F.col("most")), F.struct("r", "d"))).alias("tail"),
+    )
+    own = sums.groupBy(*keys).agg(
+        *(F.max(c).alias(c) for c in ("n", "most", "size", "total", "squares")),
+        F.sum("between").alias("between"),
+        F.sort_array(F.collect_list(F.when(k.isNotNull(), F.struct("k", "a", "c", "s")))).alias("sums"),
+        *(F.sort_array(F.flatten(F.collect_list(c))).alias(c) for c in ("head", "tail")),
+    )
+
+    def solve(fit: pd.Series, most: pd.Series, size: pd.Series, total: pd.Series, squares: pd.Series, a: pd.Series, c: pd.Series, s: pd.Series, level: pd.Series, head: pd.Series, tail: pd.Series) -> pd.Series:
+        out = []
+        for ok, *of in zip(fit, most, size, total, squares, a, c, s, level, head, tail, strict=True):
+            try:
+                out.append(fits.unit_root_p(int(of[0]), int(of[1]), *of[2:]) if ok else None)
+            except np.linalg.LinAlgError:
+                out.append(None)
+        return pd.Series(out, dtype="Float64")
 
-    out = by_series(panel, fit, "panel_id string, series_id string, p_value double")
-    return out.withColumn("stationary", F.coalesce(F.col("p_value") <= alpha, F.lit(False)))
+    p = F.pandas_udf(solve, "double")((F.col("n") >= 25) & (F.col("between") > 0), "most", "size", "total", "squares", "sums.a", "sums.c", "sums.s", "head.y", "head.d", "tail.d")
+    return own.select(*keys, p.alias("p_value")).withColumn("stationary", F.coalesce(F.col("p_value") <= alpha, F.lit(False)))
 
 
 def seasonally_adjusted(panel: DataFrame, chosen: list[str] | None = None) -> DataFrame:
