@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vintage_jobs.llm import chat, ctph, decontam, html_text, langid, packing, pii, quality, simhash, substring
+from vintage_jobs.llm import alignment, chat, codes, counting, ctph, decontam, html_text, langid, packing, pii, quality, simhash, substring
 from vintage_jobs.llm.common import table
 
 
@@ -51,6 +51,18 @@ def op10_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.with_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.count_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.code_digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
@@ -62,6 +74,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_langid": op9_langid,
     "op10_ctph": op10_ctph,
+    "op11_token_counts": op11_token_counts,
+    "op12_alignment": op12_alignment,
+    "op13_vector_codes": op13_vector_codes,
 }
 
-ORACLES: dict[str, str] = {"op2_decontamination": decontam.ORACLE, "op5_substring": substring.ORACLE, "op8_chat": chat.ORACLE}
+ORACLES: dict[str, str] = {"op2_decontamination": decontam.ORACLE, "op5_substring": substring.ORACLE, "op8_chat": chat.ORACLE, "op13_vector_codes": codes.oracle()}
