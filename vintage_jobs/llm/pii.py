@@ -3,7 +3,7 @@
 An Aho-Corasick automaton finds the anchors of a text in one pass (at-signs, plus signs, digits, schemes and
 identifier cues). From every anchor a small deterministic parser expands to the boundaries of the address, number or
 account and validates it. Parsers are linear in the text: each kind keeps the end of its last match and never reads
-left of it.
+left of it, or reads a bounded way; between a cue and its account number one word of at most 16 letters may stand.
 
 Defined results: a null text is the empty text and has no spans; a null doc_id stays null; repeated rows each give a
 row; very long texts are read whole, in one pass.
@@ -32,7 +32,7 @@ DOTTED = re.compile(r"[0-9.]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 USERINFO = re.compile(r"[^\s/@:]+:[^\s/@]+@[A-Za-z0-9.-]+")
-IBAN = re.compile(r"[\s:#-]*(?:[A-Za-z]+[\s:]+)?([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Z0-9])")
+IBAN = re.compile(r"[\s:#-]*+(?:[A-Za-z]{1,16}+[\s:]++)?([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Z0-9])")
 SSN = re.compile(r"[\s:#-]*([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
 SECRET = re.compile(r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_+/.~-]{8,}=*)")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://")
