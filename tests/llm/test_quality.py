@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vintage_jobs.llm import quality as Q
+from vintage_jobs.llm.common import within_bound
 
 
 def test_forward_backward_against_all_labellings():
@@ -136,3 +137,18 @@ def test_edge_rows(spark):
         got = {r.doc_id: r.score for r in Q.quality_digest(docs, own).collect()}
         assert got[1] == got[2] == 0.0 and 0 <= got[None] <= 1 and Q.quality_digest(docs, own).count() == 5
     assert Q.accepted(docs, labels).columns == docs.columns and Q.quality_digest(docs.limit(0), labels).count() == 0
+
+
+def test_a_long_text_leaves_the_others_in_the_fit(spark):
+    rows = [(i, "A good line of words.\nAnother one, with an end." if i % 2 else "buy now!!! $$$\nCLICK") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(70)], "doc_id long, quality int")
+    long = [(60 + i, "line\n" * 3000) for i in range(10)]
+    both = [Q.fit(spark.createDataFrame(r, "doc_id long, text string"), labels, max_lines=2000) for r in (rows, rows + long)]
+    assert both[1].weights is not None and np.allclose(both[0].weights, both[1].weights)
+    assert both[1].score(rows[1][1]) > 0.5 > both[1].score(rows[0][1])
+
+
+def test_what_stays_within_a_bound():
+    assert within_bound([("a", 50), ("b", 3), ("c", 200), ("d", 4)], 100) == ["b", "d"]
+    assert within_bound([("a", 90), ("b", 60), ("c", 20)], 100) == ["c", "b"]
+    assert within_bound([(i, 10) for i in range(20)], 100) == list(range(10)) and within_bound([], 5) == []

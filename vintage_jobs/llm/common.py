@@ -37,6 +37,22 @@ def stored(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def within_bound(sizes: Iterable[tuple], bound: int) -> list:
+    """The keys of (key, size) that together stay within ``bound``, in the given order.
+
+    One that does not fit is skipped and ends nothing. None has over a tenth of the bound, unless all have: then the
+    smallest come first.
+    """
+    sizes = list(sizes)
+    fair = [s for s in sizes if 10 * s[1] <= bound] or sorted(sizes, key=lambda s: s[1])
+    kept, total = [], 0
+    for key, size in fair:
+        if total + size <= bound:
+            kept.append(key)
+            total += size
+    return kept
+
+
 def row_mapper(names: list[str], arrow: pa.Schema, each: Callable) -> Callable:
     """A mapInArrow function that applies ``each(*values) -> tuple`` to every row and keeps nothing between batches."""
 

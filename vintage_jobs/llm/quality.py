@@ -23,10 +23,10 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vintage_jobs.llm.common import crc32_of, stored
+from vintage_jobs.llm.common import crc32_of, stored, within_bound
 
 SYMBOLS = "|&*$#%=<>{}[]~^_\\/@+"
 N_LINE = 13
@@ -238,7 +238,10 @@ def learn_by_default(doc_id: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_lines: int = 100_000) -> Model:
-    """Fits on a bounded sample of labelled rows: at most max_docs whole texts of together at most max_lines lines."""
+    """Fits on a bounded sample of labelled rows: at most max_docs whole texts of together at most max_lines lines.
+
+    A text of over a tenth of these lines is left out of the fit, and takes no other one with it.
+    """
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & learn_by_default()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").where("text IS NOT NULL")
@@ -246,7 +249,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_lines: int
     sized = own.select("doc_id", "quality", F.xxhash64("text").alias("key"), (F.char_length("text") - F.char_length(F.translate("text", "\n", "")) + 1).alias("lines"), "text")
     # a doc_id may have any number of texts, so the rows are ranked before their bound holds
     first = sized.select("doc_id", "key", "lines").distinct().orderBy(*rank).limit(max_docs)
-    within = first.withColumn("upto", F.sum("lines").over(Window.orderBy(*rank).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") <= max_lines).select("doc_id", "key")
+    within = within_bound((((r.doc_id, r.key), r.lines) for r in first.collect()), max_lines)  # at most max_docs rows
+    within = docs.sparkSession.createDataFrame(within, "doc_id long, key long")
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("quality", pa.int32()), ("x", pa.binary()), ("lengths", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
