@@ -143,3 +143,32 @@ def test_deep_and_long_pages_are_linear():
 def test_fit_without_both_kinds_is_fixed(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert (H.fit(none) == H.FIXED).all() and (H.fitted(np.zeros((3, H.N_FEATURES))) == H.FIXED).all()
+
+
+@pytest.mark.parametrize("between", ['<svg width="1"/>', '<svg width="1">', "<svg><text>no</text></svg>", '<object data="x">', "<object data='x'></object>", "<select>", "<select><option>no</select>"])
+def test_nothing_is_lost_after_elements_without_end(between):
+    said = [f"{n} paragraph of the article, which says something at some length and ends." for n in ("First", "Second", "Third")]
+    page = f"<article><p>{said[0]}</p>{between}<p>{said[1]}</p><p>{said[2]}</p></article>"
+    assert H.main_text(page) == "\n".join(said)
+
+
+def test_noscript_and_template_are_elements():
+    article = "<p>" + "A sentence of the article that is long enough to count. " * 3 + "</p>"
+    assert "sentence" in H.main_text(f"<noscript><article>{article}</article></noscript>")
+    assert H.main_text(f"<article>{article}<noscript>Please enable scripts</noscript></article>").count("enable") == 0
+
+
+@pytest.mark.parametrize("part", ["<svg ", "<svg>", "<select>", "<script ", "<p><svg>", "<template>", "<!", "<object data='", '<a title="'])
+def test_a_megabyte_of_unclosed_tags_is_linear(part):
+    begun = time.process_time()
+    H.blocks_of(part * (1_000_000 // len(part)))
+    assert time.process_time() - begun < 2
+
+
+def test_a_large_page_leaves_the_others_in_the_fit(spark):
+    page = "<article>" + "<p>A sentence of the article, which is long enough and ends.</p>" * 5 + "</article><nav><a href=x>Home</a><p>More</p></nav>"
+    rows = [(i, f"u{i}", page) for i in range(20)]
+    small = H.fit(spark.createDataFrame(rows, "page_id long, url string, html string"), max_blocks=300)
+    large = [(i + 100, f"v{i}", page * 100) for i in range(5)]
+    mixed = H.fit(spark.createDataFrame(rows + large, "page_id long, url string, html string"), max_blocks=300)
+    assert not np.allclose(mixed, H.FIXED) and np.allclose(mixed, small)

@@ -7,7 +7,7 @@ separates content from boilerplate. Blocks that lean more strongly than all thei
 which is exact and leaves little for the flow.
 
 The classifier is fitted on a bounded sample of the pages themselves: at most ``max_pages`` of them by a hash of page_id
-and url, whole, as long as they have at most ``max_blocks`` blocks together. Blocks that elements or names mark clearly
+and url, whole, of at most ``max_blocks`` blocks together; a page of over a tenth of them is left out of the fit. Blocks that elements or names mark clearly
 are its labelled rows. Each is used twice, with and without these marks, so that length, links, punctuation and kind of
 element carry weight where a page names nothing. The fit is drawn towards fixed weights, which hold alone where there are no
 labelled rows of both kinds: a sample whose pages are all of one make says little of others.
@@ -30,27 +30,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vintage_jobs.llm.common import row_mapper, stored
+from vintage_jobs.llm.common import row_mapper, stored, within_bound
 from vintage_jobs.llm.quality import logistic
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|textarea|title|xmp|noscript|template|iframe|svg|select|object)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:\"[^\"<]*\"|'[^'<]*'|[^'\"<>])*+|[^<>]*)(?:>|(?=<)|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORDS = re.compile(r"[a-z]+")
-BLOCKS = frozenset("html body head article main section nav header footer aside form div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary fieldset hr center menu dialog button".split())
+#: Elements whose content is no markup; without an end they last to the end of the page, as browsers have it.
+RAW = frozenset("script style textarea title xmp iframe".split())
+#: Elements whose content is no text of the page; without an end they hold nothing.
+UNREAD = frozenset("svg select".split())
+ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW | UNREAD}
+BLOCKS = frozenset("html body head article main section nav header footer aside form div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary fieldset hr center menu dialog button noscript template object".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 #: Elements that end an open list item, term or cell when they begin, and the elements they stay within.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
 WITHIN = ("ul", "ol", "dl", "table")
-AWAY_TAGS = frozenset("nav footer aside form menu dialog button".split())
+AWAY_TAGS = frozenset("nav footer aside form menu dialog button noscript template".split())
 HOME_TAGS = frozenset(("article", "main"))
 COMMENTS = frozenset("comment comments disqus reply replies respond".split())
 AWAY = COMMENTS | frozenset(
@@ -136,16 +140,25 @@ def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
             if e == last:
                 return
 
-    for token in TOKEN.finditer(page):
+    endless = set()  # elements that no later end tag closes
+    while token := TOKEN.search(page, at):
         take(page[at : token.start()])
         at = token.end()
         tag = token["tag"]
         if not tag:
-            if token["raw"]:
-                parts.append(" ")
             continue
         tag = tag.lower()
-        if tag == "a":
+        if tag in ENDS:
+            parts.append(" ")
+            if token["end"] or (tag == "svg" and token["attrs"].endswith("/")) or tag in endless:
+                continue
+            if found := ENDS[tag].search(page, at):
+                at = found.end()
+            elif tag in RAW:
+                at = len(page)
+            else:
+                endless.add(tag)
+        elif tag == "a":
             links = 0 if token["end"] else 1
         elif tag == "br":
             parts.append(" ")
@@ -333,8 +346,8 @@ def fit(pages: DataFrame, max_pages: int = 400, max_blocks: int = 40_000) -> np.
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["key", "blocks", "x"])
 
     made = stored(sample.mapInArrow(work, "key long, blocks long, x binary"), "sample-blocks")
-    within = made.select("key", F.sum("blocks").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, 0)).alias("upto")).where(F.col("upto") <= max_blocks)
-    rows = made.join(F.broadcast(within.select("key")), "key").select("key", "x").collect()
+    within = within_bound(sorted((r.key, r.blocks) for r in made.select("key", "blocks").collect()), max_blocks)  # at most max_pages rows
+    rows = made.where(F.col("key").isin(within)).select("key", "x").collect()
     rows.sort(key=lambda r: r.key)
     return fitted(np.concatenate([np.frombuffer(bytes(r.x), "<f4") for r in rows] or [np.empty(0, "<f4")]).reshape(-1, N_FEATURES).astype(np.float64))
 
