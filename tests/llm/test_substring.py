@@ -83,3 +83,12 @@ def test_very_long_text(spark):
     rows = [(1, " ".join(words)), (2, " ".join(words[100:300])), (3, "q " * 50_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((tuple(r) for r in S.substring_digest(docs).collect()), key=str) == brute(rows)
+
+
+def test_documents_whose_hashes_collide_are_told_apart(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 900, 40)) + (" " + passage if i % 3 == 0 else "")) for i in range(30)] + [(None, passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(S, "row_key", lambda: [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.lit(7).cast("long").alias("row_key")])
+    assert sorted((tuple(r) for r in S.substring_digest(docs).collect()), key=str) == brute(rows)

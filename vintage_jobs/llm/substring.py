@@ -13,7 +13,7 @@ it holds it, so a passage that a third of all documents share costs one entry a
 that are compared: a chance match adds work and changes no result.
 
 Defined results: null texts have no words; documents are ordered by doc_id (null last), then by a hash of id and text;
-rows equal in both are one document and share its result. A window's class, its earliest place in each batch, meets in
+rows equal in both are one document and share its result; documents are joined by both. A window's class, its earliest place in each batch, meets in
 one group of a bucket: a passage in every batch costs a bucket about 25 bytes a batch.
 """
 
@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vintage_jobs.llm.common import stored, widest
@@ -104,7 +104,7 @@ def _group_starts(*ordered: np.ndarray) -> np.ndarray:
 SENT = "bucket int, batch long, kind int, hashes binary, places binary"
 
 
-def _anchor_rows(keys: list[int], texts: list[bytes], window: int, buckets: int) -> Iterator[tuple]:
+def _anchor_rows(keys: list[tuple[int, int]], texts: list[bytes], window: int, buckets: int) -> Iterator[tuple]:
     """What one batch of documents sends: its blocks and probes by bucket, its local anchors and its own layout."""
     block = window // 2
     buffer = np.frombuffer(b"\n".join(texts), np.uint8)
@@ -174,21 +174,25 @@ def _met(key, pdf: pd.DataFrame) -> pd.DataFrame:
 def _to_documents(key, pdf: pd.DataFrame) -> pd.DataFrame:
     """The anchors of one batch by document."""
     head = pdf[pdf.kind == HEADER].iloc[0]
-    keys, first = np.frombuffer(head.hashes, "<i8"), np.frombuffer(head.places, "<u4").astype(np.int64)
+    keys, first = np.frombuffer(head.hashes, "<i8").reshape(-1, 2), np.frombuffer(head.places, "<u4").astype(np.int64)
     found = [from_planes(p) for p in pdf[pdf.kind == FLAGGED].places]
     place = np.unique(np.concatenate(found)).astype(np.int64) if found else np.empty(0, np.int64)
     doc = np.searchsorted(first, place, "right") - 1
     cuts = np.flatnonzero(_group_starts(doc)) if len(doc) else []
-    rows = [(int(keys[doc[a]]), planes(place[a:b] - first[doc[a]])) for a, b in zip(cuts, [*cuts[1:], len(doc)], strict=True)]
-    return pd.DataFrame(rows, columns=["row_key", "anchors"])
+    rows = [(*keys[doc[a]].tolist(), planes(place[a:b] - first[doc[a]])) for a, b in zip(cuts, [*cuts[1:], len(doc)], strict=True)]
+    return pd.DataFrame(rows, columns=["id", "row_key", "anchors"])
 
 
-def row_key():
-    return F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row_key")
+#: What tells documents apart: the id (-1 for null) and a hash of id and text.
+KEY = ["id", "row_key"]
+
+
+def row_key() -> list[Column]:
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row_key")]
 
 
 def anchors(docs: DataFrame, window: int, buckets: int, batch_bytes: int = 1 << 21) -> DataFrame:
-    """row_key, anchors: word positions of each document where a block of another place begins."""
+    """id, row_key, anchors: word positions of each document where a block of another place begins."""
     schema = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("kind", pa.int32()), ("hashes", pa.binary()), ("places", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,8 +204,8 @@ def anchors(docs: DataFrame, window: int, buckets: int, batch_bytes: int = 1 <<
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for key, text in zip(batch.column("row_key").to_pylist(), batch.column("text"), strict=True):
-                keys.append(key)
+            for *key, text in zip(*(batch.column(c).to_pylist() for c in KEY), batch.column("text"), strict=True):
+                keys.append(tuple(key))
                 texts.append(text.as_py())
                 size += len(texts[-1]) + 1
                 if size >= batch_bytes:
@@ -210,9 +214,9 @@ def anchors(docs: DataFrame, window: int, buckets: int, batch_bytes: int = 1 <<
         if keys:
             yield from flush()
 
-    rows = docs.where("text IS NOT NULL").select(row_key(), F.col("text").cast("string").cast("binary").alias("text"))
+    rows = docs.where("text IS NOT NULL").select(*row_key(), F.col("text").cast("string").cast("binary").alias("text"))
     met = rows.mapInArrow(work, SENT).groupBy("bucket").applyInPandas(_met, "batch long, kind int, hashes binary, places binary")
-    return met.groupBy("batch").applyInPandas(_to_documents, "row_key long, anchors binary")
+    return met.groupBy("batch").applyInPandas(_to_documents, "id long, row_key long, anchors binary")
 
 
 WINDOWS = "bucket int, h1 binary, h2 binary, docs binary, doc binary, start binary, later_docs binary, later_doc binary, later_start binary"
@@ -267,11 +271,12 @@ def _later(key, pdf: pd.DataFrame) -> pd.DataFrame:
     order, _, later = _later_than_first(h1, h2, doc, start)
     later = order[later]
     known_table, known_doc = places("later_docs", "later_doc")
-    return pd.DataFrame({"row_key": np.concatenate((table["key"][doc[later]], known_table["key"][known_doc])), "start": np.concatenate((start[later], known)).astype(np.int32)})
+    found = np.concatenate((table[doc[later]], known_table[known_doc]))
+    return pd.DataFrame({"id": np.where(found["none"] == 1, -1, found["id"]), "row_key": found["key"], "start": np.concatenate((start[later], known)).astype(np.int32)})
 
 
 def later_windows(rows: DataFrame, window: int, buckets: int, batch_windows: int = 1 << 18) -> DataFrame:
-    """row_key, start: windows with an anchor whose words also begin earlier."""
+    """id, row_key, start: windows with an anchor whose words also begin earlier."""
     schema = pa.schema([("bucket", pa.int32()), *((n.split()[0], pa.binary()) for n in WINDOWS.split(", ")[1:])])
     block = window // 2
 
@@ -306,7 +311,7 @@ def later_windows(rows: DataFrame, window: int, buckets: int, batch_windows: int
         if held:
             yield from flush()
 
-    return rows.where("anchors IS NOT NULL").mapInArrow(work, WINDOWS).groupBy("bucket").applyInPandas(_later, "row_key long, start int")
+    return rows.where("anchors IS NOT NULL").mapInArrow(work, WINDOWS).groupBy("bucket").applyInPandas(_later, "id long, row_key long, start int")
 
 
 def buckets_for(docs: DataFrame, words_a_bucket: int = 1 << 20) -> int:
@@ -320,18 +325,18 @@ def repeats_removed(docs: DataFrame, window: int = 20) -> DataFrame:
     if window % 2:
         raise ValueError("the window must be even")
     buckets = buckets_for(docs)
-    found = stored(anchors(docs, window, buckets), "anchors").groupBy("row_key").agg(F.collect_list("anchors").alias("anchors"))
-    packing = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("packed", pa.binary())])
+    found = stored(anchors(docs, window, buckets), "anchors").groupBy(*KEY).agg(F.collect_list("anchors").alias("anchors"))
+    packing = pa.schema([("doc_id", pa.int64()), ("id", pa.int64()), ("row_key", pa.int64()), ("packed", pa.binary())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(3)
         for batch in batches:
             packed = pa.array([press.compress(t.as_py()) for t in batch.column("text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), packed], schema=packing)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in KEY), packed], schema=packing)
 
-    texts = docs.select(F.col("doc_id").cast("long"), row_key(), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    base = texts.mapInArrow(pack, "doc_id long, row_key long, packed binary").join(found, "row_key", "left").select("doc_id", "row_key", "packed", "anchors")
-    later = later_windows(base, window, buckets).groupBy("row_key").agg(F.collect_list("start").alias("starts"))
+    texts = docs.select(F.col("doc_id").cast("long"), *row_key(), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    base = texts.mapInArrow(pack, "doc_id long, id long, row_key long, packed binary").join(found, KEY, "left").select("doc_id", *KEY, "packed", "anchors")
+    later = later_windows(base, window, buckets).groupBy(*KEY).agg(F.collect_list("start").alias("starts"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_text", pa.string())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,7 +357,7 @@ def repeats_removed(docs: DataFrame, window: int = 20) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return base.select("doc_id", "row_key", "packed").join(later, "row_key", "left").mapInArrow(cut, "doc_id long, n_words long, removed array<struct<start long, end long>>, kept_text string")
+    return base.select("doc_id", *KEY, "packed").join(later, KEY, "left").mapInArrow(cut, "doc_id long, n_words long, removed array<struct<start long, end long>>, kept_text string")
 
 
 def substring_digest(docs: DataFrame) -> DataFrame:
