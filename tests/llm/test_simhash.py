@@ -90,3 +90,23 @@ def test_plan_covers_every_split():
     for bits, segments in ((4, 3), (3, 4), (6, 4), (4, 5)):
         plan = S.plan_segments(bits, segments)
         assert len(plan) <= segments and sum(r + 1 for _, _, r in plan) > bits
+
+
+def test_segments_follow_the_number_of_fingerprints():
+    chosen = [S.best_segments(4, n) for n in (0, 10**3, 10**5, 10**7, 10**10)]
+    assert chosen == sorted(chosen, reverse=True) and chosen[0] == 5 and chosen[-1] == 2
+    for n in (10**7, 10**10):  # a bucket of a table stays small
+        assert all(n / 2**width < 64 for _, width, _ in S.plan_segments(4, S.best_segments(4, n)))
+
+
+@pytest.mark.parametrize("segments", [2, 3, 4, 5])
+def test_links_do_not_depend_on_the_segments(spark, segments):
+    rng = np.random.default_rng(9)
+    fps = {int(x) for x in rng.integers(0, 2**63, 60)}
+    for x in list(fps)[:40]:
+        for b in rng.integers(0, 63, 4):
+            x ^= 1 << int(b)
+            fps.add(x)
+    fps = sorted(fps)
+    found = dict(S.components(S.links(spark.createDataFrame([(x,) for x in fps], "fp long"), segments=segments)).collect())
+    assert [found.get(x, x) for x in fps] == slow_components(fps, fps)

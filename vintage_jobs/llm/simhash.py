@@ -1,10 +1,11 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint has 64 bits. It is cut into ``segments`` pieces; two fingerprints within ``max_bits`` agree in at least
-one piece up to a few bits, so the small Hamming ball of each piece is enumerated, looked up in the table of that
-piece, and every match is verified over all 64 bits. With 4 bits and 3 segments the first two pieces (22 and 21 bits)
-are searched with radius 1 and the last (21 bits) with radius 0: if the first two differ by 2 or more each, the last
-cannot differ.
+A fingerprint has 64 bits. It is cut into pieces; two fingerprints within ``max_bits`` agree in at least one piece up to
+a few bits, so the small Hamming ball of each piece is enumerated, looked up in the table of that piece, and every match
+is verified over all 64 bits. With 4 bits and 3 segments the first two pieces (22 and 21 bits) are searched with radius 1
+and the last (21 bits) with radius 0: if the first two differ by 2 or more each, the last cannot differ. How many pieces
+there are follows from the counted fingerprints: few and wide ones for many, so that a bucket of a table stays small,
+more and narrower ones with smaller balls for few (``best_segments``).
 
 Copies collapse to one fingerprint before any join, so a group of copies costs one row. A bucket that more than
 ``hot_bucket`` fingerprints lie in or probe is cut into blocks; a task gets one pair of blocks at a time, verifies it
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +81,16 @@ def plan_segments(max_bits: int, segments: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def best_segments(max_bits: int, n: int) -> int:
+    """The number of segments with the least work for ``n`` fingerprints: probes of each, and entries they meet by chance."""
+
+    def work(segments: int) -> float:
+        balls = [(sum(comb(width, r) for r in range(radius + 1)), width) for _, width, radius in plan_segments(max_bits, segments)]
+        return sum(ball * (1 + n / 2**width) for ball, width in balls)
+
+    return min(range(2, max(2, max_bits + 1) + 1), key=work)
+
+
 def _masks(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
 
@@ -136,9 +148,9 @@ def _forest(pdf, max_bits: int):
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]}).query("a != b")
 
 
-def links(nodes: DataFrame, max_bits: int = 4, segments: int = 3, hot_bucket: int = 64, block: int = 4096) -> DataFrame:
+def links(nodes: DataFrame, max_bits: int = 4, segments: int | None = None, hot_bucket: int = 64, block: int = 4096) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp); whole up to connectivity, as hot buckets give forests."""
-    plan = plan_segments(max_bits, segments)
+    plan = plan_segments(max_bits, segments or best_segments(max_bits, nodes.count()))
     table, probes = nodes.select("fp", _keys("fp", plan, ball=False)), nodes.select("fp", _keys("fp", plan, ball=True))
     hot = stored(hot_buckets(table, plan, hot_bucket, block), "hot-buckets")
     near = (F.bit_count(F.col("p.fp").bitwiseXOR(F.col("t.fp"))) <= max_bits) & (F.col("p.fp") != F.col("t.fp"))
@@ -179,7 +191,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = 4, segments: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, max_bits: int = 4, segments: int | None = None) -> DataFrame:
     """doc_id, row_key, fp, component_id, first_key: the component of each row and the row that stands for it."""
     rows = stored(fingerprints(docs), "simhash")
     return of_components(rows, "fp", lambda nodes: links(nodes.select("fp"), max_bits, segments))
