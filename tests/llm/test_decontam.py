@@ -116,3 +116,20 @@ def test_shuffled_sides_give_the_same_digest(spark, small_side):
     docs, items = spark.createDataFrame(DOCS, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
     got = D.contamination(docs, items, small_side=small_side).drop(*D.KEY)
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(DOCS, ITEMS)
+
+
+def test_frequent_keys_are_dealt_by_their_count(spark):
+    """A word with most rows goes to many tasks, each with a copy of its test rows; nothing is lost or doubled."""
+    rows = spark.range(4000).select(F.when(F.col("id") % 4 > 0, F.lit(1)).otherwise(F.col("id")).alias("term"), F.col("id").alias("at"))
+    side = spark.createDataFrame([(1, "a"), (1, "b"), (4, "c"), (5, "d")], "term long, item string")
+    got = D.looked_up(rows, side, "term", ["at"], 0)
+    assert sorted((r.term, r.at, r.item) for r in got.collect()) == sorted((r.term, r.at, r.item) for r in rows.join(side, "term").collect())
+    assert D.ways_share(10**9, 1000) == 500_000 and D.ways_share(10, 8) == 64
+
+
+def test_proximity_plan_meets_only_an_items_own_terms(spark):
+    docs, items = spark.createDataFrame(DOCS, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
+    terms = D.item_terms(items)
+    near = D.proximity_matches(D.build_index(docs, terms), terms)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan

@@ -10,7 +10,8 @@ term), and runs of consecutive matches as long as a window are exact phrase matc
 
 Work is keyed by document and position, so neither a common term, nor a passage in a third of all documents, nor a long
 document gathers in one task. Test-side tables are broadcast up to ``small_side`` rows; beyond, they are joined by
-shuffle in ``WAYS`` copies, between which the rows of a common word or item are dealt. Ends of documents meet no lexicon.
+shuffle, and the rows of a word or item with more than half a task's share of them are counted and dealt over as many
+tasks as they fill, each with a copy of its test rows. Ends of documents meet no lexicon.
 
 Defined results: null texts have no words; items without words are ignored; a null item_id is written as the empty
 text; repeated items count once; repeated document rows each get their row.
@@ -23,7 +24,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vintage_jobs.llm.common import stored
+from vintage_jobs.llm.common import stored, widest
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 END = 0  # the term of the posting that closes a document
@@ -36,7 +37,6 @@ def words(text: str) -> Column:
 
 #: What tells documents apart: the id (-1 for null) and a hash of id and text.
 KEY = ["id", "doc"]
-WAYS = 16
 
 
 def row_key(docs: DataFrame) -> list[Column]:
@@ -60,15 +60,25 @@ def is_small(df: DataFrame, small_side: int) -> bool:
 def looked_up(rows: DataFrame, side: DataFrame, on: str, apart: list[str], small_side: int) -> DataFrame:
     """``rows`` joined with a test-side table: broadcast where its counted rows are within the bound.
 
-    Beyond it by shuffle, each key dealt over ``WAYS`` tasks by a hash of ``apart``, with that many copies of the table.
+    Beyond it by shuffle: the rows of frequent keys are dealt over several tasks by a hash of ``apart``. They are fewer than
+    two a task, so their table is broadcast.
     """
     if is_small(side, small_side):
         return rows.join(F.broadcast(side), on)
-    left = rows.withColumn("__way", F.pmod(F.xxhash64(*apart), F.lit(WAYS)).cast("int"))
-    right = side.withColumn("__way", F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1))))
+    counts = stored(rows.groupBy(on).agg(F.count("*").alias("n")), "counts")
+    share = ways_share(counts.agg(F.sum("n")).first()[0] or 0, widest(rows.sparkSession))
+    hot = counts.where(F.col("n") > share).select(on, F.ceil(F.col("n") / share).cast("int").alias("__ways"))
+    ways = F.coalesce("__ways", F.lit(1))
+    left = rows.join(F.broadcast(hot), on, "left").withColumn("__way", F.pmod(F.xxhash64(*apart), ways).cast("int")).drop("__ways")
+    right = side.join(F.broadcast(hot), on, "left").withColumn("__way", F.explode(F.sequence(F.lit(0), ways - 1))).drop("__ways")
     return left.join(right.hint("merge"), [on, "__way"]).drop("__way")
 
 
+def ways_share(rows: int, tasks: int) -> int:
+    """How many rows of one key stay together: half a task's share."""
+    return max(64, rows // (2 * tasks))
+
+
 def low_byte(term: Column) -> Column:
     return term.bitwiseAND(F.lit(255)).cast("smallint")
 
@@ -138,13 +148,13 @@ def proximity_matches(index: DataFrame, terms: DataFrame, span: int | None = Non
     anchors = stored(anchors.select("item", "term", "reach"), "anchors")
     cell = F.floor(F.col("position") / F.col("reach")).cast("int")
     near = F.explode(F.array(*(cell + d for d in (-1, 0, 1)))).alias("cell")
-    seeds = looked_up(index.drop("doc_id"), anchors, "term", [*KEY, "position"], small_side).select(*KEY, "item", "reach", F.col("position").alias("at"), near)
-    # one row for each length of an item
-    reaches = anchors.select("reach").distinct().agg(F.collect_set("reach").alias("reaches"))
-    others = index.where(F.col("term") != END).select(*KEY, "term", "position").crossJoin(F.broadcast(reaches)).withColumn("reach", F.explode("reaches")).drop("reaches").withColumn("cell", cell)
-    close = seeds.join(others, [*KEY, "reach", "cell"]).where(F.abs(F.col("position") - F.col("at")) <= F.col("reach"))
-    own = terms.select("item", "term").distinct().groupBy("item").agg(F.collect_set("term").alias("own"))
-    found = looked_up(close, own, "item", [*KEY, "at"], small_side).where(F.array_contains("own", F.col("term"))).groupBy(*KEY, "item", "at").agg(F.count_distinct("term").alias("found"))
+    seeds = looked_up(index.drop("doc_id"), anchors, "term", [*KEY, "position"], small_side).select(*KEY, "item", "reach", "position")
+    seeds = stored(seeds.distinct(), "seeds")
+    # a document's list of each term is looked up for the items it has seeds of, and for their own terms only
+    own = looked_up(seeds.select(*KEY, "item", "reach").distinct(), terms.select("item", "term").distinct(), "item", KEY, small_side)
+    lists = own.join(index.where(F.col("term") != END).select(*KEY, "term", "position"), [*KEY, "term"]).withColumn("cell", cell)
+    close = seeds.select(*KEY, "item", F.col("position").alias("at"), near).join(lists, [*KEY, "item", "cell"]).where(F.abs(F.col("position") - F.col("at")) <= F.col("reach"))
+    found = close.groupBy(*KEY, "item", "at").agg(F.count_distinct("term").alias("found"))
     return looked_up(found, wanted, "item", [*KEY, "at"], small_side).where(F.col("found") >= F.col("least")).select(*KEY, "item_id", F.col("at").alias("position"), "found", "wanted")
 
 
