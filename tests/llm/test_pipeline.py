@@ -62,4 +62,24 @@ def test_stages_on_edge_rows(spark, small_dir):
         if name != "packing":
             assert docs.columns == [*documents.columns, "row_key"]
     assert {r.doc_id for r in docs.collect()} == {1, 3, 4}
+
+
+def test_quality_stage_on_edge_rows(spark, small_dir):
+    """Null and empty texts go, repeated rows score alike and stay or go together, further columns stay."""
+    documents = spark.read.parquet(f"{small_dir}/documents.parquet")
+    text = {r.doc_id: r.text for r in documents.collect()}
+    kept = {r.doc_id for r in C.STAGES[0][1](spark, documents, small_dir).collect()}
+    good, bad = min(d for d in kept if text[d]), min(d for d in text if d not in kept)
+    more = [(None, text[good]), (None, None), (10**6, None), (10**6, ""), (good, text[good]), (bad, text[bad]), (10**6 + 1, text[good] * 400)]
+    rows = spark.createDataFrame([(d, t, None, None, 0) for d, t in more], "doc_id long, text string, lang string, source string, n_chars long").select(*(F.col(c).cast(documents.schema[c].dataType) for c in documents.columns))
+    docs = documents.unionByName(rows).withColumn("__score", F.lit("clash")).withColumn("quality", F.lit(1))
+    got = C.STAGES[0][1](spark, docs, small_dir)
+    assert got.columns == docs.columns
+    ids = [r.doc_id for r in got.collect()]
+    assert ids.count(good) == 2 and bad not in ids and 10**6 not in ids and ids.count(None) == 1
+    assert {d for d in ids if d in text} == kept
+
+
+def test_stages_on_empty_tables(spark, small_dir):
+    documents = spark.read.parquet(f"{small_dir}/documents.parquet")
     assert C.STAGES[0][1](spark, documents.limit(0), small_dir).count() == 0

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from vintage_jobs.llm import similar as S
 from vintage_jobs.llm import simhash
@@ -73,3 +74,39 @@ def test_sets_and_threshold():
     assert len(S.shingles(text.encode())) == len(slow_shingles(text)) and not len(S.shingles(None)) and not len(S.bands(S.shingles(b" ")))
     a, b = np.arange(9, dtype=np.uint64), np.arange(1, 10, dtype=np.uint64)
     assert S.similarity_reached(a, b, 80) and not S.similarity_reached(a[:8], b[:8], 80)
+
+
+def test_sets_whose_hashes_collide_are_told_apart(spark):
+    rows = [(1, 10, 5, 70), (2, 20, 5, 71), (3, 30, 5, 70), (4, 40, 6, 72), (5, 50, 5, 73)]
+    made = spark.createDataFrame(rows, "doc_id long, row_key long, node long, proof long").withColumn("bands", F.array(F.lit(1).cast("long")))
+    got = {r.doc_id: r.node for r in S.told_apart(made).collect()}
+    assert got[1] == got[3] == 5 and got[4] == 6 and len({got[1], got[2], got[5], got[4]}) == 4
+    assert S.told_apart(made.where("proof <> 71 AND proof <> 73")).columns == made.columns
+
+
+def test_documents_whose_hashes_collide_keep_their_texts(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    rows = [(1, " ".join(base)), (2, edited(rng, base, 1)), (3, " ".join(f"v{i}" for i in range(90))), (4, " ".join(f"v{i}" for i in range(91)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = S.told_apart(S.stored(S.sketches(docs), "similar")).withColumn("row_key", F.lit(3).cast("long"))
+    nodes = made.select("node", "row_key", F.col("doc_id").alias("id"), F.lit(4).alias("n"))
+    monkeypatch.setattr(S.F, "xxhash64", lambda *c: F.lit(3).cast("long"))
+    sets = {r.node: r.own for r in S.shingle_sets(docs, nodes, 4).collect()}
+    monkeypatch.undo()
+    text = dict(rows)
+    assert sets == {r.node: bytearray(S.shingles(text[r.doc_id].encode()).tobytes()) for r in made.collect()}
+
+
+def test_pairs_just_above_the_threshold_are_found(spark):
+    """60 planted pairs of similarity 0.80 to 0.85: all but what the bands miss, expected 0.04 of them."""
+    rng = random.Random(11)
+    rows, pairs = [], 0
+    while pairs < 60:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(150, 400))]
+        other = edited(rng, base, len(base) // 48)
+        if 0.80 <= jaccard(slow_shingles(" ".join(base)), slow_shingles(other)) <= 0.85:
+            rows += [(2 * pairs, " ".join(base)), (2 * pairs + 1, other)]
+            pairs += 1
+    got = {r.doc_id: r.component_id for r in S.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * i] == got[2 * i + 1] == 2 * i for i in range(pairs)) >= 59 and len(set(got.values())) >= 60
