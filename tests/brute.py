@@ -38,3 +38,29 @@ def unit_root_p(values: np.ndarray) -> float | None:
     b, rss, inverse = _least_squares(x, d)
     scale = rss / (len(d) - x.shape[1]) * inverse[0, 0]
     return approximate_p(b[0] / math.sqrt(scale)) if scale > 0 else None
+
+
+def expected_losses(y: np.ndarray, d: int = 1, h: float = 0.2, min_train: int = 40) -> tuple[np.ndarray, np.ndarray]:
+    """At each position, the value expected from those before it by weighted least squares on explicit rows, and its deviation."""
+    mu, sigma = np.full(len(y), np.nan), np.full(len(y), np.nan)
+    for n in range(max(min_train, 30, d + 10), len(y)):
+        rows, weights = [], []
+        for t in range(d + 1, n + 1):
+            u = (t / n - 1) / h
+            if u > -1 + 1e-12:
+                rows.append((t / n - 1, y[t - 1], [1.0, *(y[t - 1 - j] for j in range(1, d + 1))]))
+                weights.append(0.75 * (1 - u * u) / h)
+        if len(rows) < max(10, 3 * (d + 1)):
+            continue
+
+        def level(x, target, w):
+            x = np.array(x)
+            return np.linalg.solve(x.T @ (x * w[:, None]) + 1e-10 * np.eye(x.shape[1]), x.T @ (target * w))
+
+        w, own = np.array(weights), np.array([r[1] for r in rows])
+        rho = level([x + [a * v for v in x] for a, _, x in rows], own, w)[: d + 1]
+        rest = own - np.array([x for *_, x in rows]) @ rho
+        variance = level([[1.0, a] for a, *_ in rows], rest**2, w)[0]
+        mu[n] = rho[0] + sum(rho[j] * y[n - j] for j in range(1, d + 1))
+        sigma[n] = math.sqrt(variance) if variance > 0 else 1e-3
+    return mu, sigma

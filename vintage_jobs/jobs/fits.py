@@ -47,6 +47,22 @@ def unit_root_p(most: int, size: int, total: float, squares: float, a: np.ndarra
     return approximate_p(slope / math.sqrt(scale)) if scale > 0 else None
 
 
+def unit_root_p_from_running(n: int, level: np.ndarray, head: np.ndarray, tail: np.ndarray, a: np.ndarray, c: np.ndarray, s: np.ndarray, total: float, squares: float) -> float | None:
+    """``unit_root_p`` of the first ``n`` values of a series, from sums over all its rows so far.
+
+    ``level`` and ``head`` are of the first rows of the series, ``tail`` the last differences, newest first. The sums that
+    ``unit_root_p`` wants leave the first ``most`` rows out.
+    """
+    most = max(0, min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2))
+    level, head = np.asarray(level[:most], float), np.asarray(head[:most], float)
+    inner = np.array([np.asarray(x[: most + 1], float) for x in (a, c, s)])
+    for r in range(most):
+        for k in range(r + 1):
+            inner[:, k] -= head[r] * head[r - k], level[r] * head[r - k], head[r - k]
+    last = np.asarray(tail[:most], float)[::-1]
+    return unit_root_p(most, n - 1 - most, total - level.sum(), squares - level @ level, *inner, level, head, last)
+
+
 def approximate_p(t: float) -> float:
     """MacKinnon's response surface for the constant case. Fixed values from the published tables."""
     if t > 2.74:
@@ -124,37 +140,25 @@ def adjusted(values: np.ndarray, least: int = 36) -> np.ndarray:
 # ---- forecast selection -------------------------------------------------------------------------------------------
 
 
-def boundary_coefficients(history: np.ndarray, d: int, h: float) -> tuple[np.ndarray, float] | None:
-    """Coefficients and error deviation at the end of the sample of a time-varying autoregression, one-sided local linear;
-    null if too short. A variance that is not positive counts as 1e-6."""
-    n = len(history)
-    if n < max(30, d + 10):
-        return None
-    x = np.column_stack([np.ones(n - d), *(history[d - j : n - j] for j in range(1, d + 1))])
-    away = np.arange(d + 1, n + 1) / n - 1.0
-    z = away / h
-    weight = np.where((z >= -1) & (z <= 0), 0.75 * (1 - z * z) / h, 0.0)
-    if (weight > 0).sum() < max(10, 3 * (d + 1)):
-        return None
-    both = np.hstack([x, x * away[:, None]])
+def expected_loss(grams: np.ndarray, n: int, lags: np.ndarray, h: float) -> tuple[float, float]:
+    """The loss difference expected after ``n`` of them, and its deviation, by a one-sided local linear autoregression.
 
-    def at_end(design: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return np.linalg.solve(design.T @ (design * weight[:, None]) + 1e-10 * np.eye(design.shape[1]), design.T @ (y * weight))
-
-    rho = at_end(both, history[d:])[: d + 1]
-    variance = at_end(np.column_stack([np.ones(n - d), away]), (history[d:] - x @ rho) ** 2)[0]
-    return rho, math.sqrt(variance) if np.isfinite(variance) and variance > 0 else math.sqrt(1e-6)
+    ``grams[k]`` is the sum over the kernel's span of t^k v v', t = 1..n, v = (own, 1, lags before it); ``lags`` are the last
+    differences, newest first. With a = t / n - 1 the kernel is 3/4 (1 - a^2/h^2) / h, so all weighted sums follow from the
+    moments of a, and the squared residuals of the second regression are a quadratic form of the same sums.
+    """
+    shifted = [sum(math.comb(m, k) * (-1.0) ** (m - k) * grams[k] / float(n) ** k for k in range(m + 1)) for m in range(5)]
+    w = [0.75 / h * (shifted[m] - shifted[m + 2] / h**2) for m in range(3)]
 
+    def at_end(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+        """Level part of a local linear fit, from weighted sums of the regressors and with the target."""
+        both = np.block([[left[0], left[1]], [left[1], left[2]]])
+        return np.linalg.solve(both + 1e-10 * np.eye(len(both)), np.concatenate(right))[: len(left[0])]
 
-def expected_losses(losses: np.ndarray, d: int = 1, h: float = 0.2, min_train: int = 40) -> tuple[np.ndarray, np.ndarray]:
-    """For each position, the loss difference expected from the ones before it and its deviation; NaN where not possible."""
-    out, sigma = np.full(len(losses), np.nan), np.full(len(losses), np.nan)
-    for i in range(max(min_train, d + 5), len(losses)):
-        found = boundary_coefficients(losses[:i], d, h)
-        if found is not None:
-            rho, sigma[i] = found
-            out[i] = rho[0] + sum(rho[j] * losses[i - j] for j in range(1, d + 1))
-    return out, sigma
+    rho = at_end([x[1:, 1:] for x in w], [x[1:, 0] for x in w[:2]])
+    residual = np.concatenate(([1.0], -rho))
+    variance = at_end([x[1:2, 1:2] for x in w], [np.array([residual @ x @ residual]) for x in w[:2]])[0]
+    return float(rho[0] + rho[1:] @ lags), math.sqrt(variance) if np.isfinite(variance) and variance > 0 else math.sqrt(1e-6)
 
 
 # ---- boosted trees ------------------------------------------------------------------------------------------------
@@ -234,89 +238,124 @@ def boosted_forecast(x: np.ndarray, y: np.ndarray, new: np.ndarray, lag_column:
 
 
 # ---- dynamic factor models ----------------------------------------------------------------------------------------
+#
+# Batches of panels of one shape, y[item, period, series] with NaN where a cell is missing. The state holds the factors of a
+# period and of the p before it, so one smoothed moment has all that the regressions of factors on their past need.
 
 
-def companion(blocks: np.ndarray, r: int, p: int) -> np.ndarray:
-    out = np.zeros((r * p, r * p))
-    out[:r] = blocks
-    out[r:, : r * (p - 1)] = np.eye(r * (p - 1))
-    return out
+def smoothed(y: np.ndarray, mu: np.ndarray, loading: np.ndarray, noise: np.ndarray, blocks: np.ndarray, drawn: np.ndarray, spread: float = 10.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Means and variances of the states given all data, and log-likelihoods.
 
-
-def smooth(y: np.ndarray, loading: np.ndarray, move: np.ndarray, shock: np.ndarray, noise: np.ndarray, spread: float = 10.0, jitter: float = 1e-7) -> tuple[np.ndarray, float]:
-    """Smoothed states and log-likelihood with missing cells. Updates are of the state's size, as noise is diagonal."""
-    n, m = len(y), len(move)
+    ``blocks`` [item, r, r p] move the factors by those before, ``drawn`` [item, r, r] is the variance of what is new. A
+    variance filter runs forwards and the recursion of score and information backwards, which inverts no predicted variance.
+    As cell noise is independent, a period's data enter as information of the factors' size; the rest of the state is only
+    handed on.
+    """
+    (n, length, _), r, past = y.shape, loading.shape[2], blocks.shape[2]
+    m = r + past
     seen = ~np.isnan(y)
-    filled, precision = np.where(seen, y, 0.0), seen / (noise + jitter)
-    ahead, ahead_p, now, now_p = np.zeros((n, m)), np.zeros((n, m, m)), np.zeros((n, m)), np.zeros((n, m, m))
-    a, p, total = np.zeros(m), np.eye(m) * spread, 0.0
-    eye = np.eye(m)
-    for t in range(n):
-        a, p = move @ a, move @ p @ move.T + shock
-        ahead[t], ahead_p[t] = a, p
-        w = precision[t]
-        if seen[t].any():
-            miss = np.where(seen[t], filled[t] - loading @ a, 0.0)
-            info = loading.T @ (loading * w[:, None])
-            inner = eye + p @ info
-            score = loading.T @ (w * miss)
-            gain = np.linalg.solve(inner, p)
-            total -= 0.5 * (seen[t].sum() * math.log(2 * math.pi) + np.log((noise + jitter)[seen[t]]).sum() + np.linalg.slogdet(inner)[1] + miss @ (w * miss) - score @ gain @ score)
-            a, p = a + gain @ score, gain
-        now[t], now_p[t] = a, p
-    out = now.copy()
-    for t in range(n - 2, -1, -1):
-        back = np.linalg.solve(ahead_p[t + 1].T, move @ now_p[t].T).T
-        out[t] = now[t] + back @ (out[t + 1] - ahead[t + 1])
-    return out, float(total)
-
-
-def _autoregression(f: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
-    past = np.hstack([f[p - j : len(f) - j] for j in range(1, p + 1)])
-    b, *_ = np.linalg.lstsq(past, f[p:], rcond=None)
-    return b.T, f[p:] - past @ b
-
-
-def factor_model(y: np.ndarray, r: int, p: int, most: int = 40, tol: float = 1e-4) -> dict:
-    """A factor model with autoregressive factors by expectation-maximisation on a standardised panel with gaps.
-
-    Returns the smoothed common parts (without the fitted means, and those), the log-likelihood by round, and whether
-    it converged.
+    w = seen / noise[:, None, :]
+    left = np.where(seen, y - mu[:, None, :], 0.0)
+    info = np.einsum("btn,bnr,bns->tbrs", w, loading, loading, optimize=True)
+    pull = np.einsum("btn,bnr->tbr", w * left, loading)[..., None]
+    move, one = blocks.transpose(0, 2, 1), np.eye(r)
+    ahead, ahead_v = np.zeros((length, n, m, 1)), np.zeros((length, n, m, m))
+    solved = np.zeros((length, n, r, r + 1))
+    a, v = np.zeros((n, m, 1)), np.broadcast_to(np.eye(m) * spread, (n, m, m))
+    for t in range(length):
+        ahead[t, :, :r], ahead[t, :, r:] = blocks @ a[:, :past], a[:, :past]
+        crossed = blocks @ v[:, :past, :past]
+        ahead_v[t, :, :r, :r], ahead_v[t, :, :r, r:], ahead_v[t, :, r:, :r], ahead_v[t, :, r:, r:] = crossed @ move + drawn, crossed, crossed.transpose(0, 2, 1), v[:, :past, :past]
+        a, v = ahead[t], ahead_v[t]
+        rest = pull[t] - info[t] @ a[:, :r]
+        solved[t] = np.linalg.solve(one + info[t] @ v[:, :r, :r], np.concatenate((info[t], rest), axis=2))
+        wide = v[:, :, :r]
+        both = wide @ solved[t]
+        a, v = a + both[..., r:], v - both[..., :r] @ wide.transpose(0, 2, 1)
+        v = (v + v.transpose(0, 2, 1)) / 2
+    gain, score = solved[..., :r], solved[..., r:]
+    near, near_v = ahead[:, :, :r], ahead_v[:, :, :r, :r]
+    rest = pull - info @ near
+    line = -0.5 * (seen.sum(axis=(1, 2)) * math.log(2 * math.pi) + (seen * np.log(noise)[:, None, :]).sum(axis=(1, 2)) + (w * left**2).sum(axis=(1, 2)) + np.linalg.slogdet(one + info @ near_v)[1].sum(axis=0))
+    line += (pull * near - 0.5 * near * (info @ near) + 0.5 * rest * (near_v @ score)).sum(axis=(0, 2, 3))
+    s, i = np.zeros((length, n, m, 1)), np.zeros((length, n, m, m))
+    for t in range(length - 1, -1, -1):
+        wide = ahead_v[t, :, :r]
+        if t + 1 < length:
+            q, k = s[t + 1], i[t + 1]
+            s[t, :, :past] = move @ q[:, :r] + q[:, r:]
+            top = move @ k[:, :r, r:]
+            i[t, :, :past, :past] = move @ k[:, :r, :r] @ blocks + top + top.transpose(0, 2, 1) + k[:, r:, r:]
+            s[t, :, :r] -= gain[t] @ (wide @ s[t])
+            x = gain[t] @ (wide @ i[t])
+            i[t, :, :r] -= x
+            i[t, :, :, :r] -= x.transpose(0, 2, 1)
+            i[t, :, :r, :r] += x @ wide.transpose(0, 2, 1) @ gain[t]
+        s[t, :, :r] += score[t]
+        i[t, :, :r, :r] += gain[t]
+    mean, variance = ahead + ahead_v @ s, ahead_v - ahead_v @ i @ ahead_v
+    return mean[..., 0].transpose(1, 0, 2), variance.transpose(1, 0, 2, 3), line
+
+
+def settled(blocks: np.ndarray, most: float = 0.995) -> np.ndarray:
+    """Autoregressions drawn in where they would explode: their largest root becomes ``most``."""
+    n, r, past = blocks.shape
+    whole = np.zeros((n, past, past))
+    whole[:, :r], whole[:, r:, : past - r] = blocks, np.eye(past - r)
+    root = np.abs(np.linalg.eigvals(whole)).max(axis=1)
+    return blocks * np.minimum(1.0, most / np.maximum(root, 1e-12))[:, None, None] ** np.repeat(np.arange(1, past // r + 1), r)
+
+
+def factor_models(y: np.ndarray, periods: np.ndarray, r: int, p: int, most: int = 40, tol: float = 1e-4) -> dict[str, np.ndarray]:
+    """Factor models with autoregressive factors by expectation-maximisation, one for each item of a batch.
+
+    ``periods`` is how many periods of each item exist; later ones hold no data and enter no sum. Every step is made of
+    sums of products over periods: each series' intercept and loadings from the expected moments of (1, factors) where it
+    is seen, the autoregression from those of the state. An item stops when its log-likelihood changes by less than
+    ``tol`` of its size. Returns states, loadings, intercepts, autoregressions, log-likelihoods, their first and whether it converged.
     """
-    n, width = y.shape
-    if r > min(n, width):
-        raise ValueError("more factors than the panel allows")
-    zero = np.nan_to_num(y)
-    zero = zero - zero.mean(axis=0)
-    u, s, v = np.linalg.svd(zero, full_matrices=False)
-    f, loading = u[:, :r] * s[:r], v[:r].T.copy()
-    known = ~np.isnan(y)
-    mu = np.where(known.any(axis=0), np.nansum(y, axis=0) / np.maximum(known.sum(axis=0), 1), 0.0)
-    rest = np.where(known, y - mu - f @ loading.T, np.nan)
-    noise = np.array([np.var(c[~np.isnan(c)]) if (~np.isnan(c)).any() else 1.0 for c in rest.T])
-    noise = np.where(noise > 1e-6, noise, 1.0)
-    blocks = _autoregression(f, p)[0] if n > p + 5 else np.hstack([0.2 * np.eye(r)] * p)
-    shock = np.zeros((r * p, r * p))
-    shock[:r, :r] = 0.5 * np.eye(r)
-    shock += 1e-9 * np.eye(r * p)
-    wide = lambda: np.hstack([loading, np.zeros((width, r * (p - 1)))])
-    lines, converged = [], False
+    n, length, width = y.shape
+    seen, z = ~np.isnan(y), np.nan_to_num(y)
+    count = seen.sum(axis=1)
+    pairs = np.einsum("btn,btm->bnm", seen, seen, dtype=float, optimize=True)
+    cov = np.einsum("btn,btm->bnm", z, z, optimize=True) / np.maximum(pairs, 1)
+    value, vector = np.linalg.eigh(cov)
+    loading = vector[:, :, ::-1][:, :, :r] * np.sqrt(np.maximum(value[:, ::-1][:, None, :r], 1e-3))
+    noise = np.maximum(np.einsum("bnn->bn", cov) - (loading**2).sum(axis=2), 0.1)
+    mu = np.zeros((n, width))
+    blocks, innovation = np.zeros((n, r, r * p)), np.tile(0.5 * np.eye(r), (n, 1, 1))
+    blocks[:, :, :r] = 0.7 * np.eye(r)
+    exists = (np.arange(length)[None, :] < periods[:, None]).astype(float)
+    enough = count >= r + 3
+    first, last, converged = np.full(n, np.nan), np.full(n, np.nan), np.zeros(n, bool)
+    todo = np.arange(n)
     for _ in range(most):
-        state, line = smooth(y - mu, wide(), companion(blocks, r, p), shock, noise)
-        f = state[:, :r]
-        for i in range(width):
-            own = known[:, i]
-            if own.sum() >= max(10, r + 2):
-                x = np.column_stack([np.ones(own.sum()), f[own]])
-                b, *_ = np.linalg.lstsq(x, y[own, i], rcond=None)
-                mu[i], loading[i] = b[0], b[1:]
-                noise[i] = np.mean((y[own, i] - x @ b) ** 2) + 1e-6
-        if n > p + 5:
-            blocks, left = _autoregression(f, p)
-            shock[:r, :r] = np.diag(np.maximum((left**2).mean(axis=0), 1e-6))
-        lines.append(line)
-        if len(lines) > 1 and abs(lines[-1] - lines[-2]) / (1 + abs(lines[-2])) < tol:
-            converged = True
+        mean, variance, line = smoothed(y[todo], mu[todo], loading[todo], noise[todo], blocks[todo], innovation[todo])
+        first[todo] = np.where(np.isnan(first[todo]), line, first[todo])
+        size = (np.abs(line) + np.abs(last[todo])) / 2
+        done = np.abs(line - last[todo]) < tol * size
+        last[todo] = line
+        converged[todo[done]] = True
+        todo, mean, variance = todo[~done], mean[~done], variance[~done]
+        if not len(todo):
             break
-    state, line = smooth(y - mu, wide(), companion(blocks, r, p), shock, noise)
-    return {"common": state[:, :r] @ loading.T, "mu": mu, "loglik": line, "lines": lines, "converged": converged, "loading": loading, "state": state, "move": companion(blocks, r, p), "free": width * (r + 2) + r * r * p + r}
+        moment = mean[..., :, None] * mean[..., None, :] + variance
+        g = np.concatenate((np.ones((*mean.shape[:2], 1)), mean[..., :r]), axis=2)
+        gg = g[..., :, None] * g[..., None, :]
+        gg[..., 1:, 1:] = moment[..., :r, :r]
+        squares = np.einsum("btn,btq->bnq", seen[todo].astype(float), gg.reshape(*gg.shape[:2], -1), optimize=True).reshape(len(todo), width, r + 1, r + 1)
+        crossed = np.einsum("btn,btg->bng", z[todo], g, optimize=True)
+        fitted = np.linalg.solve(squares + 1e-8 * np.eye(r + 1), crossed[..., None])[..., 0]
+        rest = ((z[todo] ** 2).sum(axis=1) - (fitted * crossed).sum(axis=2)) / np.maximum(count[todo], 1)
+        good = enough[todo]
+        mu[todo] = np.where(good, fitted[..., 0], mu[todo])
+        loading[todo] = np.where(good[..., None], fitted[..., 1:], loading[todo])
+        noise[todo] = np.where(good, np.maximum(rest, 1e-4), noise[todo])
+        total = np.einsum("bt,btij->bij", exists[todo], moment)
+        now, cross, past = total[:, :r, :r], total[:, :r, r:], total[:, r:, r:]
+        a = settled(np.linalg.solve(past + 1e-8 * np.eye(r * p), cross.transpose(0, 2, 1)).transpose(0, 2, 1))
+        half = a @ cross.transpose(0, 2, 1)
+        blocks[todo], drawn = a, (now - half - half.transpose(0, 2, 1) + a @ past @ a.transpose(0, 2, 1)) / periods[todo][:, None, None]
+        innovation[todo] = (drawn + drawn.transpose(0, 2, 1)) / 2 + 1e-6 * np.eye(r)
+    mean, _, line = smoothed(y, mu, loading, noise, blocks, innovation)
+    return {"state": mean, "loading": loading, "mu": mu, "noise": noise, "blocks": blocks, "innovation": innovation, "loglik": line, "first": first, "converged": converged}

@@ -12,15 +12,13 @@ from vintage_jobs.operators import evaluate as E
 from vintage_jobs.operators import vintage as V
 from vintage_jobs.sources import lags as L
 from vintage_jobs.sources import panels as P
-from vintage_jobs.sources.store import once
 
 #: The longest publication lag of ``lags`` in whole months: as-ofs and releases run so long after the last period.
 LEAD = 3
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nation panel: the orders are read once an application."""
-    return once(spark, sf_dir, "observations", lambda: P.nation_panel(spark, sf_dir))
+    return P.nation_panel(spark, sf_dir)
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:

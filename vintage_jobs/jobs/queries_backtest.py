@@ -132,10 +132,30 @@ def a5_then(spark, sf_dir):
     return E.bounds_in_time(X.targets(spark, sf_dir), X.asofs(spark, sf_dir))
 
 
+THEN = "bt AS (SELECT p.panel_id, as_of, quantile_cont(y, 0.1) AS lo, quantile_cont(y, 0.9) AS hi FROM (SELECT DISTINCT panel_id FROM tm) p CROSS JOIN asofs LEFT JOIN tm i ON i.panel_id = p.panel_id AND target_period <= as_of GROUP BY ALL)"
+
+
+@CORE.add("a5_quantiles_in_time", W("tm asofs", "SELECT panel_id, as_of, round(lo, 2) AS lo, round(hi, 2) AS hi FROM bt", THEN))
+def a5_quantiles(spark, sf_dir):
+    found = E.bounds_in_time(X.targets(spark, sf_dir), X.asofs(spark, sf_dir), "quantile", 0.1, 0.9)
+    return found.select("panel_id", "as_of", F.round("lo", 2).alias("lo"), F.round("hi", 2).alias("hi"))
+
+
+@CORE.add("a6_mixture_in_time", W("tm asofs upf", "SELECT panel_id, as_of, target_quarter, round(avg(CASE WHEN NOT bad AND value IS NOT NULL THEN least(greatest(value, lo), hi) END) / 7, 3) AS mixture FROM upf LEFT JOIN bt USING (panel_id, as_of) GROUP BY ALL", THEN))
+def a6_in_time(spark, sf_dir):
+    bounds = E.bounds_in_time(X.targets(spark, sf_dir), X.asofs(spark, sf_dir), "quantile", 0.1, 0.9)
+    return C.mixture(X.updates(spark, sf_dir), bounds).select("panel_id", "as_of", "target_quarter", F.round(F.col("mixture") / 7, 3).alias("mixture"))
+
+
+@CORE.add("a15_selection_minimum", W("fc", "SELECT panel_id, least(40, greatest(5, count(*) FILTER (WHERE y_true IS NOT NULL AND y_a IS NOT NULL AND y_b IS NOT NULL) // 2))::INTEGER AS least FROM ls GROUP BY panel_id", LOSS))
+def a15_minimum(spark, sf_dir):
+    return E.selection_minimum(E.loss_differences(X.forecasts(spark, sf_dir), "ar1", "mean"))
+
+
 @CORE.add("f8_clipped", W("tm upd", "SELECT panel_id, as_of, model_id, round(CASE WHEN value IS NOT NULL THEN least(greatest(value, lo), hi) END, 4) AS clipped FROM upd JOIN bd USING (panel_id)", BOUNDS))
 def f8(spark, sf_dir):
     b = E.bounds(X.targets(spark, sf_dir), low=0.1, high=0.9)
-    return X.updates(spark, sf_dir).join(F.broadcast(b), "panel_id").select("panel_id", "as_of", "model_id", F.round(S.clipped(F.col("value"), F.col("lo"), F.col("hi")), 4).alias("clipped"))
+    return X.updates(spark, sf_dir).join(b, "panel_id").select("panel_id", "as_of", "model_id", F.round(S.clipped(F.col("value"), F.col("lo"), F.col("hi")), 4).alias("clipped"))
 
 
 @CORE.add("p9_failed_fits", W("upf", "SELECT panel_id, as_of, model_id, bad AS failed FROM upf"))

@@ -175,17 +175,19 @@ def f18(spark, sf_dir):
     return e.select("event_id", F.round(S.epanechnikov((F.col("value") - 60) / 50), 8).alias("k"))
 
 
-@CORE.add("j14_header_matches", "WITH c AS (SELECT 'part_' || p_partkey AS file, p_type AS folder, string_split(p_name, ' ') AS w FROM part), k AS (SELECT DISTINCT upper(string_split(p_name, ' ')[1])[1:3] AS keyword FROM part) SELECT file, folder, keyword, [x for x in w if contains(lower(x), lower(keyword))][1] AS column_name FROM c, k WHERE len([x for x in w if contains(lower(x), lower(keyword))]) > 0")
+@CORE.add("j14_header_matches", "WITH c AS (SELECT 'part_' || p_partkey AS file, p_type AS folder, string_split(p_name, ' ') AS w FROM part), k AS (SELECT DISTINCT unnest([upper(w), upper(w)[1:3]]) AS keyword FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part)) SELECT file, folder, keyword, [x for x in w if contains(lower(x), lower(keyword))][1] AS column_name FROM c, k WHERE len([x for x in w if contains(lower(x), lower(keyword))]) > 0")
 def j14(spark, sf_dir):
     part = P.table(spark, sf_dir, "part")
     catalog = part.select(F.concat(F.lit("part_"), "p_partkey").alias("file"), F.col("p_type").alias("folder"), F.regexp_replace("p_name", " ", ";").alias("header"), F.lit(";").alias("sep"))
-    keywords = part.select(F.substring(F.upper(F.split("p_name", " ")[0]), 1, 3).alias("keyword")).distinct()
+    words = part.select(F.explode(F.split(F.upper("p_name"), " ")).alias("w"))
+    keywords = words.select(F.explode(F.array("w", F.substring("w", 1, 3))).alias("keyword")).distinct()
     return C.header_matches(catalog, keywords)
 
 
-@CORE.add("j15_line_matches", "WITH n AS (SELECT string_split(text, ' ')[1] AS needle, 'item ' || item_id AS why FROM benchmark), l AS (SELECT doc_id::VARCHAR AS file, unnest(range(1, len(x) + 1)) AS line_no, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)) SELECT file, line_no, line, min(why) AS why FROM l JOIN n ON contains(line, needle) GROUP BY ALL")
+@CORE.add("j15_line_matches", "WITH n AS (SELECT unnest(list_distinct(string_split_regex(text, '\\s+') || string_split(text, chr(10)))) AS needle, 'item ' || item_id AS why FROM benchmark), l AS (SELECT doc_id::VARCHAR AS file, unnest(range(1, len(x) + 1)) AS line_no, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)) SELECT file, line_no, line, min(why) AS why FROM l JOIN (SELECT needle, min(why) AS why FROM n WHERE needle <> '' GROUP BY needle) n ON contains(line, needle) GROUP BY ALL")
 def j15(spark, sf_dir):
-    items = P.table(spark, sf_dir, "benchmark").select(F.split("text", " ")[0].alias("needle"), F.concat(F.lit("item "), "item_id").alias("why"))
+    """Every word and every whole line of the benchmark, in every line of the documents."""
+    items = C.text_words(P.table(spark, sf_dir, "benchmark"), F.concat(F.lit("item "), "item_id"))
     return C.line_matches(C.text_lines(P.table(spark, sf_dir, "documents")), items).withColumn("line_no", F.col("line_no").cast("long"))
 
 

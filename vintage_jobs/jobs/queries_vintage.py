@@ -81,8 +81,14 @@ def p6(spark, sf_dir):
 
 @CORE.add("a4_standardised_vintages", W("vint", "SELECT as_of, panel_id, series_id, period, round((value - avg(value) OVER w) / CASE WHEN stddev_pop(value) OVER w = 0 THEN 1 ELSE stddev_pop(value) OVER w END, 5) AS z FROM vint WINDOW w AS (PARTITION BY as_of, panel_id, series_id)"))
 def a4(spark, sf_dir):
-    vint = V.vintages(X.panel(spark, sf_dir), X.lags(spark, sf_dir), X.asofs(spark, sf_dir))
-    return V.standardised_vintages(vint).select("as_of", "panel_id", "series_id", "period", F.round("z", 5).alias("z"))
+    parts = X.panel(spark, sf_dir), X.lags(spark, sf_dir), X.asofs(spark, sf_dir)
+    return V.standardised_from(V.vintages(*parts), V.vintage_moments(*parts)).select("as_of", "panel_id", "series_id", "period", F.round("z", 5).alias("z"))
+
+
+@CORE.add("a4_vintage_moments", W("vint", "SELECT as_of, panel_id, series_id, count(value) AS n, round(avg(value) / 7, 3) AS mean, round(stddev_pop(value), 2) AS sd FROM vint GROUP BY ALL"))
+def a4_moments(spark, sf_dir):
+    found = V.vintage_moments(X.panel(spark, sf_dir), X.lags(spark, sf_dir), X.asofs(spark, sf_dir))
+    return found.select("as_of", "panel_id", "series_id", F.col("n").cast("long").alias("n"), F.round(F.col("mean") / 7, 3).alias("mean"), F.round("sd", 2).alias("sd"))
 
 
 @CORE.add("a16_last_known_target", W("vint", "SELECT as_of, panel_id, arg_max(value, period) AS fallback_value FROM vint WHERE series_id = 'TOTAL' AND value IS NOT NULL GROUP BY ALL"))

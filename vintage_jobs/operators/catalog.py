@@ -1,31 +1,94 @@
-"""Keyword searches over column catalogues and text lines."""
+"""Keyword searches over column catalogues and text lines, by an index of character grams.
+
+A text can only hold a needle if it holds all of the needle's grams. So the grams of the texts are counted, each needle
+takes its rarest one as anchor, texts and anchors meet in one equi join on the gram, and what meets is verified. No step
+compares each text with each needle, and a needle with a gram that no text has is dropped before the join.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vintage_jobs.sources.store import stored
 
-def _holds(text: Column, word: Column, match_case: bool) -> Column:
-    return text.contains(word) if match_case else F.lower(text).contains(F.lower(word))
+#: Lengths of grams; a needle has those of the greatest length that it reaches.
+SIZES = (8, 4, 2, 1)
 
 
-def header_matches(catalog: DataFrame, keywords: DataFrame, match_case: bool = False) -> DataFrame:
-    """file, folder, keyword, column_name: the first column of each file that contains each keyword."""
-    parts = catalog.select("file", "folder", F.posexplode(F.split("header", F.concat(F.lit("\\Q"), F.col("sep"), F.lit("\\E")))).alias("place", "cell")).withColumn("column_name", F.trim("cell"))
-    hits = parts.join(keywords, _holds(F.col("column_name"), F.col("keyword"), match_case))
-    return hits.groupBy("file", "folder", "keyword").agg(F.min_by("column_name", "place").alias("column_name"))
+def grams(text: Column, sizes: list[int]) -> Column:
+    """The distinct runs of so many characters (lengths among SIZES) of a text, linear in it; none where it is shorter.
+
+    Runs of twice a length join each run with the one that begins where it ends; arrays of one bind runs to a name, so that
+    all are made once.
+    """
+
+    def from_runs(runs: Column, n: int) -> Column:
+        own = F.slice(runs, F.lit(1), F.greatest(F.lit(0), F.char_length(text) - n + 1))
+        if n >= max(sizes):
+            return own
+        longer = F.zip_with(runs, F.slice(runs, n + 1, F.size(runs)), lambda a, b: F.concat(a, b))
+        more = F.flatten(F.transform(F.array(longer), lambda g: from_runs(g, 2 * n)))
+        return F.concat(own, more) if n in sizes else more
+
+    return F.array_distinct(F.flatten(F.transform(F.array(F.split(text, "")), lambda g: from_runs(g, 1))))
+
+
+def contained(texts: DataFrame, needles: DataFrame, match_case: bool = True, small_side: int = 200_000) -> DataFrame:
+    """The rows of ``texts`` (text, ...) with each row of ``needles`` (needle, ...; distinct needles) that their text holds.
 
+    Up to ``small_side`` needles, which are counted, the anchors are broadcast and the texts stay where they are. Beyond,
+    a hash of each text goes to the anchors by shuffle and comes back with the needles to verify. Null texts and needles
+    hold nothing; the empty needle is in every text.
+    """
+    fold = (lambda c: c) if match_case else F.lower
+    size = F.coalesce(*(F.when(F.char_length(fold(F.col("needle"))) >= s, F.lit(s)) for s in SIZES))
+    of_needle = F.coalesce(*(F.when(F.col("size") == s, grams(fold(F.col("needle")), [s])) for s in SIZES))
+    parts = stored(needles.where("needle <> ''").select("needle", size.alias("size")).select("needle", "size", F.explode(of_needle).alias("gram")), "needle-grams")
+    used = [r[0] for r in parts.select("size").distinct().collect()]  # at most as many as SIZES
+    of_text = F.explode(grams(fold(F.col("text")), used) if used else F.array().cast("array<string>"))
+
+    seen = texts.select(of_text.alias("gram")).join(parts.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = parts.join(seen, "gram", "left").groupBy("needle").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count_if(F.col("n").isNull()).alias("unseen"))
+    anchors = stored(rarest.where("unseen = 0").select("needle", "gram").join(needles, "needle"), "anchors")
+    holds = fold(F.col("text")).contains(fold(F.col("needle")))
+    if anchors.limit(small_side + 1).count() <= small_side:
+        found = texts.withColumn("gram", of_text).join(F.broadcast(anchors), "gram").where(holds).drop("gram")
+    else:
+        met = texts.select(F.xxhash64("text").alias("key"), of_text.alias("gram")).distinct().join(anchors, "gram").drop("gram")
+        found = texts.withColumn("key", F.xxhash64("text")).join(met, "key").where(holds).drop("key")
+    for empty in needles.where("needle = ''").collect():  # one row at most
+        more = texts.where("text IS NOT NULL").select("*", *(F.lit(v).cast(needles.schema[c].dataType).alias(c) for c, v in empty.asDict().items()))
+        found = found.unionByName(more)
+    return found
 
-def line_matches(lines: DataFrame, needles: DataFrame, match_case: bool = True) -> DataFrame:
-    """file, line_no, line, why: each line that contains a needle, once, with the first reason in sort order.
 
-    A line is scanned once for each distinct needle; the needles are broadcast where they are small enough.
+def header_matches(catalog: DataFrame, keywords: DataFrame, match_case: bool = False, small_side: int = 200_000) -> DataFrame:
+    """file, folder, keyword, column_name: the first column of each file that contains each keyword.
+
+    Keywords meet a dictionary of the distinct columns, whatever the number of files; its matches are joined back.
     """
+    parts = catalog.select("file", "folder", F.posexplode(F.split("header", F.concat(F.lit("\\Q"), F.col("sep"), F.lit("\\E")))).alias("place", "cell")).select("file", "folder", "place", F.trim("cell").alias("column_name"))
+    cells = parts.select(F.col("column_name").alias("text")).distinct()
+    matches = contained(cells, keywords.select(F.col("keyword").alias("needle")).distinct(), match_case, small_side)
+    hits = parts.join(matches.select(F.col("text").alias("column_name"), F.col("needle").alias("keyword")), "column_name")
+    return hits.groupBy("file", "folder", "keyword").agg(F.min_by("column_name", "place").alias("column_name"))
+
+
+def line_matches(lines: DataFrame, needles: DataFrame, match_case: bool = True, small_side: int = 200_000) -> DataFrame:
+    """file, line_no, line, why: each line that contains a needle, once, with the first reason in sort order."""
     needles = needles.groupBy("needle").agg(F.min("why").alias("why"))
-    hits = lines.join(needles, _holds(F.col("line"), F.col("needle"), match_case))
-    return hits.groupBy("file", "line_no", "line").agg(F.min("why").alias("why"))
+    # each different line is searched once, in the task that its copies go to
+    hits = contained(lines.select(F.col("line").alias("text")).distinct(), needles, match_case, small_side)
+    reasons = hits.groupBy(F.col("text").alias("line")).agg(F.min("why").alias("why"))
+    return lines.select("file", "line_no", "line").distinct().join(reasons, "line").select("file", "line_no", "line", "why")
 
 
 def text_lines(documents: DataFrame, file: str = "doc_id", text: str = "text") -> DataFrame:
     return documents.select(F.col(file).cast("string").alias("file"), F.posexplode(F.split(text, "\n")).alias("place", "line")).select("file", (F.col("place") + 1).alias("line_no"), "line")
+
+
+def text_words(texts: DataFrame, why: Column, text: str = "text") -> DataFrame:
+    """needle, why: the distinct words and the whole lines of each text."""
+    lines = F.split(text, "\n")
+    return texts.select(why.alias("why"), F.explode(F.array_distinct(F.concat(lines, F.split(text, r"\s+")))).alias("needle")).where("needle <> ''").select("needle", "why")

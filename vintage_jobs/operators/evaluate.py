@@ -2,37 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintage_jobs.functions.scalars import finite, no_nan
+from vintage_jobs.operators.running import previous, running
+from vintage_jobs.operators.vintage import asof_array, with_grid
+from vintage_jobs.sources.store import stored
 
 
 def expanding_ar1(targets: DataFrame, least: int = 10) -> DataFrame:
     """``y_pred``: the forecast of each target by least squares on all pairs (previous, own) before it.
 
-    A running aggregate: linear in the history. Where all previous values are the same c, the minimum-norm solution.
+    Running sums in two levels (see ``running``): linear in the history, and a long panel is many tasks. Sums are of what
+    is left of the panel's mean. Where all previous values are the same c, the minimum-norm solution.
     """
-    w = Window.partitionBy("panel_id").orderBy("target_period")
-    past = w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = targets.withColumns({"y_lag": F.lag("y").over(w), "i": F.row_number().over(w) - 1})
-    pair = F.col("y_lag").isNotNull() & F.col("y").isNotNull()
-    y, x = F.when(pair, F.col("y")), F.when(pair, F.col("y_lag"))
-    stats = {"slope": F.regr_slope(y, x).over(past), "intercept": F.regr_intercept(y, x).over(past), "lo": F.min(x).over(past), "hi": F.max(x).over(past), "m": F.avg(y).over(past)}
-    own = rows.withColumns(stats)
-    flat = F.col("lo") == F.col("hi")
-    c = F.col("lo")
-    slope = F.when(flat, F.col("m") * c / (1 + c * c)).otherwise(F.col("slope"))
-    intercept = F.when(flat, F.col("m") / (1 + c * c)).otherwise(F.col("intercept"))
-    ready = F.col("i") >= max(2, least)
-    return own.withColumn("y_pred", F.when(ready, intercept + slope * F.col("y_lag"))).select(*targets.columns, "y_pred")
+    centre = targets.groupBy("panel_id").agg(F.coalesce(F.avg(no_nan(F.col("y"))), F.lit(0.0)).alias("__c"))
+    rows = stored(previous(targets, ["panel_id"], "target_period", {"__x": "y"}).join(centre, "panel_id"), "pairs")
+    pair = F.col("__x").isNotNull() & F.col("y").isNotNull()
+    y, x = F.when(pair, F.col("y") - F.col("__c")), F.when(pair, F.col("__x") - F.col("__c"))
+    sums = {"__n": F.when(pair, 1), "__sy": y, "__sx": x, "__sxy": x * y, "__sxx": x * x, "__i": F.lit(1)}
+    extremes = {"__lo": ("min", F.when(pair, F.col("__x"))), "__hi": ("max", F.when(pair, F.col("__x")))}
+    own = running(rows, ["panel_id"], "target_period", {name: ("sum", c) for name, c in sums.items()} | extremes)
+    n, sx, sy, c = (F.col(v) for v in ("__n", "__sx", "__sy", "__lo"))
+    slope = (n * F.col("__sxy") - sx * sy) / (n * F.col("__sxx") - sx * sx)
+    fitted = F.col("__c") + sy / n + slope * (F.col("__x") - F.col("__c") - sx / n)
+    flat = (F.col("__c") + sy / n) / (1 + c * c) * (1 + c * F.col("__x"))
+    ready = (F.coalesce("__i", F.lit(0)) >= max(2, least)) & (n >= 1)
+    return own.withColumn("y_pred", F.when(ready, F.when(F.col("__lo") == F.col("__hi"), flat).otherwise(fitted))).select(*targets.columns, "y_pred")
 
 
 def expanding_mean(targets: DataFrame, least: int = 10) -> DataFrame:
     """``y_pred``: the mean of the targets before each one."""
-    w = Window.partitionBy("panel_id").orderBy("target_period")
-    mean = F.avg("y").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return targets.withColumn("y_pred", F.when(F.row_number().over(w) - 1 >= least, mean))
+    sums = {"__s": ("sum", F.col("y")), "__n": ("sum", F.when(F.col("y").isNotNull(), 1)), "__i": ("sum", F.lit(1))}
+    own = running(targets, ["panel_id"], "target_period", sums)
+    return own.withColumn("y_pred", F.when(F.col("__i") >= least, F.col("__s") / F.col("__n"))).select(*targets.columns, "y_pred")
 
 
 def metrics(forecasts: DataFrame) -> DataFrame:
@@ -46,7 +50,9 @@ def metrics(forecasts: DataFrame) -> DataFrame:
 def running_rmse(forecasts: DataFrame) -> DataFrame:
     """``rmse``: over all pairs up to each period; infinities count, NaN and null do not."""
     e = no_nan(F.col("y_true")) - no_nan(F.col("y_pred"))
-    return forecasts.withColumn("rmse", F.sqrt(F.avg(e * e).over(Window.partitionBy("panel_id", "model_id").orderBy("target_period").rowsBetween(Window.unboundedPreceding, 0))))
+    sums = {"__s": ("sum", e * e), "__n": ("sum", F.when(e.isNotNull(), 1))}
+    own = running(forecasts, ["panel_id", "model_id"], "target_period", sums, inclusive=True)
+    return own.withColumn("rmse", F.sqrt(F.col("__s") / F.col("__n"))).select(*forecasts.columns, "rmse")
 
 
 def loss_differences(forecasts: DataFrame, model_a: str, model_b: str, loss: str = "squared") -> DataFrame:
@@ -65,6 +71,13 @@ def lag_design(losses: DataFrame, d: int) -> DataFrame:
     return rows.where(F.col(f"lag_{d}").isNotNull())
 
 
+def selection_minimum(losses: DataFrame) -> DataFrame:
+    """panel_id, least: the losses a panel's selection begins after, min(40, max(5, n / 2)), of the n dates on which the
+    truth and both forecasts are known."""
+    n = F.count_if(F.col("y_true").isNotNull() & F.col("y_a").isNotNull() & F.col("y_b").isNotNull())
+    return losses.groupBy("panel_id").agg(F.least(F.lit(40), F.greatest(F.lit(5), F.floor(n / 2))).cast("int").alias("least"))
+
+
 def coverage(forecasts: DataFrame) -> DataFrame:
     """Non-missing forecasts and their first date by model, and the selection minimum min(40, max(5, n / 2))."""
     seen = F.col("y_pred").isNotNull() & F.col("y_true").isNotNull()
@@ -81,18 +94,56 @@ def bounds(targets: DataFrame, method: str = "quantile", low: float = 0.01, high
     return targets.groupBy("panel_id").agg(F.percentile("y", F.lit(low)).alias("lo"), F.percentile("y", F.lit(high)).alias("hi"))
 
 
-def bounds_in_time(targets: DataFrame, as_ofs: DataFrame) -> DataFrame:
-    """panel_id, as_of, lo, hi: the extremes of each panel's targets up to each as-of, so no clip looks ahead.
+def bounds_in_time(targets: DataFrame, as_ofs: DataFrame, method: str = "minmax", low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """panel_id, as_of, lo, hi: the extremes or quantiles of each panel's targets up to each as-of, so no clip looks ahead.
 
     A target goes to the first as-of at or after it; extremes then run over the as-ofs.
     """
-    grid = as_ofs.agg(F.sort_array(F.collect_set("as_of")).alias("grid"))
-    first = F.array_min(F.filter("grid", lambda d: d >= F.col("target_period")))
-    seen = targets.crossJoin(F.broadcast(grid)).groupBy("panel_id", first.alias("as_of")).agg(F.min("y").alias("least"), F.max("y").alias("most"))
-    every = targets.select("panel_id").distinct().crossJoin(F.broadcast(as_ofs.select("as_of").distinct())).join(seen, ["panel_id", "as_of"], "left")
+    if method == "quantile":
+        return quantiles_in_time(targets, as_ofs, low, high)
+    if method != "minmax":
+        raise ValueError(f"unknown bounds: {method}")
+    grid = asof_array(as_ofs)
+    first = F.array_min(F.filter("__grid", lambda d: d >= F.col("target_period")))
+    seen = with_grid(targets, as_ofs).groupBy("panel_id", first.alias("as_of")).agg(F.min("y").alias("least"), F.max("y").alias("most"))
+    every = targets.select("panel_id").distinct().withColumn("as_of", F.explode(grid)).join(seen, ["panel_id", "as_of"], "left")
     upto = Window.partitionBy("panel_id").orderBy("as_of")
     return every.select("panel_id", "as_of", F.min("least").over(upto).alias("lo"), F.max("most").over(upto).alias("hi"))
 
 
+def quantiles_in_time(targets: DataFrame, as_ofs: DataFrame, low: float, high: float, buckets: int = 64) -> DataFrame:
+    """panel_id, as_of, lo, hi: interpolated quantiles of each panel's targets up to each as-of, exact.
+
+    Values are put into about equally full buckets of their panel. Counts of the buckets run over the as-ofs and tell in
+    which bucket the two wanted ranks of a quantile lie, and at which rank there; only that bucket's values are then
+    counted up to it. No step gathers a panel's values.
+    """
+    grid = asof_array(as_ofs)
+    known = targets.where(F.col("y").isNotNull())
+    first = F.array_min(F.filter("__grid", lambda d: d >= F.col("target_period")))
+    values = with_grid(known, as_ofs).groupBy("panel_id", "y", first.alias("first")).agg(F.count("*").alias("n")).where("first IS NOT NULL")
+    edges = known.groupBy("panel_id").agg(F.percentile_approx("y", F.array(*(F.lit(i / buckets) for i in range(1, buckets))), F.lit(10 * buckets)).alias("edges"))
+    values = values.join(edges, "panel_id").withColumn("bucket", F.size(F.filter("edges", lambda e: e < F.col("y")))).drop("edges")
+    new = values.groupBy("panel_id", "bucket", F.col("first").alias("as_of")).agg(F.sum("n").alias("n"))
+    every = values.select("panel_id", "bucket").distinct().withColumn("as_of", F.explode(grid)).join(new, ["panel_id", "bucket", "as_of"], "left")
+    held = F.coalesce(F.sum("n").over(Window.partitionBy("panel_id", "bucket").orderBy("as_of")), F.lit(0))
+    at = Window.partitionBy("panel_id", "as_of")
+    every = every.withColumn("n", held).withColumns({"total": F.sum("n").over(at), "upto": F.sum("n").over(at.orderBy("bucket"))})
+
+    def ranks(name: str, share: float) -> list[Column]:
+        place = (F.col("total") - 1) * share
+        return [F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), whole(place).cast("long").alias("rank"), (place - F.floor(place)).alias("part")) for side, whole in ((0, F.floor), (1, F.ceil))]
+
+    wanted = every.select("panel_id", "as_of", "bucket", "upto", "n", F.inline(F.array(*ranks("lo", low), *ranks("hi", high))))
+    wanted = wanted.where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))).select("panel_id", "as_of", "bucket", "name", "side", "part", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"))
+    met = wanted.join(values.withColumnRenamed("n", "k"), ["panel_id", "bucket"]).where(F.col("first") <= F.col("as_of"))
+    line = Window.partitionBy("panel_id", "as_of", "name", "side").orderBy("y", "first").rowsBetween(Window.unboundedPreceding, 0)
+    found = met.withColumn("upto", F.sum("k").over(line)).where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("k") <= F.col("rank")))
+    share = F.when(F.col("side") == 0, 1 - F.col("part")).otherwise(F.col("part"))
+    own = lambda name: F.sum(F.when(F.col("name") == name, F.col("y") * share))
+    bounds_ = found.groupBy("panel_id", "as_of").agg(own("lo").alias("lo"), own("hi").alias("hi"))
+    return targets.select("panel_id").distinct().withColumn("as_of", F.explode(grid)).join(bounds_, ["panel_id", "as_of"], "left")
+
+
 def choice_counts(selected: DataFrame) -> DataFrame:
     return selected.groupBy("panel_id", "choice").agg(F.count("*").alias("n"))

@@ -30,14 +30,20 @@ def differences(panel: DataFrame, name: str = "diff") -> DataFrame:
     return panel.withColumn(name, F.col("value") - F.lag("value").over(in_time()))
 
 
-def log_differences(panel: DataFrame, least_logs: int = 10, many: int = 25) -> DataFrame:
-    """``change``: differences of safe logs, or plain ones where too few logs are usable while many values exist."""
-    v = F.col("value")
-    log = S.safe_log(v, F.coalesce(F.bool_or(v < 0).over(by()), F.lit(False)), F.coalesce(F.bool_or(v == 0).over(by()), F.lit(False)))
-    own = panel.withColumn("log", log)
-    own = own.withColumns({"log_diff": F.col("log") - F.lag("log").over(in_time()), "diff": v - F.lag(v).over(in_time())})
-    fall_back = (F.count("log_diff").over(by()) < least_logs) & (F.count(v).over(by()) > many)
-    return own.withColumn("change", F.when(fall_back, F.col("diff")).otherwise(F.col("log_diff"))).drop("log")
+def log_differences(panel: DataFrame, least_logs: int = 10, many: int = 25, point_in_time: bool = False) -> DataFrame:
+    """``change``: differences of safe logs, or plain ones where too few logs are usable while many values exist.
+
+    What a series has is judged over all of it, or with ``point_in_time`` up to each period; both logs of a difference are
+    then of the kind that is right at that period.
+    """
+    over = in_time().rowsBetween(Window.unboundedPreceding, 0) if point_in_time else by()
+    v, before = F.col("value"), F.lag("value").over(in_time())
+    negative, zero = (F.coalesce(F.bool_or(x).over(over), F.lit(False)) for x in (v < 0, v == 0))
+    own = panel.withColumns({"negative": negative, "zero": zero, "before": before, "diff": v - before})
+    log = lambda c: S.safe_log(c, F.col("negative"), F.col("zero"))
+    own = own.withColumn("log_diff", log(v) - log(F.col("before"))).drop("negative", "zero", "before")
+    fall_back = (F.count("log_diff").over(over) < least_logs) & (F.count(v).over(over) > many)
+    return own.withColumn("change", F.when(fall_back, F.col("diff")).otherwise(F.col("log_diff")))
 
 
 def quarterly_growth(panel: DataFrame, target: str) -> DataFrame:
@@ -55,16 +61,29 @@ def growth_on_dates(panel: DataFrame, target: str) -> DataFrame:
 
 
 def decisions(p_values: DataFrame, target: str, change: list[str], rate: list[str], alpha: float = 0.05) -> DataFrame:
-    """The rule of each series from its p-value, with a fixed row for the target of each panel."""
-    own = p_values.where(F.col("series_id") != target).unionByName(p_values.select("panel_id").distinct().select("panel_id", F.lit(target).alias("series_id"), F.lit(None).cast("double").alias("p_value")))
+    """The rule of each series from its p-value, with a fixed row for the target of each panel.
+
+    Where the p-values have a period, the rules do too: what was decided then.
+    """
+    keys = [c for c in ("panel_id", "period") if c in p_values.columns]
+    fixed = p_values.select(*keys).distinct().select(*keys, F.lit(target).alias("series_id"), F.lit(None).cast("double").alias("p_value"))
+    own = p_values.where(F.col("series_id") != target).unionByName(fixed)
     s = F.col("series_id")
     is_in = lambda names: s.isin(*names) if names else F.lit(False)
     return own.withColumn("rule", S.transform_rule(s, F.col("p_value"), s == target, is_in(change), is_in(rate), alpha))
 
 
 def transformed(panel: DataFrame, rules: DataFrame, target: str) -> DataFrame:
-    """Each series under its rule; the target becomes quarterly log growth."""
-    others = log_differences(panel.where(F.col("series_id") != target)).join(rules.select(*SERIES, "rule"), list(SERIES))
+    """Each series under its rule; the target becomes quarterly log growth.
+
+    Rules with a period hold from it to the next one of their series, and changes are then judged in time.
+    """
+    then = "period" in rules.columns
+    others = log_differences(panel.where(F.col("series_id") != target), point_in_time=then)
+    if then:
+        others = others.join(rules.select(*SERIES, "period", "rule"), [*SERIES, "period"], "left").withColumn("rule", F.last("rule", ignorenulls=True).over(in_time()))
+    else:
+        others = others.join(rules.select(*SERIES, "rule"), list(SERIES))
     value = F.when(F.col("rule").isin(S.RULE_CHANGE, S.RULE_LEVEL), F.col("value")).when(F.col("rule") == S.RULE_DIFF, F.col("diff")).when(F.col("rule") == S.RULE_LOG, F.col("change"))
     on_grid = panel.where(F.col("series_id") == target).drop("value").join(growth_on_dates(panel, target), ["panel_id", "series_id", "period"], "left")
     return others.select(*SERIES, "period", value.alias("value")).unionByName(on_grid.select(*SERIES, "period", "value"))
@@ -83,8 +102,10 @@ def without_empty_periods(panel: DataFrame) -> DataFrame:
 
 
 def second_differences(panel: DataFrame, still: DataFrame, target: str) -> DataFrame:
-    """Differences once more the series in ``still``, never the target, over the rows that are left."""
-    flagged = panel.join(still.select(*SERIES).distinct().withColumn("again", F.lit(True)), list(SERIES), "left")
+    """Differences once more the series in ``still``, never the target, over the rows that are left; where ``still`` has
+    periods, only at these."""
+    keys = [*SERIES, *(c for c in ("period",) if c in still.columns)]
+    flagged = panel.join(still.select(*keys).distinct().withColumn("again", F.lit(True)), keys, "left")
     again = F.coalesce("again", F.lit(False)) & (F.col("series_id") != target)
     return flagged.select(*SERIES, "period", F.when(again, F.col("value") - F.lag("value").over(in_time())).otherwise(F.col("value")).alias("value"))
 

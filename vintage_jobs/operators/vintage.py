@@ -33,6 +33,21 @@ def panel_asofs(panel: DataFrame, months: int) -> DataFrame:
     return spans.where(start <= end).select("panel_id", F.explode(D.month_end_grid(start, end)).alias("as_of"))
 
 
+def asof_array(as_ofs: DataFrame) -> Column:
+    """All as-ofs in order, as one value: a scalar subquery, so that nothing is joined with them."""
+    return as_ofs.agg(F.sort_array(F.collect_set("as_of")).alias("grid")).scalar()
+
+
+def with_grid(rows: DataFrame, as_ofs: DataFrame) -> DataFrame:
+    """``rows`` with all as-ofs in order in the column __grid, for functions over arrays."""
+    return rows.withColumn("__grid", asof_array(as_ofs))
+
+
+def first_asof(instant: Column, grid: Column) -> Column:
+    """The first as-of of a sorted grid that shows what came out at ``instant``; null without one."""
+    return F.array_min(F.filter(grid, lambda d: D.ntz(d) >= instant))
+
+
 def with_lags(panel: DataFrame, lags: DataFrame, default: dict = DEFAULT_LAG) -> DataFrame:
     """The panel with the lag columns of its series; unlisted series get the default."""
     joined = panel.join(lags.select("series_id", *default), "series_id", "left")
@@ -82,11 +97,10 @@ def manifest(panel: DataFrame, lags: DataFrame, as_ofs: DataFrame) -> DataFrame:
     Each non-null cell goes to the first as-of that shows it; visible cells are running counts over the as-ofs.
     """
     size = panel.groupBy("panel_id").agg(F.count_distinct("period").alias("n_rows"), F.count_distinct("series_id").alias("n_cols"))
-    grid = as_ofs.agg(F.sort_array(F.collect_set("as_of")).alias("grid"))
+    grid = asof_array(as_ofs)
     cells = with_availability(panel.where(F.col("value").isNotNull()), lags).groupBy("panel_id", "available_at").agg(F.count("*").alias("n"))
-    first = F.array_min(F.filter("grid", lambda d: D.ntz(d) >= F.col("available_at")))
-    new = cells.crossJoin(F.broadcast(grid)).groupBy("panel_id", first.alias("as_of")).agg(F.sum("n").alias("n")).where(F.col("as_of").isNotNull())
-    every = size.crossJoin(F.broadcast(as_ofs)).join(new, ["panel_id", "as_of"], "left")
+    new = with_grid(cells, as_ofs).groupBy("panel_id", first_asof(F.col("available_at"), F.col("__grid")).alias("as_of")).agg(F.sum("n").alias("n")).where(F.col("as_of").isNotNull())
+    every = size.withColumn("as_of", F.explode(grid)).join(new, ["panel_id", "as_of"], "left")
     running = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("panel_id").orderBy("as_of"))
     share = 1 - running / (F.col("n_rows") * F.col("n_cols"))
     from vintage_jobs.functions.scalars import vintage_name
@@ -104,14 +118,18 @@ def target_quarters(panel: DataFrame, lags: DataFrame, as_ofs: DataFrame, target
 
     Candidates run from the panel's first quarter to ``ahead`` after its last; if all are out, the one after them.
     """
-    meta = lags.where(F.col("series_id") == target)
-    checked = meta.withColumn("freq", F.when(F.col("freq") == "Q", F.col("freq")).otherwise(F.raise_error(F.lit("the target must be quarterly")).cast("string")))
-    span = panel.groupBy("panel_id").agg(D.quarter_start(F.min("period")).alias("lo"), F.add_months(D.quarter_start(F.max("period")), 3 * ahead).alias("hi"))
-    quarters = span.select("panel_id", F.col("hi"), F.explode(F.sequence("lo", "hi", F.expr("interval 3 month"))).alias("period")).crossJoin(F.broadcast(checked.drop("series_id")))
-    at = D.available_at(D.reference_time(F.col("period"), F.col("freq"), F.col("ref_point")), F.col("lag_unit"), F.col("lag_value"))
-    candidates = quarters.select("panel_id", "hi", F.col("period").alias("q"), at.alias("out"))
-    open_ = candidates.crossJoin(F.broadcast(as_ofs)).groupBy("as_of", "panel_id").agg(F.min(F.when(F.col("out") > D.ntz(F.col("as_of")), F.col("q"))).alias("q"), F.max("hi").alias("hi"))
-    return open_.select("as_of", "panel_id", F.coalesce("q", F.add_months("hi", 3)).alias("quarter"))
+    quarterly = F.when(F.col("freq") == "Q", F.col("freq")).otherwise(F.raise_error(F.lit("the target must be quarterly")).cast("string"))
+    meta = lags.where(F.col("series_id") == target).select(F.struct(quarterly.alias("freq"), "ref_point", "lag_unit", "lag_value").alias("m")).scalar()
+    span = panel.groupBy("panel_id").agg(D.quarter_start(F.min("period")).alias("lo"), F.add_months(D.quarter_start(F.max("period")), 3 * ahead).alias("hi")).withColumn("m", meta).where("m IS NOT NULL")
+    quarters = span.select("panel_id", "m", "hi", F.explode(F.sequence("lo", "hi", F.expr("interval 3 month"))).alias("q"))
+    out = D.available_at(D.reference_time(F.col("q"), F.col("m.freq"), F.col("m.ref_point")), F.col("m.lag_unit"), F.col("m.lag_value"))
+    none = F.lit(None).cast("date")
+    candidates = quarters.select("panel_id", "hi", "q", out.alias("at"), none.alias("as_of"))
+    asked = span.select("panel_id", "hi", none.alias("q"), F.explode(asof_array(as_ofs)).alias("as_of")).select("panel_id", "hi", "q", D.ntz(F.col("as_of")).alias("at"), "as_of")
+    # in one line of time, an as-of looks ahead to what comes out after it
+    ahead_of = Window.partitionBy("panel_id").orderBy("at", F.col("as_of").isNotNull()).rowsBetween(1, Window.unboundedFollowing)
+    found = candidates.unionByName(asked).withColumn("quarter", F.min("q").over(ahead_of)).where(F.col("as_of").isNotNull())
+    return found.select("as_of", "panel_id", F.coalesce("quarter", F.add_months("hi", 3)).alias("quarter"))
 
 
 def target_phase(panel: DataFrame, target: str) -> DataFrame:
@@ -128,6 +146,34 @@ def quarter_months_only(panel: DataFrame, target: str) -> DataFrame:
     return own.select("panel_id", "series_id", "period", F.when(keep, F.col("value")).alias("value"))
 
 
+def vintage_moments(panel: DataFrame, lags: DataFrame, as_ofs: DataFrame) -> DataFrame:
+    """panel_id, series_id, as_of, n, mean, sd (ddof 0) of the visible values of each series at each as-of.
+
+    Each value goes to the first as-of that shows it; moments of these groups (count, mean, squared deviations, extremes)
+    are merged over the as-ofs. So the work is linear in the cells, and no vintage is made.
+    """
+    series, grid = ["panel_id", "series_id"], asof_array(as_ofs)
+    cells = with_grid(with_availability(panel.where(F.col("value").isNotNull()), lags), as_ofs)
+    own = cells.select(*series, first_asof(F.col("available_at"), F.col("__grid")).alias("as_of"), "value").where("as_of IS NOT NULL")
+    parts = own.groupBy(*series, "as_of").agg(F.count("value").alias("k"), F.avg("value").alias("m"), F.var_pop("value").alias("v"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    every = panel.select(*series).distinct().withColumn("as_of", F.explode(grid)).join(parts, [*series, "as_of"], "left")
+    whole = Window.partitionBy(*series)
+    upto = whole.orderBy("as_of")
+    every = every.withColumn("c", F.sum(F.col("k") * F.col("m")).over(whole) / F.sum("k").over(whole))  # sums are of what is left of it
+    off = F.col("m") - F.col("c")
+    sums = {"n": F.col("k"), "s": F.col("k") * off, "q": F.col("k") * (off * off + F.col("v"))}
+    every = every.withColumns({name: F.sum(x).over(upto) for name, x in sums.items()} | {"lo": F.min("lo").over(upto), "hi": F.max("hi").over(upto)})
+    same, shift = F.col("lo") == F.col("hi"), F.col("s") / F.col("n")
+    sd = F.when(same, 0.0).when(F.col("n") > 0, F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - shift * shift)))
+    return every.select(*series, "as_of", F.coalesce("n", F.lit(0)).alias("n"), F.when(same, F.col("lo")).otherwise(F.col("c") + shift).alias("mean"), sd.alias("sd"))
+
+
+def standardised_from(vintage: DataFrame, moments: DataFrame) -> DataFrame:
+    """``z``: each value of a vintage less its series' mean at the as-of, over its deviation (one where that is zero)."""
+    own = vintage.join(moments, ["panel_id", "series_id", "as_of"])
+    return own.select(*vintage.columns, ((F.col("value") - F.col("mean")) / F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd"))).alias("z"))
+
+
 def standardised_vintages(vintage: DataFrame) -> DataFrame:
     """Each series of each vintage less its mean, over its deviation (ddof 0; one where that is zero)."""
     by = Window.partitionBy("as_of", "panel_id", "series_id")

@@ -4,13 +4,9 @@ from __future__ import annotations
 
 import uuid
 import warnings
-from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: dict[tuple[str, str, str], str] = {}
-
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a folder beside the warehouse when unset."""
@@ -27,19 +23,3 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table that several queries start from: written by the first of an application, read by the others.
-
-    An application sees one state of its inputs. A table that is gone is written again.
-    """
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key in _WRITTEN:
-        try:
-            return spark.read.parquet(_WRITTEN[key])
-        except AnalysisException:
-            del _WRITTEN[key]
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    build().write.parquet(path)
-    _WRITTEN[key] = path
-    return spark.read.parquet(path)
