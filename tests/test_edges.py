@@ -229,3 +229,23 @@ def test_sinks(spark, tmp_path):
         P.write_panel(rows, str(tmp_path / "x"), "xls")
     (tmp_path / "c.csv").write_text("date,a\n2000-01-01,1\nbad,2\n")
     assert P.read_csv_panel(spark, str(tmp_path / "c.csv")).count() == 1
+
+
+#: Tests and rules of a published panel (p-value, rule), already-change and rate-like series as below.
+DECIDED = [
+    ("Bankruptcies", 0.6495, S.RULE_LOG), ("BusinessLeadIndicator_NLD", 0.0021, S.RULE_LEVEL), ("CPI_1", 0.9959, S.RULE_LOG), ("Construction_proxy", 0.9931, S.RULE_LOG), ("ConsumLeadIndicator_NLD", 0.0090, S.RULE_LEVEL),
+    ("Crude oil, Brent", 0.0194, S.RULE_LEVEL), ("Domestic_consumption_by_households_VolumeChangesShoppingdayAdjusted_3", 0.0012, S.RULE_CHANGE), ("Employment_allGenders_15 to 74 years_SeasonallyAdjusted_8_UnemplyRate", 0.6729, S.RULE_DIFF),
+    ("Exports_Europe", 0.0036, S.RULE_LEVEL), ("GrossDomesticProduct_1", None, S.RULE_TARGET), ("Imports_Europe", 0.0123, S.RULE_LEVEL), ("IndustProd_Europe_ImprtWeighted", 0.0164, S.RULE_LEVEL), ("Industry_proxy", 0.0097, S.RULE_LEVEL),
+    ("MaandmutatieCPI_3", 0.0311, S.RULE_CHANGE), ("NL_Consumer_confidence", 0.0141, S.RULE_LEVEL), ("NL_Economic_sentiment_confidence", 0.0150, S.RULE_LEVEL), ("NL_Industrial_confidence", 0.0075, S.RULE_LEVEL), ("^AEX", 0.9821, S.RULE_LOG),
+    ("ecb_10Y_Yield", 0.6869, S.RULE_DIFF), ("ecb_3M_Yield", 0.3092, S.RULE_DIFF),
+]
+CHANGE_SERIES = ["Domestic_consumption_by_households_VolumeChangesShoppingdayAdjusted_3", "MaandmutatieCPI_3"]
+RATE_SERIES = ["Employment_allGenders_15 to 74 years_SeasonallyAdjusted_8_UnemplyRate", "ecb_10Y_Yield", "ecb_3M_Yield"]
+
+
+def test_rules_of_a_published_panel(spark):
+    from vintage_jobs.operators.transform import decisions
+
+    p = spark.createDataFrame([("p", s, v) for s, v, _ in DECIDED], "panel_id string, series_id string, p_value double")
+    got = {r.series_id: r.rule for r in decisions(p, "GrossDomesticProduct_1", CHANGE_SERIES, RATE_SERIES).collect()}
+    assert got == {s: rule for s, _, rule in DECIDED}

@@ -141,10 +141,10 @@ def a5_quantiles(spark, sf_dir):
     return found.select("panel_id", "as_of", F.round("lo", 2).alias("lo"), F.round("hi", 2).alias("hi"))
 
 
-@CORE.add("a6_mixture_in_time", W("tm asofs upf", "SELECT panel_id, as_of, target_quarter, round(avg(CASE WHEN NOT bad AND value IS NOT NULL THEN least(greatest(value, lo), hi) END) / 7, 3) AS mixture FROM upf LEFT JOIN bt USING (panel_id, as_of) GROUP BY ALL", THEN))
+@CORE.add("a6_mixture_in_time", W("tm asofs upf", "SELECT panel_id, as_of, target_quarter, round(avg(CASE WHEN NOT bad AND value IS NOT NULL THEN least(greatest(value, lo), hi) END) / pi(), 3) AS mixture FROM upf LEFT JOIN bt USING (panel_id, as_of) GROUP BY ALL", THEN))
 def a6_in_time(spark, sf_dir):
     bounds = E.bounds_in_time(X.targets(spark, sf_dir), X.asofs(spark, sf_dir), "quantile", 0.1, 0.9)
-    return C.mixture(X.updates(spark, sf_dir), bounds).select("panel_id", "as_of", "target_quarter", F.round(F.col("mixture") / 7, 3).alias("mixture"))
+    return C.mixture(X.updates(spark, sf_dir), bounds).select("panel_id", "as_of", "target_quarter", F.round(F.col("mixture") / F.pi(), 3).alias("mixture"))
 
 
 @CORE.add("a15_selection_minimum", W("fc", "SELECT panel_id, least(40, greatest(5, count(*) FILTER (WHERE y_true IS NOT NULL AND y_a IS NOT NULL AND y_b IS NOT NULL) // 2))::INTEGER AS least FROM ls GROUP BY panel_id", LOSS))
@@ -175,6 +175,50 @@ def a6(spark, sf_dir):
     return mixtures(spark, sf_dir).select("panel_id", "as_of", "target_quarter", "n_used", "n_failed", "n_trimmed", F.array_join("models_used", ",").alias("models_used"), F.round("mixture", 5).alias("mixture"))
 
 
+CLIP = "least(greatest(value, lo), hi)"
+
+
+def branch(used: str, failed: str, trimmed: str, value: str, rows: str = "") -> str:
+    """SQL of one branch of the mixture: which forecasts are used, failed and trimmed, and its value."""
+    own = f"SELECT upf.*, {used} AS used, {failed} AS failed, {trimmed} AS trimmed, CASE WHEN {used} AND value IS NOT NULL THEN {CLIP} END AS use FROM upf JOIN bd USING (panel_id){rows}"
+    mixed = f"SELECT panel_id, as_of, target_quarter, count(*) FILTER (WHERE used) AS n_used, count(*) FILTER (WHERE failed) AS n_failed, count(*) FILTER (WHERE trimmed) AS n_trimmed, coalesce(string_agg(CASE WHEN used THEN model_id END, ',' ORDER BY model_id), '') AS models_used, avg(use) AS mean FROM ({own}) GROUP BY ALL"
+    return f"SELECT panel_id, as_of, target_quarter, n_used, n_failed, n_trimmed, models_used, round({value} / pi(), 3) AS mixture FROM ({mixed}) m"
+
+
+def branch_rows(mixed):
+    return mixed.select("panel_id", "as_of", "target_quarter", "n_used", "n_failed", "n_trimmed", F.array_join("models_used", ",").alias("models_used"), F.round(F.col("mixture") / F.pi(), 3).alias("mixture"))
+
+
+KEPT = branch("value IS NOT NULL", "bad OR value IS NULL", f"value IS NOT NULL AND value <> {CLIP}", "mean")
+STRICT = branch("NOT bad", "bad", f"NOT bad AND (value IS NULL OR value <> {CLIP})", "mean")
+FALLBACK = branch("NOT bad AND value IS NOT NULL", "bad OR value IS NULL", f"NOT bad AND value IS NOT NULL AND value <> {CLIP}", "coalesce(mean, (SELECT max(y) FROM tm WHERE tm.panel_id = m.panel_id AND target_period = date_trunc('month', m.as_of)))", " WHERE model_id IN ('DFM_r1_p1', 'DFM_r2_p1')")
+
+
+def tight(spark, sf_dir):
+    return E.bounds(X.targets(spark, sf_dir), low=0.1, high=0.9)
+
+
+@CORE.add("a6_mixture_keeping_failed", W("tm upf", KEPT, BOUNDS))
+def a6_kept(spark, sf_dir):
+    """Failed fits that have a number still count."""
+    return branch_rows(C.mixture(X.updates(spark, sf_dir), tight(spark, sf_dir), drop_failed=False))
+
+
+@CORE.add("a6_mixture_strict", W("tm upf", STRICT, BOUNDS))
+def a6_strict(spark, sf_dir):
+    """A null forecast of a fit that did not fail is listed as used and trimmed."""
+    return branch_rows(C.mixture(X.updates(spark, sf_dir), tight(spark, sf_dir), strict_reference=True))
+
+
+@CORE.add("a6_mixture_with_fallback", W("tm upf", FALLBACK, BOUNDS))
+def a6_fallback(spark, sf_dir):
+    """Mixtures of two models; where both fail, the total of the month takes their place."""
+    own = X.updates(spark, sf_dir).where(F.col("model_id").isin("DFM_r1_p1", "DFM_r2_p1"))
+    month = X.targets(spark, sf_dir).select("panel_id", F.last_day("target_period").alias("as_of"), F.col("y").alias("fallback_value"))
+    fallback = own.select(*C.UPDATE).distinct().join(month, ["panel_id", "as_of"])
+    return branch_rows(C.mixture(own, tight(spark, sf_dir), fallback))
+
+
 @CORE.add("o2_j7_aligned", W("tm upf", "SELECT t.panel_id, t.target_period, t.y, round(m.y_pred, 5) AS y_pred FROM tm t LEFT JOIN (SELECT panel_id, target_quarter, arg_max(mean, as_of) AS y_pred FROM mx WHERE mean IS NOT NULL GROUP BY ALL) m ON m.panel_id = t.panel_id AND m.target_quarter = t.target_period", f"{BOUNDS}, {MIX}"))
 def j7(spark, sf_dir):
     return C.aligned(mixtures(spark, sf_dir), X.targets(spark, sf_dir)).withColumn("y_pred", F.round("y_pred", 5))

@@ -85,10 +85,10 @@ def a4(spark, sf_dir):
     return V.standardised_from(V.vintages(*parts), V.vintage_moments(*parts)).select("as_of", "panel_id", "series_id", "period", F.round("z", 5).alias("z"))
 
 
-@CORE.add("a4_vintage_moments", W("vint", "SELECT as_of, panel_id, series_id, count(value) AS n, round(avg(value) / 7, 3) AS mean, round(stddev_pop(value), 2) AS sd FROM vint GROUP BY ALL"))
+@CORE.add("a4_vintage_moments", W("vint", "SELECT as_of, panel_id, series_id, count(value) AS n, round(avg(value) / pi(), 3) AS mean, round(stddev_pop(value) / pi(), 3) AS sd FROM vint GROUP BY ALL"))
 def a4_moments(spark, sf_dir):
     found = V.vintage_moments(X.panel(spark, sf_dir), X.lags(spark, sf_dir), X.asofs(spark, sf_dir))
-    return found.select("as_of", "panel_id", "series_id", F.col("n").cast("long").alias("n"), F.round(F.col("mean") / 7, 3).alias("mean"), F.round("sd", 2).alias("sd"))
+    return found.select("as_of", "panel_id", "series_id", F.col("n").cast("long").alias("n"), F.round(F.col("mean") / F.pi(), 3).alias("mean"), F.round(F.col("sd") / F.pi(), 3).alias("sd"))
 
 
 @CORE.add("a16_last_known_target", W("vint", "SELECT as_of, panel_id, arg_max(value, period) AS fallback_value FROM vint WHERE series_id = 'TOTAL' AND value IS NOT NULL GROUP BY ALL"))
@@ -146,6 +146,30 @@ def f11(spark, sf_dir):
     return S.calendar_releases(calendar_rules(spark, sf_dir), X.span(spark, sf_dir))
 
 
+def shown(events):
+    return events.withColumn("released_series", F.array_join("released_series", ","))
+
+
+@CORE.add("a12_unbundled_releases", W("avail span", "SELECT available_at::DATE AS as_of, panel_id, series_id AS released_series FROM avail WHERE available_at::DATE BETWEEN (SELECT s FROM span) AND (SELECT e FROM span)"))
+def a12_single(spark, sf_dir):
+    days = S.release_days(X.panel(spark, sf_dir), X.lags(spark, sf_dir), X.span(spark, sf_dir))
+    return shown(S.update_events(days, bundle=False))
+
+
+OF_PANELS = "SELECT day AS as_of, panel_id, series_id FROM al JOIN (SELECT DISTINCT panel_id, series_id FROM grid) USING (series_id) WHERE day BETWEEN (SELECT s FROM span) AND (SELECT e FROM span)"
+
+
+@CORE.add("a12_calendar_events", W("grid span", f"SELECT as_of, panel_id, string_agg(DISTINCT series_id, ',' ORDER BY series_id) AS released_series FROM ({OF_PANELS}) GROUP BY ALL", RULES_BY_DAY))
+def a12_calendar(spark, sf_dir):
+    """Events of each panel by the calendar rules of its series: explicit dates, a day or an n-th weekday of the month."""
+    return shown(S.update_events(S.calendar_days(X.panel(spark, sf_dir), calendar_rules(spark, sf_dir), X.span(spark, sf_dir))))
+
+
+@CORE.add("a12_calendar_single_events", W("grid span", f"SELECT as_of, panel_id, series_id AS released_series FROM ({OF_PANELS})", RULES_BY_DAY))
+def a12_calendar_single(spark, sf_dir):
+    return shown(S.update_events(S.calendar_days(X.panel(spark, sf_dir), calendar_rules(spark, sf_dir), X.span(spark, sf_dir)), bundle=False))
+
+
 @CORE.add("f3_f5_months", "SELECT DISTINCT o_orderdate::DATE AS day, date_trunc('month', o_orderdate)::DATE AS end_month, (date_trunc('month', o_orderdate) - INTERVAL 1 MONTH)::DATE AS mid_month, (date_trunc('month', o_orderdate) - INTERVAL 2 MONTH)::DATE AS early_month, (date_trunc('month', o_orderdate) + ((2 - month(o_orderdate) % 3 + 3) % 3) * INTERVAL 1 MONTH)::DATE AS q_now, (date_trunc('month', o_orderdate) + ((2 - month(o_orderdate) % 3 + 3) % 3 - 3) * INTERVAL 1 MONTH)::DATE AS q_back FROM orders")
 def f3(spark, sf_dir):
     day = F.col("day")

@@ -38,6 +38,20 @@ def calendar_releases(rules: DataFrame, span: DataFrame) -> DataFrame:
     return rules.crossJoin(F.broadcast(span)).select("series_id", "start", "end", F.explode(chosen).alias("day")).where(F.col("day").between(s, e)).drop("start", "end")
 
 
+def calendar_days(panel: DataFrame, rules: DataFrame, span: DataFrame) -> DataFrame:
+    """as_of (day), panel_id, series_id: the days of the span on which a series of a panel is due by its calendar rule."""
+    series = panel.select("panel_id", "series_id").distinct()
+    return series.join(calendar_releases(rules, span), "series_id").select(F.col("day").alias("as_of"), "panel_id", "series_id")
+
+
+def update_events(days: DataFrame, bundle: bool = True) -> DataFrame:
+    """as_of, panel_id, released_series: what a backtest is run for, from release days by lag or by calendar.
+
+    One event a day and panel, or without ``bundle`` one a release.
+    """
+    return bundled_by_day(days) if bundle else days.select("as_of", "panel_id", F.array("series_id").alias("released_series"))
+
+
 def order_violations(schedule: DataFrame) -> DataFrame:
     """Events that are not later than the one before them in their panel; a valid schedule has none."""
     before = F.lag("as_of").over(Window.partitionBy("panel_id").orderBy("seq"))

@@ -30,7 +30,8 @@ def cleaned_lags(raw: DataFrame, target: str = TARGET, target_days: int = 45) ->
 def release_lags(raw: DataFrame, order_col: str | None = None) -> DataFrame:
     """series_id, freq, ref_point, lag_unit, lag_value and schedule columns; days come before weeks before months.
 
-    Series without a lag are left out, a negative lag is an error, and the last of repeated series wins.
+    Series without a lag are left out, a negative lag is an error, and the last of repeated series wins: by ``order_col``,
+    or without it by file name and place in the file.
     """
     for c, default in (("freq", "M"), ("ref_point", "period_end"), ("lag_days", None), ("lag_weeks", None), ("lag_months", None)):
         if c not in raw.columns:
@@ -45,7 +46,7 @@ def release_lags(raw: DataFrame, order_col: str | None = None) -> DataFrame:
         unit.alias("lag_unit"),
         value.alias("lag_value"),
         *(F.col(c).cast(t).alias(c) for c, t in SCHEDULE.items() if c in raw.columns),
-        (F.col(order_col) if order_col else F.monotonically_increasing_id()).alias("file_order"),
+        (F.col(order_col) if order_col else F.struct(F.input_file_name(), F.monotonically_increasing_id())).alias("file_order"),
     ).where((F.col("series_id") != "") & (F.lower("series_id") != "nan") & F.col("lag_unit").isNotNull())
     checked = rows.withColumn("lag_value", F.when(F.col("lag_value") >= 0, F.col("lag_value")).otherwise(F.raise_error(F.concat(F.lit("negative lag: "), "series_id")).cast("int")))
     rest = [c for c in checked.columns if c not in ("series_id", "file_order")]
