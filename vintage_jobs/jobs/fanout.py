@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.group import GroupedData
 
 from vintage_jobs.functions.scalars import choice, chosen_value
 from vintage_jobs.jobs import fits
@@ -22,13 +23,19 @@ from vintage_jobs.operators.vintage import asof_array
 from vintage_jobs.sources.store import stored
 
 
+def fanned_out(rows: DataFrame, *keys: str) -> GroupedData:
+    """Groups of heavy fits, in four times as many tasks as a shuffle has: rows are few, so tasks must not be merged by size."""
+    tasks = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, *keys).groupBy(*keys)
+
+
 def by_series(panel: DataFrame, fit: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Applies ``fit`` to the sorted rows of each series."""
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         return fit(rows.sort_values("period"))
 
-    return panel.groupBy("panel_id", "series_id").applyInPandas(lambda pdf: work(pdf), schema)
+    return fanned_out(panel, "panel_id", "series_id").applyInPandas(lambda pdf: work(pdf), schema)
 
 
 def unit_root_tests(panel: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -211,7 +218,7 @@ def boosted_backtest(rows: DataFrame, min_train: int = 25, buckets: int = 4, **o
         return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
     dealt = rows.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    out = dealt.groupBy("panel_id", "bucket").applyInPandas(lambda pdf: fit(pdf), schema)
+    out = fanned_out(dealt, "panel_id", "bucket").applyInPandas(lambda pdf: fit(pdf), schema)
     ar1 = expanding_ar1(rows.select("panel_id", "target_period", "y"), least=min_train).select("panel_id", "target_period", F.col("y_pred").alias("y_pred_ar1"))
     out = out.join(ar1, ["panel_id", "target_period"], "left")
     error = F.col("y_true") - F.col("y_pred")
@@ -284,7 +291,7 @@ def factor_mixture(panel: DataFrame, lag_months: DataFrame, as_ofs: DataFrame, s
     own = panel.join(lag_months.select("series_id", "lag"), "series_id", "left").withColumn("lag", F.coalesce("lag", F.lit(default)))
     own = own.join(in_batches(asked, "as_of", [], "asked", batch), "panel_id").withColumn("spec", F.explode(_as_array(specs)))
     rows = own.select("panel_id", "series_id", "period", "value", "lag", "asked", "batch", "spec.*")
-    return rows.groupBy("panel_id", "batch", "model_id", "r", "p").applyInPandas(lambda pdf: fit(pdf), schema)
+    return fanned_out(rows, "panel_id", "batch", "model_id", "r", "p").applyInPandas(lambda pdf: fit(pdf), schema)
 
 
 def _as_array(specs: DataFrame) -> Column:
@@ -329,4 +336,4 @@ def factor_backtest(panel: DataFrame, target: str, min_months: int = 60, k_max:
     wanted = targets.join(first, "panel_id").where(F.months_between("target_period", "first") >= min_months).drop("first")
     asked = in_batches(wanted, "target_period", ["y"], "asked", batch).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(k_max))))
     rows = panel.join(asked, "panel_id").where(F.col("period") < F.array_max("asked.target_period"))
-    return rows.groupBy("panel_id", "batch", "k").applyInPandas(lambda pdf: fit(pdf), schema)
+    return fanned_out(rows, "panel_id", "batch", "k").applyInPandas(lambda pdf: fit(pdf), schema)
