@@ -4,8 +4,8 @@ A fingerprint has 64 bits. It is cut into pieces; two fingerprints within ``max_
 a few bits, so the small Hamming ball of each piece is enumerated, looked up in the table of that piece, and every match
 is verified over all 64 bits. With 4 bits and 3 segments the first two pieces (22 and 21 bits) are searched with radius 1
 and the last (21 bits) with radius 0: if the first two differ by 2 or more each, the last cannot differ. How many pieces
-there are follows from the counted fingerprints: few and wide ones for many, so that a bucket of a table stays small,
-more and narrower ones with smaller balls for few (``best_segments``).
+there are follows from the counted fingerprints: two wide ones for very many (from about 10^8), so that a bucket of a
+table stays small, else three with smaller balls (``best_segments``). More pieces would save little on small tables.
 
 Copies collapse to one fingerprint before any join, so a group of copies costs one row. A bucket that more than
 ``hot_bucket`` fingerprints lie in or probe is cut into blocks; a task gets one pair of blocks at a time, verifies it
@@ -88,7 +88,7 @@ def best_segments(max_bits: int, n: int) -> int:
         balls = [(sum(comb(width, r) for r in range(radius + 1)), width) for _, width, radius in plan_segments(max_bits, segments)]
         return sum(ball * (1 + n / 2**width) for ball, width in balls)
 
-    return min(range(2, max(2, max_bits + 1) + 1), key=work)
+    return min(range(2, min(3, max_bits + 1) + 1), key=work)
 
 
 def _masks(width: int, radius: int) -> list[int]:
