@@ -39,11 +39,17 @@ def test_against_sql(spark, duck, small_dir, name):
     assert rows(got.toArrow(), columns) == rows(want, columns)
 
 
-@pytest.mark.parametrize("name", [n for n, q in CORE.items() if not q.sql and n not in ("x5_factor_mixture", "x6_factor_backtest")])
+@pytest.mark.parametrize("name", [n for n, q in CORE.items() if not q.sql and n not in ("x5_factor_mixture", "x6_factor_backtest", "wl3_mixture_over_time", "wl3_evaluation")])
 def test_fits_give_rows(spark, small_dir, name):
     assert CORE[name].query(spark, small_dir).count() > 0
 
 
+def test_evaluation_selects_between_trees_and_mixture(spark, small_dir):
+    rows = CORE["wl3_evaluation"].query(spark, small_dir).collect()
+    assert {(r.grid, r.model_id) for r in rows} >= {(g, m) for g in ("quarter", "month") for m in ("tree", "ar1", "dfm", "selected")}
+    assert sum(r.n for r in rows if r.grid == "month" and r.model_id == "selected") > 0
+
+
 def test_flagship(spark, small_dir):
     import __spark_entry__ as entry
 

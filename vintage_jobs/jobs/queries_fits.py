@@ -78,11 +78,11 @@ def wl3_mixture(spark, sf_dir):
 
 
 def monthly_mixture(spark, sf_dir):
-    """Mixtures of two factor models for the monthly total, from month 36 on, so that selection has losses enough."""
+    """Mixtures of two factor models for the monthly total, from month 26 on, so that selection has losses enough."""
     targets = X.targets(spark, sf_dir)
     total = targets.select("panel_id", F.lit(P.TARGET).alias("series_id"), F.col("target_period").alias("period"), F.col("y").alias("value"))
     panel = stored(X.panel(spark, sf_dir).where(F.col("series_id") != P.TARGET).unionByName(total), "monthly-panel")
-    as_ofs = V.panel_asofs(panel, 36)
+    as_ofs = V.panel_asofs(panel, 26)
     made = J.factor_mixture(panel, X.month_lags(spark, sf_dir), as_ofs, C.mixture_grid(spark, [1, 2], [1]), P.TARGET, add_mu=True, every=1)
     return W.mixture_over_time(stored(made, "factor-fits"), targets, as_ofs.select("as_of").distinct(), every=1)
 
