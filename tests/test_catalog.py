@@ -18,8 +18,8 @@ def plan_of(df):
 @pytest.mark.parametrize("match_case", [True, False])
 def test_lines_against_substrings(spark, small_side, match_case):
     rng = random.Random(2)
-    lines = LINES + ["".join(rng.choice("abAB ") for _ in range(rng.randrange(30))) for _ in range(80)]
-    needles = NEEDLES + ["".join(rng.choice("abAB ") for _ in range(rng.randrange(1, 12))) for _ in range(40)]
+    lines = LINES + ["".join(rng.choice("abAB 😀😁") for _ in range(rng.randrange(30))) for _ in range(80)]
+    needles = NEEDLES + ["".join(rng.choice("abAB 😀😁") for _ in range(rng.randrange(1, 12))) for _ in range(40)]
     rows = [(f"f{i % 3}", i, line) for i, line in enumerate(lines)] * 2
     made = C.line_matches(spark.createDataFrame(rows, "file string, line_no int, line string"), spark.createDataFrame([(n, f"why {i}") for i, n in enumerate(needles)], "needle string, why string"), match_case, small_side)
     assert "NestedLoop" not in plan_of(made) and "Cartesian" not in plan_of(made)
@@ -33,6 +33,14 @@ def test_lines_against_substrings(spark, small_side, match_case):
     assert {(r.file, r.line_no, r.line): r.why for r in got} == want and len(got) == len(want)
 
 
+def test_grams_of_wide_characters_and_long_texts(spark):
+    texts = {"wide": "a😀b", "short": "a", "long": "ab" * 50_000, "lines": "a\nb"}
+    got = {r.name: set(r.g) for r in spark.createDataFrame(list(texts.items()), "name string, text string").select("name", C.grams(C.F.col("text"), [2, 1]).alias("g")).collect()}
+    for name, text in texts.items():
+        assert got[name] >= {text[i : i + n] for n in (1, 2) for i in range(len(text) - n + 1)}
+    assert got["short"] == {"a"} and got["long"] == {"a", "b", "ab", "ba"}
+
+
 def test_no_needles_or_lines(spark):
     lines = spark.createDataFrame([("f", 1, "a")], "file string, line_no int, line string")
     needles = spark.createDataFrame([("a", "w")], "needle string, why string")
