@@ -3,7 +3,7 @@ import pytest
 
 from tests.brute import expected_losses, unit_root_p
 from vintage_jobs.jobs import fits as X
-from vintage_jobs.jobs.fanout import factor_backtest, factor_mixture, selected_forecasts, unit_root_tests, unit_root_tests_in_time
+from vintage_jobs.jobs.fanout import factor_backtest, factor_mixture, seasonally_adjusted, selected_forecasts, unit_root_tests, unit_root_tests_in_time
 from vintage_jobs.jobs.fixtures import observations
 from vintage_jobs.jobs.registry import CORE
 
@@ -50,6 +50,24 @@ def test_seasonal_part_of_a_sine():
     assert np.isnan(X.adjusted(holes)[5])
 
 
+@pytest.mark.parametrize("buckets", [1, 5])
+def test_adjustment_in_time_uses_nothing_later(spark, buckets):
+    t = np.arange(64)
+    wave = np.where(t < 50, 5 * np.sin(2 * np.pi * t / 12), 5 * np.cos(2 * np.pi * t / 12)) + 0.1 * t
+    wave[40] = np.nan
+    series = {"wave": wave, "short": np.arange(20.0), "other": t * 2.0, "none": np.full(40, np.nan)}
+    rows = [("p", name, i, None if np.isnan(v) else float(v)) for name, y in series.items() for i, v in enumerate(y)]
+    frame = spark.createDataFrame(rows, "panel_id string, series_id string, at int, value double").selectExpr("panel_id", "series_id", "add_months(date'1990-01-01', at) AS period", "value", "0 AS bucket")
+    got = {}
+    for r in seasonally_adjusted(frame, ["wave", "short", "none"], True, buckets).orderBy("period").collect():
+        got.setdefault(r.series_id, []).append(np.nan if r.value is None else r.value)
+    for name, y in series.items():
+        want = y if name == "other" else [X.adjusted(y[: i + 1])[-1] for i in range(len(y))]
+        np.testing.assert_allclose(got[name], want, rtol=1e-9)
+    assert got["wave"][:35] == list(wave[:35]) and abs(got["wave"][45] - wave[45]) > 1
+    assert seasonally_adjusted(frame.where("false"), point_in_time=True).count() == 0
+
+
 def test_selection_against_weighted_regressions(spark):
     rng = np.random.default_rng(1)
     series = {"short": rng.normal(size=44), "long": np.cumsum(rng.normal(size=160)) * 1e4 + 3e5, "small": rng.normal(size=70) * 1e-3}

@@ -7,7 +7,6 @@ solved in Python. The other fits get a panel once a specification and batch of a
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -29,15 +28,6 @@ def fanned_out(rows: DataFrame, *keys: str) -> GroupedData:
     return rows.repartition(tasks, *keys).groupBy(*keys)
 
 
-def by_series(panel: DataFrame, fit: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Applies ``fit`` to the sorted rows of each series."""
-
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        return fit(rows.sort_values("period"))
-
-    return fanned_out(panel, "panel_id", "series_id").applyInPandas(lambda pdf: work(pdf), schema)
-
-
 def unit_root_tests(panel: DataFrame, alpha: float = 0.05) -> DataFrame:
     """panel_id, series_id, p_value, stationary; null p-values are not stationary.
 
@@ -132,15 +122,27 @@ def unit_root_tests_in_time(panel: DataFrame, alpha: float = 0.05) -> DataFrame:
     return rows.select(*keys, "period", p.alias("p_value")).withColumn("stationary", F.coalesce(F.col("p_value") <= alpha, F.lit(False)))
 
 
-def seasonally_adjusted(panel: DataFrame, chosen: list[str] | None = None) -> DataFrame:
-    """The panel with the chosen series (all by default) less their seasonal part; the others stay on the JVM side."""
+def seasonally_adjusted(panel: DataFrame, chosen: list[str] | None = None, point_in_time: bool = False, buckets: int = 4) -> DataFrame:
+    """The panel with the chosen series (all by default) less their seasonal part; the others stay on the JVM side.
+
+    With ``point_in_time`` each value is less the seasonal part that the series up to it gives (none before 36 values), so
+    nothing later is used; a series then goes once to each of ``buckets`` groups, which take every ``buckets``-th value.
+    """
+    keys, ways = ["panel_id", "series_id"], buckets if point_in_time else 1
 
     def fit(own: pd.DataFrame) -> pd.DataFrame:
-        values = fits.adjusted(own["value"].to_numpy(float))
-        return own[["panel_id", "series_id", "period"]].assign(value=pd.array(values, dtype="Float64"))
+        own = own.sort_values("period")
+        values = own["value"].to_numpy(float)
+        if point_in_time:
+            at = np.arange(own["bucket"].iloc[0], len(values), ways)
+            own, values = own.iloc[at], np.array([fits.adjusted(values[: i + 1])[-1] for i in at], float)
+        else:
+            values = fits.adjusted(values)
+        return own[[*keys, "period"]].assign(value=pd.array(values, dtype="Float64"))
 
     picked = panel if chosen is None else panel.where(F.col("series_id").isin(chosen))
-    made = by_series(picked.select("panel_id", "series_id", "period", "value"), fit, "panel_id string, series_id string, period date, value double")
+    dealt = picked.select(*keys, "period", "value", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))).alias("bucket"))
+    made = fanned_out(dealt, *keys, "bucket").applyInPandas(lambda pdf: fit(pdf), "panel_id string, series_id string, period date, value double")
     made = made.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
     return made if chosen is None else made.unionByName(panel.where(~F.col("series_id").isin(chosen)).select(made.columns))
 

@@ -31,6 +31,12 @@ def x2(spark, sf_dir):
     return J.seasonally_adjusted(X.panel(spark, sf_dir).where(F.col("series_id") != P.TARGET))
 
 
+@CORE.add("x2_adjusted_in_time")
+def x2_in_time(spark, sf_dir):
+    """Each value less the seasonal part that was known with it."""
+    return J.seasonally_adjusted(X.panel(spark, sf_dir).where(F.col("series_id") != P.TARGET), point_in_time=True)
+
+
 @CORE.add("x3_selected_forecasts")
 def x3(spark, sf_dir):
     return J.selected_forecasts(E.loss_differences(X.forecasts(spark, sf_dir), "ar1", "mean"))
@@ -105,8 +111,8 @@ def wl1_whole(spark, sf_dir):
 
 @CORE.add("wl1_ready_in_time")
 def wl1_in_time(spark, sf_dir):
-    """The model-ready panel whose tests, rules and z-scores of a month rest on the months up to it."""
-    return W.model_ready_panel(X.panel(spark, sf_dir), P.TARGET, [], CHANGE, RATE, point_in_time=True)[0]
+    """The model-ready panel whose adjustment, tests, rules and z-scores of a month rest on the months up to it."""
+    return W.model_ready_panel(X.panel(spark, sf_dir), P.TARGET, ["NATION_0", "NATION_2", "NATION_4", "NATION_12"], CHANGE, RATE, point_in_time=True)[0]
 
 
 def new_folder(spark):

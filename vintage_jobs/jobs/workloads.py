@@ -28,9 +28,9 @@ def model_ready_panel(panel: DataFrame, target: str, adjust: list[str], change:
 
     Seasonal adjustment of the series in ``adjust``; a unit-root test and a rule for each; the transformed panel without
     its first month and without empty months; a second test and a second difference of what is still not stationary,
-    again without the first month; z-scores. With ``point_in_time`` tests, rules, second tests and z-scores of a period
-    rest on the values up to it, and the decisions have a row a period; a series without a rule yet (it needs 25 values) is
-    under that of a failed test. The seasonal adjustment still looks at the whole series.
+    again without the first month; z-scores. With ``point_in_time`` the adjustment, tests, rules, second tests and z-scores
+    of a period rest on the values up to it, and the decisions have a row a period; a series without a rule yet (it needs 25
+    values) is under that of a failed test.
     """
     if point_in_time:
         return _ready_in_time(panel, target, adjust, change, rate, alpha)
@@ -47,7 +47,7 @@ def model_ready_panel(panel: DataFrame, target: str, adjust: list[str], change:
 
 def _ready_in_time(panel: DataFrame, target: str, adjust: list[str], change: list[str], rate: list[str], alpha: float) -> tuple[DataFrame, DataFrame]:
     keys = ["panel_id", "series_id", "period"]
-    own = stored(J.seasonally_adjusted(panel.where(F.col("series_id") != target), adjust).unionByName(panel.where(F.col("series_id") == target)), "adjusted")
+    own = stored(J.seasonally_adjusted(panel.where(F.col("series_id") != target), adjust, point_in_time=True).unionByName(panel.where(F.col("series_id") == target)), "adjusted")
     rules = stored(R.decisions(J.unit_root_tests_in_time(own.where(F.col("series_id") != target), alpha).select(*keys, "p_value"), target, change, rate, alpha), "decisions")
     changed = stored(R.without_empty_periods(R.without_first_periods(R.transformed(own, rules, target))), "transformed")
     again = stored(J.unit_root_tests_in_time(changed.where(F.col("series_id") != target), alpha).select(*keys, F.col("p_value").alias("second_p_value"), "stationary"), "second-tests")
