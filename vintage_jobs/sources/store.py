@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 import warnings
 
@@ -9,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder beside the warehouse when unset."""
+    """spark.checkpoint.dir; where it is unset, a folder beside the warehouse on one machine, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-        warnings.warn(f"spark.checkpoint.dir is unset; intermediate tables go to {found}, which all executors must share", stacklevel=2)
+        warnings.warn(f"spark.checkpoint.dir is unset; intermediate tables go to {found}", stacklevel=2)
     return found.rstrip("/")
 
 
