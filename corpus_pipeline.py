@@ -24,7 +24,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id.
 
-    Texts are near-duplicates at a similarity of 0.8 over five-word shingles. Null and blank texts are copies of each other;
+    Texts are near-duplicates at a similarity of 0.8 over five-word shingles. Candidates come from SimHash fingerprints by
+    multi-index hashing, those beyond its radius from MinHash; each is verified on the shingles. Null and blank texts are copies of each other;
     of repeated rows one stays; a row without doc_id stays only where its whole group has none.
     """
     return simhash.one_of_each(docs)

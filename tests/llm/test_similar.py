@@ -69,6 +69,26 @@ def test_large_group_is_whole(spark):
     assert got == want
 
 
+def test_fingerprints_alone_give_links(spark):
+    """Without a band in common, what multi-index hashing finds within 4 bits is linked, verified on the sets."""
+    rng = random.Random(13)
+    rows = []
+    for i in range(20):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(900)]
+        rows += [(3 * i, " ".join(base)), (3 * i + 1, edited(rng, base, 2)), (3 * i + 2, edited(rng, base, 500))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = S.stored(S.sketches(docs), "similar")
+    of = {r.node: (r.doc_id, r.fp) for r in made.collect()}
+    nodes = made.select("node", "fp", F.array("node").alias("bands"), F.struct(F.lit(False).alias("no_id"), "doc_id", "row_key").alias("first"), F.lit(1).alias("n"))
+    got = {frozenset((of[r.a][0], of[r.b][0])) for r in S.similar_links(docs, nodes).collect()}
+    fp = {d: f % 2**64 for d, f in of.values()}
+    sets = {d: slow_shingles(t) for d, t in rows}
+    want = {frozenset((a, b)) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 4 and jaccard(sets[a], sets[b]) >= 0.8}
+    assert got == want and len(want) >= 15
+    own = S.shingles(rows[0][1].encode())
+    assert fp[0] == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in own) > len(own)) and S.set_fingerprint(own[:0]) == 0
+
+
 def test_sets_and_threshold():
     text = "A b c d e F g h"
     assert len(S.shingles(text.encode())) == len(slow_shingles(text)) and not len(S.shingles(None)) and not len(S.bands(S.shingles(b" ")))

@@ -1,9 +1,10 @@
 """Near-duplicates by the shingles themselves: Jaccard similarity of 0.8 or more over sets of five-word shingles.
 
-At that similarity two SimHash fingerprints differ in about 10 of 64 bits and often in 15, a radius at which multi-index
-hashing looks at much of each table. So candidates come from MinHash: 24 bands of 6 values each, of which two texts of
-similarity s share one with probability 1 - (1 - s^6)^24, 0.9993 at 0.8. Every candidate is then verified on the whole
-sets, in a shuffled join; only verified pairs make components.
+Candidates come from SimHash fingerprints of the sets by multi-index hashing (``simhash.links``, 4 bits). At a similarity
+of 0.8 two fingerprints differ in about 10 of 64 bits and often in 15, a radius at which multi-index hashing looks at much
+of each table. So what lies beyond 4 bits is added from MinHash: 24 bands of 6 values each, of which two texts of
+similarity s share one with probability 1 - (1 - s^6)^24, 0.9993 at 0.8. Every candidate of both is then verified on the
+whole sets, in a shuffled join; only verified pairs make components.
 
 Texts with equal sets are one node before any join; sets are equal where two independent 64-bit hashes are, and sets that
 share only one of them are told apart first. A band's bucket is first linked through one member: each node is
@@ -27,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vintage_jobs.llm.common import joined_by_key, stored
-from vintage_jobs.llm.simhash import components, of_components
+from vintage_jobs.llm.simhash import BITS, components, of_components
+from vintage_jobs.llm.simhash import links as fingerprint_links
 
 WORDS, BANDS, DEEP = 5, 24, 6
 _odd = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * DEEP), np.uint64)
@@ -69,24 +71,33 @@ def bands(own: np.ndarray, block: int = 512) -> np.ndarray:
     return keys
 
 
+def set_fingerprint(own: np.ndarray, block: int = 1 << 15) -> int:
+    """The 64-bit SimHash of a set of shingle hashes; zero for the empty set."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(own), block):
+        counts += np.unpackbits(own[at : at + block].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits((counts * 2 > len(own)).astype(np.uint8), bitorder="little").view("<u8")[0])
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key (64-bit hash of id and text), node and proof (two hashes of the shingle set), bands of every row."""
+    """doc_id, row_key (64-bit hash of id and text), node and proof (two hashes of the shingle set), its fp and bands of every row."""
     import xxhash
 
-    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("node", pa.int64()), ("proof", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("node", pa.int64()), ("proof", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, proofs, keys = np.empty(batch.num_rows, np.uint64), np.empty(batch.num_rows, np.uint64), []
+            (nodes, proofs, fps), keys = np.empty((3, batch.num_rows), np.uint64), []
             for i, text in enumerate(batch.column("text")):
                 own = shingles(text.as_py())
                 nodes[i] = xxhash.xxh64_intdigest(own.tobytes(), WORDS)
                 proofs[i] = xxhash.xxh3_64_intdigest(own.tobytes(), len(own))
+                fps[i] = set_fingerprint(own)
                 keys.append(bands(own).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(nodes.view(np.int64)), pa.array(proofs.view(np.int64)), pa.array(keys, schema.field("bands").type)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), *(pa.array(x.view(np.int64)) for x in (nodes, proofs, fps)), pa.array(keys, schema.field("bands").type)], schema=schema)
 
     key = F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row_key")
-    return docs.select(F.col("doc_id").cast("long"), key, F.col("text").cast("binary").alias("text")).mapInArrow(work, "doc_id long, row_key long, node long, proof long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), key, F.col("text").cast("binary").alias("text")).mapInArrow(work, "doc_id long, row_key long, node long, proof long, fp long, bands array<long>")
 
 
 def told_apart(rows: DataFrame) -> DataFrame:
@@ -181,24 +192,41 @@ def links_in_blocks(rows: DataFrame, sets: DataFrame, percent: int, block: int =
     return left.unionByName(right).join(sets.hint("shuffle_merge"), "node").groupBy("key", "i", "j").applyInPandas(lambda pdf: work(pdf), "a long, b long").distinct()
 
 
+def simhash_pairs(nodes: DataFrame, max_bits: int = 4) -> DataFrame:
+    """a, b: candidates among nodes (node, fp, bands) by multi-index hashing: the least nodes of linked fingerprints, and each
+    node with the least one of its own fingerprint."""
+    own = nodes.where(F.size("bands") > 0).select("node", "fp")  # the empty set is one node
+    least = stored(own.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("size")), "similar-fingerprints")
+    side = lambda c, name: least.select(F.col("fp").alias(c), F.col("least").alias(name))
+    near = fingerprint_links(least.select("fp"), max_bits)
+    found = near.join(side("a", "x"), "a").join(side("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    total = least.agg(F.sum("size")).first()[0] or 0
+    same = joined_by_key(own, least.where("size > 1"), "fp", "size", total, ["node"]).where("node <> least")
+    return found.unionByName(same.select(F.col("node").alias("a"), F.col("least").alias("b")))
+
+
 def similar_links(docs: DataFrame, nodes: DataFrame, percent: int = 80) -> DataFrame:
-    """a, b: verified links between nodes (node, bands, first), whole up to connectivity."""
+    """a, b: verified links between nodes (node, fp, bands, first), whole up to connectivity."""
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1")
     of_all = nodes.agg(F.count("*"), F.sum("n")).first()
     buckets = stored(joined_by_key(keyed, shared, "key", "size", BANDS * of_all[0], ["node"]), "similar-buckets")
-    wanted = buckets.select("node").distinct().join(nodes.select("node", F.col("first.row_key").alias("row_key"), F.col("first.doc_id").alias("id"), "n"), "node")
+    close = stored(simhash_pairs(nodes), "similar-simhash")
+    met = buckets.select("node").unionByName(close.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    wanted = met.join(nodes.select("node", F.col("first.row_key").alias("row_key"), F.col("first.doc_id").alias("id"), "n"), "node")
     sets = stored(shingle_sets(docs, wanted, of_all[1] or 0), "similar-sets")
 
     def clusters(links: DataFrame) -> DataFrame:
         of = components(links)
-        return stored(buckets.select("node").distinct().join(of, "node", "left").select("node", F.coalesce("root", "node").alias("cluster")), "similar-clusters")
+        return stored(met.join(of, "node", "left").select("node", F.coalesce("root", "node").alias("cluster")), "similar-clusters")
 
     def apart(pairs: DataFrame, of: DataFrame) -> DataFrame:
         ends = pairs.join(of.select(F.col("node").alias("a"), F.col("cluster").alias("ca")), "a").join(of.select(F.col("node").alias("b"), F.col("cluster").alias("cb")), "b")
         return ends.where("ca <> cb").select("a", "b").distinct()
 
-    links = stored(verified(buckets.groupBy("node").agg(F.min("least").alias("b")).where("node <> b").withColumnRenamed("node", "a"), sets, percent), "similar-links")
+    first = buckets.groupBy("node").agg(F.min("least").alias("b")).where("node <> b").withColumnRenamed("node", "a")
+    ordered = first.unionByName(close).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    links = stored(verified(ordered, sets, percent), "similar-links")
     stars = buckets.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     more = stored(verified(stored(apart(stars, clusters(links)), "similar-pairs"), sets, percent), "similar-links")
     links = links.unionByName(more)
@@ -212,4 +240,4 @@ def similar_links(docs: DataFrame, nodes: DataFrame, percent: int = 80) -> DataF
 def similar_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, row_key, node, component_id, first_key: the component of each row and the row that stands for it."""
     rows = told_apart(stored(sketches(docs), "similar"))
-    return of_components(rows, "node", lambda nodes: similar_links(docs, nodes, percent), more=("bands",))
+    return of_components(rows, "node", lambda nodes: similar_links(docs, nodes, percent), more=("fp", "bands"))
