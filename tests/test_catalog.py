@@ -33,6 +33,14 @@ def test_lines_against_substrings(spark, small_side, match_case):
     assert {(r.file, r.line_no, r.line): r.why for r in got} == want and len(got) == len(want)
 
 
+def test_rows_of_a_catalogue_are_dealt_before_they_are_multiplied(spark):
+    files = spark.range(4_000).selectExpr("concat('f', id) AS file", "concat('x', id) AS folder", "concat_ws(';', 'alpha', 'beta', 'gamma', 'alphabet') AS header", "';' AS sep")
+    words = spark.createDataFrame([(w,) for w in ("a", "al", "be", "bet", "ta", "alphabet")], "keyword string")
+    made = C.header_matches(files.coalesce(1), words, rows_a_task=100)
+    assert made.rdd.getNumPartitions() == 40 and made.count() == 24_000
+    assert {(r.keyword, r.column_name) for r in made.select("keyword", "column_name").distinct().collect()} == {("a", "alpha"), ("al", "alpha"), ("be", "beta"), ("bet", "beta"), ("ta", "beta"), ("alphabet", "alphabet")}
+
+
 def test_grams_of_wide_characters_and_long_texts(spark):
     texts = {"wide": "a😀b", "short": "a", "long": "ab" * 50_000, "lines": "a\nb"}
     got = {r.name: set(r.g) for r in spark.createDataFrame(list(texts.items()), "name string, text string").select("name", C.grams(C.F.col("text"), [2, 1]).alias("g")).collect()}

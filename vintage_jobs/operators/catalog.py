@@ -54,15 +54,26 @@ def contained(texts: DataFrame, needles: DataFrame, match_case: bool = True, sma
     return found
 
 
-def header_matches(catalog: DataFrame, keywords: DataFrame, match_case: bool = False, small_side: int = 200_000) -> DataFrame:
+def header_matches(catalog: DataFrame, keywords: DataFrame, match_case: bool = False, small_side: int = 200_000, rows_a_task: int = 10_000) -> DataFrame:
     """file, folder, keyword, column_name: the first column of each file that contains each keyword.
 
-    Keywords meet a dictionary of the distinct columns, whatever the number of files; its matches are joined back.
+    Keywords meet a dictionary of the distinct columns, whatever the number of files; its matches are joined back. A row
+    of the catalogue becomes many matches, which are sorted: so the counted rows are dealt by file, ``rows_a_task`` at a
+    time, and what a task holds stays the same however long the catalogue is.
     """
-    parts = catalog.select("file", "folder", F.posexplode(F.split("header", F.concat(F.lit("\\Q"), F.col("sep"), F.lit("\\E")))).alias("place", "cell")).select("file", "folder", "place", F.trim("cell").alias("column_name"))
-    cells = parts.select(F.col("column_name").alias("text")).distinct()
-    matches = contained(cells, keywords.select(F.col("keyword").alias("needle")).distinct(), match_case, small_side)
-    hits = parts.join(matches.select(F.col("text").alias("column_name"), F.col("needle").alias("keyword")), "column_name")
+
+    def cells(rows: DataFrame) -> DataFrame:
+        parts = F.posexplode(F.split("header", F.concat(F.lit("\\Q"), F.col("sep"), F.lit("\\E")))).alias("place", "cell")
+        return rows.select("file", "folder", parts).select("file", "folder", "place", F.trim("cell").alias("column_name"))
+
+    texts = cells(catalog).select(F.col("column_name").alias("text")).distinct()
+    found = contained(texts, keywords.select(F.col("keyword").alias("needle")).distinct(), match_case, small_side)
+    matches = stored(found.select(F.col("text").alias("column_name"), F.col("needle").alias("keyword")), "header-matches")
+    tasks = max(1, -(-catalog.count() // rows_a_task))
+    if matches.limit(small_side + 1).count() <= small_side:
+        hits = cells(catalog.repartition(tasks, "file", "folder")).join(F.broadcast(matches), "column_name")
+    else:
+        hits = cells(catalog).join(matches, "column_name").repartition(tasks, "file", "folder")
     return hits.groupBy("file", "folder", "keyword").agg(F.min_by("column_name", "place").alias("column_name"))
 
 
