@@ -33,6 +33,28 @@ def test_lines_against_substrings(spark, small_side, match_case):
     assert {(r.file, r.line_no, r.line): r.why for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("direct", [0, 3])
+@pytest.mark.parametrize("match_case", [True, False])
+def test_lines_tried_directly_and_by_index(spark, direct, match_case):
+    rng = random.Random(4)
+    lines = LINES + ["".join(rng.choice("abcdAB ") for _ in range(rng.randrange(12))) for _ in range(60)]
+    needles = [n for n in NEEDLES if n] + ["".join(rng.choice("abcdAB") for _ in range(rng.randrange(1, 5))) for _ in range(60)]
+    reason = [f"why {rng.randrange(20)}" for _ in needles]
+    needed = spark.createDataFrame(list(zip(needles, reason, strict=True)), "needle string, why string")
+    made = C.line_matches(spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, line_no int, line string"), needed, match_case, direct=direct)
+    fold = (lambda s: s) if match_case else str.lower
+    want = {i: min(why) for i, x in enumerate(lines) if x is not None and (why := [w for n, w in zip(needles, reason, strict=True) if fold(n) in fold(x)])}
+    got = made.collect()
+    assert {r.line_no: r.why for r in got} == want and len(got) == len(want)
+
+
+def test_needles_that_cannot_give_a_first_reason_are_not_searched(spark):
+    rows = [("a", "w2"), ("bad", "w3"), ("ab", "w1"), ("cab", "w1"), ("A", "w2"), ("zz", None), ("zzz", "w9")]
+    needles = spark.createDataFrame(rows, "needle string, why string")
+    assert {r.needle for r in C.least_needles(needles).collect()} == {"a", "ab", "A", "zz", "zzz"}
+    assert {r.needle for r in C.least_needles(needles, match_case=False).collect()} == {"A", "ab", "zz", "zzz"}
+
+
 def test_rows_of_a_catalogue_are_dealt_before_they_are_multiplied(spark):
     files = spark.range(4_000).selectExpr("concat('f', id) AS file", "concat('x', id) AS folder", "concat_ws(';', 'alpha', 'beta', 'gamma', 'alphabet') AS header", "';' AS sep")
     words = spark.createDataFrame([(w,) for w in ("a", "al", "be", "bet", "ta", "alphabet")], "keyword string")

@@ -77,14 +77,41 @@ def header_matches(catalog: DataFrame, keywords: DataFrame, match_case: bool = F
     return hits.groupBy("file", "folder", "keyword").agg(F.min_by("column_name", "place").alias("column_name"))
 
 
-def line_matches(lines: DataFrame, needles: DataFrame, match_case: bool = True, small_side: int = 200_000) -> DataFrame:
-    """file, line_no, line, why: each line that contains a needle, once, with the first reason in sort order."""
-    needles = needles.groupBy("needle").agg(F.min("why").alias("why"))
+def least_needles(needles: DataFrame, match_case: bool = True, small_side: int = 200_000) -> DataFrame:
+    """The rows of ``needles`` (needle, why) without those that hold another one whose why is no later.
+
+    A line with such a needle has the other one too, so the least why of each line stays the same.
+    """
+    fold = (lambda c: c) if match_case else F.lower
+    rank = lambda needle: F.struct(F.char_length(fold(F.col(needle))), F.col(needle))
+    held = contained(needles.select(F.col("needle").alias("text"), F.col("why").alias("own")), needles, match_case, small_side)
+    later = held.where((F.col("why") < F.col("own")) | ((F.col("why") == F.col("own")) & (rank("needle") < rank("text"))))
+    return needles.join(later.select(F.col("text").alias("needle")).distinct(), "needle", "left_anti")
+
+
+def line_matches(lines: DataFrame, needles: DataFrame, match_case: bool = True, small_side: int = 200_000, direct: int = 256) -> DataFrame:
+    """file, line_no, line, why: each line that contains a needle, once, with the first reason in sort order.
+
+    Only needles that can give a first reason are searched (``least_needles``). The first ``direct`` of them by reason are
+    tried in that order, and a line ends at the first it holds. Lines that hold none of these go to the index of the others.
+    """
+    fold = (lambda c: c) if match_case else F.lower
+    needles = needles.where("needle IS NOT NULL").groupBy("needle").agg(F.min("why").alias("why"))
+    needles = stored(least_needles(stored(needles, "needles"), match_case, small_side), "least-needles")
+    first = needles.where("why IS NOT NULL").orderBy("why", "needle").limit(direct).collect()
+    tried = [F.when(F.col("folded").contains(fold(F.lit(r.needle))), F.lit(r.why)) for r in first]
+    why = F.coalesce(*tried) if tried else F.lit(None).cast(needles.schema["why"].dataType)
+    # the copies of a row are one; its reason follows from its line
+    rows = lines.select("file", "line_no", "line").distinct().withColumn("folded", fold(F.col("line"))).withColumn("why", why).drop("folded")
+    settled = rows.where("why IS NOT NULL")
+    others = needles.join(needles.sparkSession.createDataFrame([(r.needle,) for r in first], "needle string"), "needle", "left_anti") if first else needles
+    if others.isEmpty():
+        return settled
     # each different line is searched once, in the task that its copies go to
-    texts = stored(lines.select(F.col("line").alias("text")).distinct(), "lines")  # read twice
-    hits = contained(texts, needles, match_case, small_side)
-    reasons = hits.groupBy(F.col("text").alias("line")).agg(F.min("why").alias("why"))
-    return lines.select("file", "line_no", "line").distinct().join(reasons, "line").select("file", "line_no", "line", "why")
+    left = stored(rows.where("why IS NULL").drop("why"), "open-lines")
+    texts = stored(left.select(F.col("line").alias("text")).distinct(), "lines")  # read twice
+    reasons = contained(texts, others, match_case, small_side).groupBy(F.col("text").alias("line")).agg(F.min("why").alias("why"))
+    return settled.unionByName(left.join(reasons, "line").select("file", "line_no", "line", "why"))
 
 
 def text_lines(documents: DataFrame, file: str = "doc_id", text: str = "text") -> DataFrame:
