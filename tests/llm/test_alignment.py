@@ -87,6 +87,21 @@ def test_words_align_as_whole_texts(own):
             assert sum((own.links[i] for i in places), []) == whole[2]
 
 
+def test_words_are_aligned_together_as_alone(own):
+    own.forget()
+    words = [" one", "\n", "Größe,", " 日本語", " a\u2581b", " \u2581", "x" * 400, " 😀", " e\u0301", "1234567", " </s>", " "]
+    own._learn(words)
+    for word, n, of, links in zip(words, own.sizes.tolist(), own.groups, own.links, strict=False):
+        a = own._ids([word])[0]
+        b = own.b.encode(word[1:]) if word[0] == " " else own.b.encode(word if word == "\n" else "\n" + word)[1 if word == "\n" else 2 :]
+        found = own.compared(word.encode(), a, b)
+        assert (of, links) == ((found[0], found[2]) if found else ("", [])) and n == ([len(a), len(b), found[1], len(found[2])] if found else [-1] * 4), word
+    made = own.aligned_all([[], own._ids([" one"])[0], []], [[], own.b.encode("one"), []])
+    assert made[0][0] == made[0][2] == "" and made[0][1] == own.groups[0] and made[1][[0, 2]].tolist() == [[0] * 4] * 2
+    assert [len(x) for x in own.aligned_all([[]], [[]])] == [1, 1, 0]
+    own.forget()
+
+
 def test_links_of_a_group():
     assert A.aligned([1, 2, 3], [7, 8], {1: 2, 2: 1, 3: 4}, {7: 3, 8: 4}) == ("1,2|7;3|8", 2, [7 << 32 | 1, 7 << 32 | 2, 8 << 32 | 3])
     assert A.aligned([1, 2], [7, 8], {1: 1, 2: 3}, {7: 2, 8: 2}) == ("1,2|7,8", 1, [7 << 32 | 1, 7 << 32 | 2, 8 << 32 | 2])

@@ -26,6 +26,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +85,10 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.len_a, self.len_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b))
+        self.width_a, self.width_b = np.array(self.len_a), np.array(self.len_b)
+        # each id as it is shown within a group and at the end of its side
+        self.shown = [f"{i}{c}" for i in range(len(self.len_a)) for c in ",|"] + [f"{i}{c}" for i in range(len(self.len_b)) for c in ",;"]
+        self.shown_width = np.array(list(map(len, self.shown)))
         self.by_word = not any("\n" in p or "▁" in p.lstrip("▁") for p in pieces)
         self.forget()
 
@@ -91,18 +96,23 @@ class Aligner:
         self.place: dict[str, int] = {}
         self.groups: list[str] = []
         self.sizes = np.zeros((1024, 4), np.int64)  # tokens of A and B, groups, links; -1 where the bytes differ
-        self.links: list[list[int]] = []
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []  # links of words learned together, and how many each has
         self.flat, self.starts = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
     def all_links(self) -> tuple[np.ndarray, np.ndarray]:
         """The links of all words in one array, and where those of each word begin."""
-        new = self.links[len(self.starts) - 1 :]
-        if new:
-            ends = np.cumsum([len(x) for x in new]) + self.starts[-1]
-            self.flat = np.concatenate((self.flat, np.fromiter((x for w in new for x in w), np.int64)))
-            self.starts = np.concatenate((self.starts, ends))
+        if self.new:
+            links, many = map(np.concatenate, zip(*self.new, strict=True))
+            self.flat, self.starts = np.concatenate((self.flat, links)), np.concatenate((self.starts, np.cumsum(many) + self.starts[-1]))
+            self.new = []
         return self.flat, self.starts
 
+    @property
+    def links(self) -> list[list[int]]:
+        """The links of each word."""
+        flat, starts = self.all_links()
+        return [flat[lo:hi].tolist() for lo, hi in zip(starts[:-1], starts[1:], strict=True)]
+
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
 
@@ -125,19 +135,44 @@ class Aligner:
         ids_b = [x[0:] if w[0] == " " else x[2:] if w != "\n" else x[1:] for w, x in zip(words, self.b.encode([w[1:] if w[0] == " " else w if w == "\n" else "\n" + w for w in words], num_threads=1), strict=True)]
         while len(self.groups) + len(words) > len(self.sizes):
             self.sizes = np.concatenate((self.sizes, np.zeros_like(self.sizes)))
-        for word, a, b in zip(words, ids_a, ids_b, strict=True):
-            found, n = self.compared(word.encode(), a, b), len(self.groups)
-            text, many, links = found or ("", 0, [])
-            self.place[word] = n
-            self.sizes[n] = (len(a), len(b), many, len(links)) if found else -1
-            self.groups.append(text)
-            self.links.append(links)
+        data = [w.encode() for w in words]
+        good = [a and b and b"".join([self.bytes_a[i] for i in a]) == d == b"".join([self.bytes_b[i] for i in b]) for a, b, d in zip(ids_a, ids_b, data, strict=True)]
+        if not all(good):
+            ids_a, ids_b = ([x if g else [] for x, g in zip(ids, good, strict=True)] for ids in (ids_a, ids_b))
+        groups, sizes, links = self.aligned_all(ids_a, ids_b)
+        n = len(self.groups)
+        self.place.update(zip(words, range(n, n + len(words)), strict=True))
+        self.sizes[n : n + len(words)] = sizes
+        self.sizes[n : n + len(words)][[not g for g in good]] = -1
+        self.groups += groups
+        self.new.append((links, sizes[:, 3]))
+
+    def aligned_all(self, ids_a: list[list[int]], ids_b: list[list[int]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """What ``aligned`` gives for each of many words, at once: groups, sizes (a row a word), and the links of all.
+
+        The words are laid end to end, so a place in the bytes tells the word; a word without tokens takes none.
+        """
+        n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (ids_a, ids_b))
+        a, b = (np.fromiter(chain.from_iterable(ids), np.int64, n.sum()) for ids, n in ((ids_a, n_a), (ids_b, n_b)))
+        end_a, end_b = np.cumsum(self.width_a[a]), np.cumsum(self.width_b[b])
+        ends = np.union1d(end_a, end_b)  # a link lasts up to each
+        of_a, of_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+        closed = (end_a[of_a] == ends) & (end_b[of_b] == ends)
+        word = np.repeat(np.arange(len(n_a)), n_a)[of_a]
+        sizes = np.column_stack((n_a, n_b, np.bincount(word[closed], minlength=len(n_a)), np.bincount(word, minlength=len(n_a))))
+        in_a, in_b = np.searchsorted(ends[closed], end_a), np.searchsorted(ends[closed], end_b)
+        last_a, last_b = (np.append(g[1:] != g[:-1], True)[: len(g)] for g in (in_a, in_b))
+        order = np.argsort(np.concatenate((2 * in_a, 2 * in_b + 1)), kind="stable")
+        shown = np.concatenate((2 * a + last_a, 2 * (b + len(self.width_a)) + last_b))[order]
+        text = "".join(map(self.shown.__getitem__, shown.tolist()))
+        at = np.concatenate(([0], np.cumsum(self.shown_width[shown])))[np.concatenate(([0], np.cumsum(n_a + n_b)))].tolist()
+        return [text[lo : max(lo, hi - 1)] for lo, hi in zip(at, at[1:], strict=False)], sizes, b[of_b] << 32 | a[of_a]
 
     def by_parts(self, texts: list[str]) -> list[list[int] | None]:
         """The places of the words of each text; None for texts that have to go whole."""
         split = [PARTS.findall(" " + t) if self.by_word and lines_of_words(t) is not None else None for t in texts]
         seen = set().union(*(s for s in split if s))
-        self._learn(sorted(seen.difference(self.place)))
+        self._learn(list(seen.difference(self.place)))
         return [None if s is None else [self.place[w] for w in s] for s in split]
 
 
