@@ -92,3 +92,24 @@ def test_documents_whose_hashes_collide_are_told_apart(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     monkeypatch.setattr(S, "row_key", lambda: [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.lit(7).cast("long").alias("row_key")])
     assert sorted((tuple(r) for r in S.substring_digest(docs).collect()), key=str) == brute(rows)
+
+
+def test_words_are_hashed_in_little_memory():
+    import tracemalloc
+
+    data = np.frombuffer(b"seven77 " * (1 << 18), np.uint8)
+    starts, ends = S.word_bounds(data)
+    S.powers.cache_clear()
+    tracemalloc.start()
+    hashes = S.word_hashes(data, starts, ends)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(hashes.tolist())) == 1 and peak < hashes.nbytes + (10 << 20)
+
+
+def test_rows_are_cut_in_parts():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"a": list(range(n))}) for n in (0, 3, 1030)]
+    made = [b.column("a").to_pylist() for b in S.in_parts(iter(batches))]
+    assert [len(x) for x in made] == [3, 512, 512, 6] and sum(made, []) == [0, 1, 2, *range(1030)]

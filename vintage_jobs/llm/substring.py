@@ -57,7 +57,7 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == -1), np.flatnonzero(step == 1)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20, base: int = MULTIPLIER) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 17, base: int = MULTIPLIER) -> np.ndarray:
     """A 64-bit hash of each word: differences of a prefix polynomial, a block of bytes at a time."""
     inverse = pow(base, -1, 1 << 64)
     out = np.empty(len(starts), np.uint64)
@@ -320,6 +320,13 @@ def buckets_for(docs: DataFrame, words_a_bucket: int = 1 << 20) -> int:
     return max(2 * widest(docs.sparkSession), -(-size // (6 * words_a_bucket)))
 
 
+def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, so that only a part's results are in memory beside the batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def repeats_removed(docs: DataFrame, window: int = 20) -> DataFrame:
     """doc_id, n_words, removed (spans of word positions), kept_text of every row."""
     if window % 2:
@@ -330,7 +337,7 @@ def repeats_removed(docs: DataFrame, window: int = 20) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(3)
-        for batch in batches:
+        for batch in in_parts(batches):
             packed = pa.array([press.compress(t.as_py()) for t in batch.column("text")], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in KEY), packed], schema=packing)
 
@@ -340,7 +347,7 @@ def repeats_removed(docs: DataFrame, window: int = 20) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_text", pa.string())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             rows = []
             for doc, packed, starts in zip(batch.column("doc_id").to_pylist(), batch.column("packed"), batch.column("starts"), strict=True):
                 words = zstandard.decompress(packed.as_py()).split()
