@@ -2,8 +2,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from vintage_jobs.llm import packing
 from vintage_jobs.llm import similar as S
 from vintage_jobs.llm import simhash
 from tests.llm.test_simhash import slow_fingerprint
@@ -130,3 +132,35 @@ def test_pairs_just_above_the_threshold_are_found(spark):
             pairs += 1
     got = {r.doc_id: r.component_id for r in S.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(got[2 * i] == got[2 * i + 1] == 2 * i for i in range(pairs)) >= 59 and len(set(got.values())) >= 60
+
+
+class Taken:
+    """Stands for a DataFrame and hands out the function that its rows would go through."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, work, _):
+        return work
+
+
+def test_a_worker_lets_go_of_tokenizers_before_it_sketches(spark):
+    packing.encoder(packing.tokenizer_path())
+    assert packing.encoder.cache_info().currsize == 1
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([b"a b c d e f"], pa.binary())], names=["doc_id", "row_key", "text"])
+    made = list(S.sketches(Taken())(iter([batch])))
+    assert made[0].num_rows == 1 and packing.encoder.cache_info().currsize == 0
+
+
+def test_later_passes_do_not_walk_chains_again(spark, monkeypatch):
+    """What is given to the last pass over components are stars, not the chains of verified links."""
+    rng = random.Random(19)
+    words, rows = [f"w{rng.randrange(10**6)}" for _ in range(400)], []
+    for i in range(24):
+        rows.append((i, " ".join(words)))
+        words = edited(rng, words, 2).split(" ")
+    given = []
+    monkeypatch.setattr(S, "of_components", lambda rows, node, linked, more: given.append(linked(rows.groupBy(node).agg(F.first(F.struct("doc_id", "row_key")).alias("first"), *(F.first(c).alias(c) for c in more), F.count("*").alias("n")))))
+    S.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    edges = [tuple(r) for r in given[0].collect()]
+    assert len(edges) >= 20 and not {a for a, _ in edges} & {b for _, b in edges}

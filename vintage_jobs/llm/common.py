@@ -12,6 +12,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_let_go: list[Callable[[], None]] = []
+
+
+def keeps(release: Callable[[], None]) -> None:
+    """Registers what lets go of a thing that a worker keeps between its tasks."""
+    _let_go.append(release)
+
+
+def start_bare() -> None:
+    """Called where a step of another kind begins in a worker: Spark gives workers from step to step, and what earlier steps
+    keep in them (tokenizers, encoded words) would stay in memory beside it."""
+    for release in _let_go:
+        release()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read with Spark so that any store that Spark reaches works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vintage_jobs.llm.common import stored, widest
+from vintage_jobs.llm.common import keeps, stored, widest
 
 SPECIAL = "<|endoftext|>"
 
@@ -111,6 +111,9 @@ def encoder(path: str, ranks: str | None = None) -> Encoder:
     return Encoder(path, ranks)
 
 
+keeps(encoder.cache_clear)
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 

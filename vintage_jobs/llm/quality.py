@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vintage_jobs.llm.common import crc32_of, stored, within_bound
+from vintage_jobs.llm.common import crc32_of, start_bare, stored, within_bound
 
 SYMBOLS = "|&*$#%=<>{}[]~^_\\/@+"
 N_LINE = 13
@@ -267,7 +267,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_lines: int
 
 def scores(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFrame:
     """The rows of ``docs`` with their score in a column ``name``."""
-    rate = F.pandas_udf(lambda s: s.map(model.score).astype("float64"), "double")
+
+    def rated(s):
+        start_bare()
+        return s.map(model.score).astype("float64")
+
+    rate = F.pandas_udf(rated, "double")
     return docs.withColumn(name, rate(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vintage_jobs.llm.common import joined_by_key, stored
+from vintage_jobs.llm.common import joined_by_key, start_bare, stored
 from vintage_jobs.llm.simhash import BITS, components, of_components
 from vintage_jobs.llm.simhash import links as fingerprint_links
 
@@ -86,6 +86,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("node", pa.int64()), ("proof", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_bare()
         for batch in batches:
             (nodes, proofs, fps), keys = np.empty((3, batch.num_rows), np.uint64), []
             for i, text in enumerate(batch.column("text")):
@@ -116,6 +117,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
     """node, own (its packed shingles) of the nodes in ``wanted`` (node, row_key, id, n), from the texts of that row of docs."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_bare()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -139,6 +141,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_bare()
         for batch in batches:
             own, other = batch.column("own"), batch.column("other")
             good = [similarity_reached(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(own, other, strict=True)]
@@ -183,6 +186,7 @@ def links_in_blocks(rows: DataFrame, sets: DataFrame, percent: int, block: int =
     """
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        start_bare()
         found = links_between(pdf[pdf.ahead], pdf[~pdf.ahead], percent)
         return pd.DataFrame(np.array(found, np.int64).reshape(-1, 2), columns=["a", "b"])
 
@@ -206,7 +210,8 @@ def simhash_pairs(nodes: DataFrame, max_bits: int = 4) -> DataFrame:
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, percent: int = 80) -> DataFrame:
-    """a, b: verified links between nodes (node, fp, bands, first), whole up to connectivity."""
+    """a, b: links between nodes (node, fp, bands, first), whole up to connectivity: stars of what verified links join, so
+    that no later pass walks their chains again, and the links that join stars."""
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1")
     of_all = nodes.agg(F.count("*"), F.sum("n")).first()
@@ -220,21 +225,27 @@ def similar_links(docs: DataFrame, nodes: DataFrame, percent: int = 80) -> DataF
         of = components(links)
         return stored(met.join(of, "node", "left").select("node", F.coalesce("root", "node").alias("cluster")), "similar-clusters")
 
+    def stars(of: DataFrame) -> DataFrame:
+        return of.where("node <> cluster").select(F.col("node").alias("a"), F.col("cluster").alias("b"))
+
     def apart(pairs: DataFrame, of: DataFrame) -> DataFrame:
         ends = pairs.join(of.select(F.col("node").alias("a"), F.col("cluster").alias("ca")), "a").join(of.select(F.col("node").alias("b"), F.col("cluster").alias("cb")), "b")
         return ends.where("ca <> cb").select("a", "b").distinct()
 
     first = buckets.groupBy("node").agg(F.min("least").alias("b")).where("node <> b").withColumnRenamed("node", "a")
     ordered = first.unionByName(close).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = stored(verified(ordered, sets, percent), "similar-links")
-    stars = buckets.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    more = stored(verified(stored(apart(stars, clusters(links)), "similar-pairs"), sets, percent), "similar-links")
-    links = links.unionByName(more)
+    of = clusters(stored(verified(ordered, sets, percent), "similar-links"))
+    others = buckets.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    more = stored(verified(stored(apart(others, of), "similar-pairs"), sets, percent), "similar-links")
+    if not more.isEmpty():
+        of = clusters(stars(of).unionByName(more))
 
-    left = buckets.join(clusters(links), "node")
+    left = buckets.join(of, "node")
     mixed = left.groupBy("key").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
     open_ = stored(joined_by_key(left.select("key", "node", "cluster"), mixed, "key", "n", BANDS * of_all[0], ["node"]), "similar-open")
-    return links.unionByName(stored(links_in_blocks(open_, sets, percent), "similar-links"))
+    if open_.isEmpty():
+        return stars(of)
+    return stars(of).unionByName(stored(links_in_blocks(open_, sets, percent), "similar-links"))
 
 
 def similar_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
