@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 from itertools import product
 
@@ -152,3 +153,22 @@ def test_what_stays_within_a_bound():
     assert within_bound([("a", 50), ("b", 3), ("c", 200), ("d", 4)], 100) == ["b", "d"]
     assert within_bound([("a", 90), ("b", 60), ("c", 20)], 100) == ["c", "b"]
     assert within_bound([(i, 10) for i in range(20)], 100) == list(range(10)) and within_bound([], 5) == []
+
+
+def test_fit_holds_few_copies_of_its_lines():
+    """The driver holds the fit: one long text does not pad all others to its length, and lines are copied only a few times."""
+    rng = np.random.default_rng(3)
+    docs = [(rng.random((n, 3 * Q.N_LINE), np.float32), np.full(n, 20.0), i % 2) for i, n in enumerate([200, *[3] * 3000])]
+    tracemalloc.start()
+    Q.Model().fit(docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * sum(x.size for x, _, _ in docs) * 8
+
+
+def test_field_does_not_depend_on_the_order_of_its_chains():
+    rng = np.random.default_rng(4)
+    x = [rng.random((n, 4)) for n in (1, 9, 2, 30, 1, 5, 64, 3)]
+    y = [(rng.random(len(v)) < 0.5).astype(float) for v in x]
+    a, b = Q.fit_field(x, y, rounds=30), Q.fit_field(x[::-1], y[::-1], rounds=30)
+    assert np.allclose(a[0], b[0]) and np.allclose(a[1], b[1])

@@ -110,3 +110,48 @@ def test_links_do_not_depend_on_the_segments(spark, segments):
     fps = sorted(fps)
     found = dict(S.components(S.links(spark.createDataFrame([(x,) for x in fps], "fp long"), segments=segments)).collect())
     assert [found.get(x, x) for x in fps] == slow_components(fps, fps)
+
+
+def roots_of(edges):
+    least = {x: x for e in edges for x in e}
+    while True:
+        before = dict(least)
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+        if least == before:
+            return least
+
+
+def counted(monkeypatch):
+    """The tables of edges that a call stores: one, and one a round."""
+    tables, real = [], S.stored
+    monkeypatch.setattr(S, "stored", lambda df, name, *a: tables.append((name, df._jdf.queryExecution().toString())) or real(df, name, *a))
+    return tables
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    tables = counted(monkeypatch)
+    edges = [(i, i % 5) for i in range(5, 400)] + [(3, 3)]
+    assert dict(S.components(spark.createDataFrame(edges, "a long, b long")).collect()) == {i: i % 5 for i in range(400)}
+    assert len(tables) == 1
+    assert S.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_rounds_without_frequent_nodes_broadcast_nothing(spark, monkeypatch):
+    """Each round's broadcasts and shuffles stay in the driver's memory for a while; few nodes have many edges."""
+    tables = counted(monkeypatch)
+    rng = np.random.default_rng(5)
+    edges = [(a, b) for chain in rng.permutation(1200).reshape(60, 20).tolist() for a, b in zip(chain, chain[1:])]
+    assert dict(S.components(spark.createDataFrame(edges, "a long, b long")).collect()) == roots_of(edges)
+    assert len(tables) > 2
+    for _, plan in tables[1:]:
+        physical = plan.split("== Physical Plan ==")[-1]
+        assert "Broadcast" not in physical and physical.count("Exchange hashpartitioning") <= 3
+
+
+def test_rounds_with_frequent_nodes(spark):
+    """Large hubs in the middle, at the end and joined by chains: the dealt steps and the windows give the same components."""
+    hubs = [(900, i) for i in range(1000, 1800)] + [(2900 + i, 2500) for i in range(600)] + [(i, 5000) for i in range(3600, 4300)]
+    chains = [(i, i + 1) for i in range(900, 905)] + [(905, 3000), (3001, 4000)] + [(7000 + i, 7001 + i) for i in range(40)]
+    edges = hubs + chains
+    assert dict(S.components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()) == roots_of(edges)

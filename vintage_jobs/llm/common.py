@@ -96,13 +96,18 @@ def widest(spark: SparkSession, least: int = 8) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def fair_share(spark: SparkSession, total: int) -> int:
+    """How many of ``total`` rows may share a key and stay in one task: half a task's share."""
+    return max(64, total // (2 * widest(spark)))
+
+
 def joined_by_key(rows: DataFrame, of: DataFrame, key: str, size: str, total: int, apart: list[str | Column]) -> DataFrame:
     """``rows`` joined with ``of`` (one row a key; column ``size``: about how many of the ``total`` rows have that key).
 
     Keys with more than 1 / (2 partitions) of the rows are dealt over several tasks by a hash of the columns ``apart``.
     There are fewer than 2 partitions such keys, so their table is broadcast whatever the input is.
     """
-    limit = max(64, total // (2 * widest(rows.sparkSession)))
+    limit = fair_share(rows.sparkSession, total)
     hot = of.where(F.col(size) > limit).select(key, F.ceil(F.col(size) / limit).cast("int").alias("__ways"))
     left = rows.join(F.broadcast(hot), key, "left").withColumn("__way", F.pmod(F.xxhash64(*apart), F.coalesce("__ways", F.lit(1))).cast("int")).drop("__ways")
     ways = F.when(F.col(size) > limit, F.ceil(F.col(size) / limit).cast("int")).otherwise(F.lit(1))

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby
 from operator import eq
 
 import numpy as np
@@ -93,7 +94,11 @@ def sigmoid(x):
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, steps: int = 30, around: np.ndarray | None = None) -> np.ndarray:
     """Weights (last: intercept) by Newton's method; the ridge draws them towards ``around`` (zeros by default)."""
-    x = np.column_stack((x, np.ones(len(x))))
+    return newton(np.column_stack((x, np.ones(len(x)))), y, weight, ridge, steps, around)
+
+
+def newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, steps: int = 30, around: np.ndarray | None = None) -> np.ndarray:
+    """``logistic`` of rows that end with a one for the intercept; they are not copied."""
     around = np.zeros(x.shape[1]) if around is None else around
     w = around.copy()
     penalty = np.full(len(w), ridge * weight.sum() / len(x))
@@ -154,6 +159,13 @@ def chain_marginals(unary: np.ndarray, transition: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(out, -600, 600)))
 
 
+def with_ones(parts: list[np.ndarray]) -> np.ndarray:
+    """The rows of all parts, each with a one at its end, in one table."""
+    out = np.ones((sum(map(len, parts)), parts[0].shape[1] + 1))
+    np.concatenate(parts, out=out[:, :-1])
+    return out
+
+
 def padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     length = max(map(len, parts))
     mask = np.zeros((len(parts), length), bool)
@@ -165,24 +177,33 @@ def padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_field(x: list[np.ndarray], y: list[np.ndarray], rounds: int = 120, rate: float = 0.1, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Feature weights (last: intercept) and transitions of the field, by gradient ascent with adaptive steps."""
-    labels, mask = padded([v.astype(float) for v in y])
-    flat = np.concatenate(x)
-    flat = np.column_stack((flat, np.ones(len(flat))))
-    chosen = labels > 0.5
-    observed = np.array([[((~chosen if not i else chosen)[:, :-1] & (~chosen if not j else chosen)[:, 1:] & mask[:, 1:]).sum() for j in (0, 1)] for i in (0, 1)], float)
+    """Feature weights (last: intercept) and transitions of the field, by gradient ascent with adaptive steps.
+
+    Chains are padded beside those of about their length, as few lines of the longest would pad all others manifold."""
+    order = sorted(range(len(x)), key=lambda i: len(x[i]))
+    flat, truth = with_ones([x[i] for i in order]), np.concatenate([y[i].astype(float) for i in order])
     lines = len(flat)
-    seen = flat.T @ labels[mask]
+    observed, parts, at = np.zeros((2, 2)), [], 0
+    for _, own in groupby(order, key=lambda i: len(x[i]).bit_length()):
+        labels, mask = padded([y[i].astype(float) for i in own])
+        chosen = labels > 0.5
+        observed += np.array([[((~chosen if not i else chosen)[:, :-1] & (~chosen if not j else chosen)[:, 1:] & mask[:, 1:]).sum() for j in (0, 1)] for i in (0, 1)], float)
+        parts.append((slice(at, at := at + int(mask.sum())), mask))
+    seen = flat.T @ truth
     transition = np.zeros((2, 2))
-    w = logistic(flat[:, :-1], labels[mask], np.ones(lines))
+    w = newton(flat, truth, np.ones(lines))
     theta = np.concatenate((w, transition.ravel()))
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):
         w, transition = theta[:-4], theta[-4:].reshape(2, 2)
-        unary = np.zeros(mask.shape)
-        unary[mask] = flat @ w
-        _, marginal, pairs = forward_backward(unary, mask, transition)
-        gradient = np.concatenate((seen - flat.T @ marginal[mask], (observed - pairs).ravel())) / lines - ridge * theta
+        scored, marginal, pairs = flat @ w, np.empty(lines), np.zeros((2, 2))
+        for own, mask in parts:
+            unary = np.zeros(mask.shape)
+            unary[mask] = scored[own]
+            _, at_lines, met = forward_backward(unary, mask, transition)
+            marginal[own] = at_lines[mask]
+            pairs += met
+        gradient = np.concatenate((seen - flat.T @ marginal, (observed - pairs).ravel())) / lines - ridge * theta
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
         theta = theta + rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     return theta[:-4], theta[-4:].reshape(2, 2)
@@ -207,12 +228,16 @@ class Model:
         self.prior = float(labels.mean()) if len(docs) else 0.5
         if len(set(labels.tolist())) < 2:
             return self
-        x = np.concatenate([d[0] for d in docs])
+        # one table of all lines beside the given arrays, scaled where it stands: the driver holds it
+        flat = with_ones([d[0] for d in docs])
+        x = flat[:, :-1]
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-        scaled = [(d[0] - self.mean) / self.scale for d in docs]
+        x -= self.mean
+        x /= self.scale
         each = np.concatenate([np.full(len(d[0]), label) for d, label in zip(docs, labels, strict=True)])
         size = np.concatenate([np.full(len(d[0]), 1 / len(d[0])) for d in docs])
-        rough = logistic(np.concatenate(scaled), each, size)
+        rough = newton(flat, each, size)
+        scaled = np.split(x, np.cumsum([len(d[0]) for d in docs])[:-1])
         lines = []
         for s, label in zip(scaled, labels, strict=True):
             good = s @ rough[:-1] + rough[-1]
@@ -261,8 +286,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_lines: int
     texts = stored(sized.join(F.broadcast(within), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("doc_id", "key", "quality", "text"), "labelled")
     rows = texts.mapInArrow(work, "doc_id long, key long, quality int, x binary, lengths binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.key))
-    unpack = lambda b: np.frombuffer(bytes(b), "<f4").astype(np.float64)
-    return Model().fit([(unpack(r.x).reshape(-1, 3 * N_LINE), unpack(r.lengths), r.quality) for r in rows])
+    unpack = lambda b: np.frombuffer(b, "<f4")  # noqa: E731  not copied
+    return Model().fit([(unpack(r.x).reshape(-1, 3 * N_LINE), unpack(r.lengths).astype(np.float64), r.quality) for r in rows])
 
 
 def scores(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFrame:

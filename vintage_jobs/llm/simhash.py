@@ -10,8 +10,8 @@ table stays small, else three with smaller balls (``best_segments``). More piece
 Copies collapse to one fingerprint before any join, so a group of copies costs one row. A bucket that more than
 ``hot_bucket`` fingerprints lie in or probe is cut into blocks; a task gets one pair of blocks at a time, verifies it
 with numpy and returns only a spanning forest of its links. Thus no step emits all pairs of a group and none needs a
-group in one task. Components come from alternating large-star and small-star steps over stored edges. Joins on a
-fingerprint, a star's centre or a component deal frequent keys over several tasks (``common.joined_by_key``).
+group in one task. Components come from alternating large-star and small-star steps over stored edges, until they are
+stars. Joins on a fingerprint, a star's centre or a component deal frequent keys over several tasks (``common.joined_by_key``).
 
 Defined results: null or blank texts have fingerprint zero and are linked like any other; a null doc_id is in no
 minimum unless its whole component has none (then the component is null); repeated rows share their row's result.
@@ -25,10 +25,10 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vintage_jobs.llm.common import joined_by_key, stored
+from vintage_jobs.llm.common import fair_share, joined_by_key, stored
 
 BITS = 64
 
@@ -165,29 +165,60 @@ def links(nodes: DataFrame, max_bits: int = 4, segments: int | None = None, hot_
     return cold.unionByName(dense)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, root: the smallest node reachable from each node of ``edges`` (a, b), itself included."""
+def state_of(edges: DataFrame) -> tuple[int, bool, int, int]:
+    """Of distinct edges (a > b): how many, whether all are stars around their least node, and the most edges of a node, and
+    of a node to smaller ones."""
+    one, none = F.lit(1), F.lit(0)
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), one.alias("up"), none.alias("down")), F.struct(F.col("b").alias("node"), none.alias("up"), one.alias("down")))).alias("end")).select("end.*")
+    each = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    n, degree, up, between = each.agg(F.sum("up"), F.max(F.col("up") + F.col("down")), F.max("up"), F.max((F.col("up") > 0) & (F.col("down") > 0))).first()
+    return n or 0, not between and (up or 0) <= 1, degree or 0, up or 0
+
+
+def large_star(edges: DataFrame, total: int, deal: bool) -> DataFrame:
+    """a > b, perhaps repeated: each node's larger neighbours, linked to the least of the node and its neighbours. ``deal``: a node
+    may have so many edges that they are dealt over tasks; else they meet in one window."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    if deal:
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
+        met = joined_by_key(both.where("b > a"), least, "a", "n", total, ["b"])
+    else:
+        met = both.withColumn("m", F.least("a", F.min("b").over(Window.partitionBy("a")))).where("b > a")
+    return met.select(F.col("b").alias("a"), F.col("m").alias("b"))
+
 
-    def signature(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def small_star(edges: DataFrame, total: int, deal: bool) -> DataFrame:
+    """a > b, distinct: each node and its smaller neighbours, linked to the least of these. ``deal`` as for ``large_star``."""
+    if deal:
+        edges = edges.distinct()
+        least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        met = joined_by_key(edges, least, "a", "n", total, ["b"])
+        out = met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+    else:
+        met = edges.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+        out = met.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
+    return out.where("a <> b").distinct()
+
+
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """node, root: the smallest node reachable from each node of ``edges`` (a, b), itself included.
 
+    Rounds end where the edges are stars, which is looked up and takes no further round. A node's edges meet in one window
+    where no node has more than half a task's share; else they are dealt (``joined_by_key``). Large-star gives a node no more
+    edges to smaller ones than it had, so one look tells for both steps.
+    """
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = signature(edges)
+    n, stars, degree, up = state_of(edges)
     for _ in range(most_rounds):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        total = 2 * before[0]
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
-        large = joined_by_key(both.where("b > a"), least, "a", "n", total, ["b"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        joined = joined_by_key(large, least, "a", "n", total, ["b"])
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = stored(small, "edges")
-        after = signature(edges)
-        if after == before:
+        if stars:
             break
-        before = after
+        total = 2 * n
+        share = fair_share(edges.sparkSession, total)
+        edges = stored(small_star(large_star(edges, total, degree > share), total, up > share), "edges")
+        n, stars, degree, up = state_of(edges)
     else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        if not stars:
+            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
